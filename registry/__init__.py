@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("documents",)
+AREAS = ("quality", "documents")
 
 
 def all_queries() -> dict:
