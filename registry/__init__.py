@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("quality", "documents")
+AREAS = ("quality", "documents", "graph")
 
 
 def all_queries() -> dict:
