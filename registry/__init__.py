@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("quality", "documents", "graph")
+AREAS = ("quality", "documents", "graph", "retrieval")
 
 
 def all_queries() -> dict:

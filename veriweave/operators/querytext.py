@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +52,6 @@ YEAR_PATTERN = r"\b(199[0-9]|20[0-2][0-9]|2030)\b"
 
 def compatibility_form(c: Column) -> Column:
     """Unicode NFKC, for which Spark has no function (R1). Plain ASCII text stays in the JVM."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkc(texts: pd.Series) -> pd.Series:
         import unicodedata

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,6 @@ PAYLOAD = {
 
 def encode(df: DataFrame, text: str, load: Callable[[], Encoder], out: str = "vector") -> DataFrame:
     """Add the vector of a text column; the encoder is loaded once per Python worker."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def to_vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = load()
