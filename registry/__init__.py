@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("quality", "documents", "graph", "retrieval")
+AREAS = ("quality", "documents", "graph", "retrieval", "answers")
 
 
 def all_queries() -> dict:
