@@ -146,7 +146,7 @@ PHRASES = [
     "'list the victims of case ' || (202300000 + {k})", "'accused in case #' || (202300000 + {k})",
     "'was the chargesheet for case no. ' || (202300000 + {k}) || ' filed'", "'status of that case'", "'status of case id ' || {k}",
     "'Officer ' || ({k} % 3000)", "'victim ' || ({k} * 10 + 1)", "'tell me about the accused id ' || ({k} * 10 + 2)",
-    "'accused named Person Q' || chr(65 + {k} % 26)", "'Fiyaz Saran'", "'theft patterns near the market'",
+    "'accused named Person Q' || chr(CAST(65 + {k} % 26 AS INT))", "'Fiyaz Saran'", "'theft patterns near the market'",
     "'Find co-accused in these cases'", "'Who is connected to this gang?'", "'accused persons in Bangalore'",
     "'summarize case ' || (202300000 + {k})", "'network of case ' || (202300000 + {k})", "'timeline for case id ' || {k}",
     "'co-accused on case id ' || {k}", "'explain case id ' || {k}", "'  CaseMasterID ' || {k}", "'case number 0' || {k}",
@@ -158,8 +158,7 @@ def phrase(key: str) -> str:
 
 
 def asked(spark, sf):
-    text = phrase("o_orderkey").replace("chr(65 + o_orderkey % 26)", "char(65 + o_orderkey % 26)")
-    return read(spark, sf, "orders").selectExpr("o_orderkey AS question_id", f"{text} AS text")
+    return read(spark, sf, "orders").selectExpr("o_orderkey AS question_id", f"{phrase('o_orderkey')} AS text")
 
 
 def l17(spark, sf):
@@ -196,7 +195,7 @@ DETECT_SQL = (
     )
     + " FROM asked),\n"
     "r AS (SELECT *, CASE WHEN val = '' THEN NULL WHEN regexp_replace(lower(kind), '\\s+', '', 'g') = 'casemasterid' OR (lower(kind) = 'case' AND "
-    f"lower(word) = 'id') THEN 'case_id' WHEN lower(kind) = 'case' THEN 'case_number' ELSE 'crime_number' END AS ref_kind, {_NUMBER.format(v='val')} AS ref_value, "
+    f"lower(word) = 'id') THEN 'case_id' WHEN lower(kind) = 'case' THEN 'case_number' ELSE 'crime_number' END AS ref_kind, {_NUMBER.format(v="nullif(val, '')")} AS ref_value, "
     f"{_in(questions.REASONING_WORDS)} AS reasoned, {_in(questions.GRAPH_WORDS)} AS graphy, COALESCE(named, bare) AS person FROM m),\n"
     f"t AS (SELECT *, CASE WHEN ref_kind IS NOT NULL OR {_in(questions.SPOKEN_REFERENCES)} THEN {_TOPICS} END AS topic, "
     f"CASE WHEN person IS NOT NULL AND len(list_filter(string_split_regex(lower(person), '\\s+'), lambda w: w IN ({_STOPS}))) = 0 THEN "
@@ -318,7 +317,7 @@ def l22_names(spark, sf):
 
 NAMES_SQL = domain(
     "acc AS (SELECT AccusedMasterID, CaseMasterID, AgeYear, GenderID, PersonID, p_name FROM Accused JOIN part ON AccusedName = 'Person ' || p_partkey),\n"
-    "ranked AS (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY AccusedMasterID, CaseMasterID) AS pos FROM acc),\n"
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY AccusedMasterID, CaseMasterID, PersonID, AgeYear NULLS FIRST, GenderID) AS pos FROM acc),\n"
     "tied AS (SELECT lower(p_name) AS k, count(*) AS n, min(p_name) AS name, string_agg('- AccusedMasterID ' || AccusedMasterID || ' | CaseMasterID ' || CaseMasterID || "
     "' | PersonID ' || PersonID || ' | Age ' || COALESCE(CAST(AgeYear AS VARCHAR), 'Unknown') || ' | Gender ID ' || GenderID, chr(10) ORDER BY pos) AS lines FROM ranked WHERE pos <= 50 GROUP BY 1)\n"
     "SELECT p_partkey AS question_id, CAST(0 AS BIGINT) AS part_no, 'search_results' AS response_type, true AS found, 'Found **' || n || '** accused record(s) for **' || name || "

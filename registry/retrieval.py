@@ -11,6 +11,7 @@ from veriweave.operators import analytics, context, querytext, ranking, vectors
 from veriweave.plans import corpus as corpus_plans
 from veriweave.plans import retrieval as plans
 from veriweave.roles import domain_tables, read
+from veriweave.session import staged
 
 ENCODER = hashing_encoder(DIMENSION)
 MODEL = "hashing-64"
@@ -56,7 +57,8 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.points_of(corpus(spark, sf), ENCODER, DIMENSION)
+    """The point collection, stored as it would be."""
+    return staged(vectors.points_of(corpus(spark, sf), ENCODER, DIMENSION), "points")
 
 
 POINT_ID = (

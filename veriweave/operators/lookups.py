@@ -124,7 +124,8 @@ def accused_by_name(names: DataFrame, t: Tables, limit: int = MAX_BY_NAME) -> Da
     """
     asked = names.select(F.col("name").alias("asked"), F.lower(F.trim("name")).alias("_key")).filter("_key <> ''").distinct()
     rows = accused(t).withColumn("_key", F.lower("name")).join(asked.select("_key").distinct(), "_key", "left_semi")
-    best = top_per_key(rows, ["_key"], [F.col("accused_id"), F.col("case_id")], limit, "position")
+    order = [F.col(c) for c in ("accused_id", "case_id", "person_id", "age", "gender")]
+    best = top_per_key(rows, ["_key"], order, limit, "position")
     return asked.join(best, "_key", "left").withColumn("found", F.col("position").isNotNull()).drop("_key")
 
 

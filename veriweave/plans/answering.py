@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from veriweave.functions.groups import PART_ROWS, large_groups, list_in_parts
 from veriweave.operators import answers, lookups, motifs, questions
+from veriweave.session import staged
 from veriweave.sources.metadata import coerce_values, union_all
 
 Tables = Mapping[str, DataFrame]
@@ -102,6 +103,8 @@ def answer_questions(
     if "history_case" in asked.columns:
         detected = questions.fill_from_history(detected)
     planned = plan(detected).select("question_id", "sub_intent", "branch", "identifier_kind", "identifier_value")
+    # Every branch below reads the classified questions, and those on cases the found cases.
+    planned = staged(planned, "questions")
     parts = []
 
     # Case-scoped questions all start from the case.
@@ -118,7 +121,7 @@ def answer_questions(
         F.col("question_id").alias("ref_id"), F.col("identifier_kind").alias("kind"),
         F.col("identifier_value").alias("value"), "sub_intent", "branch",
     )
-    found = lookups.find_cases(references, t).withColumnRenamed("ref_id", "question_id")
+    found = staged(lookups.find_cases(references, t).withColumnRenamed("ref_id", "question_id"), "cases")
     label = answers.case_label(F.col("kind"), F.col("value"))
     missing = F.concat(F.lit("No case was found for "), label, F.lit("."))
     parts.append(_row(found.filter("NOT found"), "answer", F.lit(False), missing))

@@ -12,6 +12,7 @@ from veriweave.functions.encoding import Encoder
 from veriweave.functions.numbers import round_half_up
 from veriweave.operators import context as ctx
 from veriweave.operators import motifs, querytext, ranking, vectors
+from veriweave.session import staged
 
 METADATA_FIELDS = [f for f in vectors.PAYLOAD if f not in ("document_id", "document_type")]
 
@@ -75,15 +76,19 @@ def hybrid(
 ) -> HybridResult:
     """Search by meaning within the filters the query's entities imply, with support from the graph."""
     encoded = querytext.auto_filters(querytext.extract_entities(encode_queries(queries, load), "processed"))
+    # Queries, hits and triples are each read by several of the steps that follow.
+    encoded = staged(encoded, "queries")
     asked = encoded.select(
         "query_id", "vector", F.col("filter_district").alias("district"),
         F.col("filter_crime_year").alias("crime_year"), F.col("filter_document_type").alias("document_type"),
     )
     hits = vectors.search(points, asked, options.top_k, options.threshold, ("district", "crime_year", "document_type"))
     entities = encoded.drop("vector")
-    triples = motifs.search_entities(entities, tables)
-    ranked = ranking.limit_results(ranking.rank(with_metadata(hits), options.now, triples), options.max_results)
-    explained = ranking.explain_matches(ranked, entities)
+    triples = staged(motifs.search_entities(entities, tables), "triples")
+    ranked = ranking.limit_results(
+        ranking.rank(staged(with_metadata(hits), "hits"), options.now, triples), options.max_results
+    )
+    explained = staged(ranking.explain_matches(ranked, entities), "results")
     return HybridResult(entities, explained, triples, ctx.build_hybrid_context(explained, triples, options.max_tokens))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
     # Formatting and date parts must not depend on the cluster's local zone.
@@ -41,3 +42,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder = os.path.join(tempfile.gettempdir(), f"veriweave-{spark.sparkContext.applicationId}")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read back.
+
+    For a result that several branches of a plan read: it is computed once, its plan
+    is not repeated in every branch, and a lost executor does not lose it.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
