@@ -25,6 +25,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread_if_small(df: DataFrame, max_bytes: int = 128 * 1024 * 1024) -> DataFrame:
+    """Spread an input of less than one file split over all cores, ahead of work that is heavy per row.
+
+    Larger inputs already come in many splits and are left as they are, without a shuffle.
+    """
+    if df.isStreaming:
+        return df
+    estimated = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimated)) > max_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def large_groups(members: DataFrame, keys: Sequence[str], order: str, part_rows: int = PART_ROWS) -> DataFrame | None:
     """Size and order range of the groups above ``part_rows``; None when there are none.
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriweave.functions.dates import parse_date_text, parse_iso, parse_lenient
+from veriweave.functions.groups import spread_if_small
 from veriweave.functions.text import collapse, strip
 from veriweave.sources.metadata import ColumnRoles, TableMeta, numeric_columns, quoted, text_columns
 
@@ -142,6 +143,7 @@ def clean(
     df: DataFrame, meta: TableMeta, roles: ColumnRoles | None = None, cleaners: Sequence[Cleaner] = DEFAULT_CLEANERS
 ) -> DataFrame:
     """Apply cleaners in order (C11). Pass ``DEFAULT_CLEANERS + (mine,)`` to add one."""
+    df = spread_if_small(df)
     for cleaner in cleaners:
         df = df.transform(cleaner, meta, roles or ColumnRoles())
     return df

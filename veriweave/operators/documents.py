@@ -162,8 +162,8 @@ def _case_rows(t: Tables, lists: Mapping[str, DataFrame], split: bool) -> DataFr
         F.col("KGID").alias("OfficerKGID"),
     )
     courts = t["Court"].select("CourtID", "CourtName")
-    # The per-case joins share one partitioning by case.
-    rows = t["CaseMaster"].join(_count_by(t["ArrestSurrender"], "CaseMasterID", "ArrestCount"), "CaseMasterID", "left")
+    # All per-case joins share this one partitioning.
+    rows = t["CaseMaster"].repartition("CaseMasterID").join(_count_by(t["ArrestSurrender"], "CaseMasterID", "ArrestCount"), "CaseMasterID", "left")
     for role in _ROLES:
         rows = rows.join(_list_summary(lists[role], role, split), "CaseMasterID", "left")
     return (

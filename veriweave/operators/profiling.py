@@ -154,39 +154,31 @@ def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(cells)).filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def _local(state: DataFrame) -> DataFrame:
+    """A frame of a few rows per column, fetched, so that the next pass does not repeat the passes before it."""
+    return state.sparkSession.createDataFrame(state.collect(), state.schema)
+
+
 def order_statistics(values: DataFrame, targets: DataFrame) -> DataFrame:
     """Exact k-th smallest value (k from 0) per column.
 
-    ``values`` has (column_name, value); ``targets`` has (column_name, k) and a few rows
-    per column. Twice, a histogram of the range that must hold the k-th value picks
-    the cell it lies in; the last range holds few distinct values, which are counted.
+    ``values`` has (column_name, value); ``targets`` has (column_name, k, lo, hi), the
+    range of the column, and a few rows per column. Twice, a histogram of the range
+    that must hold the k-th value picks the cell it lies in; the last range holds few
+    distinct values, which are counted. Each pass is one scan.
     """
-    span = values.groupBy("column_name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    state = targets.join(F.broadcast(span), "column_name").withColumn("below", F.lit(0).cast("bigint"))
+    state = targets.withColumn("below", F.lit(0).cast("bigint"))
     for _ in range(2):
-        state = _narrow(values, state)
-    # A few targets per column: broadcasting the ranges is bounded by the number of columns.
-    ranges = F.broadcast(state.select("column_name", "lo", "hi").distinct())
-    counted = (
-        values.join(ranges, "column_name")
-        .filter(F.col("value").between(F.col("lo"), F.col("hi")))
-        .groupBy("column_name", "lo", "hi", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("column_name", "lo", "hi").orderBy("value")
-    counted = counted.withColumn("upto", F.sum("n").over(upto))
-    return (
-        counted.join(F.broadcast(state), ["column_name", "lo", "hi"])
-        .filter((F.col("k") - F.col("below") >= F.col("upto") - F.col("n")) & (F.col("k") - F.col("below") < F.col("upto")))
-        .select("column_name", "k", "value")
-    )
+        width = F.col("hi") - F.col("lo")
+        place = F.floor((F.col("value") - F.col("lo")) / width * HISTOGRAM_CELLS)
+        cell = F.when(width > 0, F.least(place, F.lit(HISTOGRAM_CELLS - 1))).otherwise(F.lit(0))
+        state = _local(_pick(values, state, cell))
+    return _pick(values, state, F.col("value")).select("column_name", "k", F.col("lo").alias("value"))
 
 
-def _narrow(values: DataFrame, state: DataFrame) -> DataFrame:
+def _pick(values: DataFrame, state: DataFrame, cell: Column) -> DataFrame:
+    """For each target the cell of its range that holds the k-th value, as the new range."""
     ranges = F.broadcast(state.select("column_name", "lo", "hi").distinct())
-    width = F.col("hi") - F.col("lo")
-    cell = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width * HISTOGRAM_CELLS),
-                                     F.lit(HISTOGRAM_CELLS - 1))).otherwise(F.lit(0))
     cells = (
         values.join(ranges, "column_name")
         .filter(F.col("value").between(F.col("lo"), F.col("hi")))
@@ -210,15 +202,17 @@ def _narrow(values: DataFrame, state: DataFrame) -> DataFrame:
 
 def quantiles(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation: (column_name, n, p, quantile)."""
-    sizes = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
+    sizes = values.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
     wanted = (
-        sizes.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+        _local(sizes).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
         .withColumn("position", F.col("p") * (F.col("n") - 1))
         .withColumn("k_low", F.floor("position"))
         .withColumn("k_high", F.ceil("position"))
     )
-    targets = wanted.select("column_name", F.explode(F.array("k_low", "k_high")).alias("k")).distinct()
-    found = order_statistics(values, targets)
+    targets = wanted.select("column_name", "lo", "hi", F.explode(F.array("k_low", "k_high")).alias("k")).distinct()
+    found = _local(order_statistics(values, targets))
     low = found.select("column_name", F.col("k").alias("k_low"), F.col("value").alias("v_low"))
     high = found.select("column_name", F.col("k").alias("k_high"), F.col("value").alias("v_high"))
     share = F.col("position") - F.col("k_low")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriweave.functions.encoding import Encoder
-from veriweave.functions.groups import top_per_key
+from veriweave.functions.groups import spread_if_small, top_per_key
 from veriweave.functions.identifiers import name_uuid
 
 PREVIEW_CHARS = 500
@@ -48,7 +48,7 @@ def encode(df: DataFrame, text: str, load: Callable[[], Encoder], out: str = "ve
         for batch in batches:
             yield pd.Series(list(encoder(batch.tolist()).astype("float32")))
 
-    return df.withColumn(out, to_vector(F.col(text)))
+    return spread_if_small(df).withColumn(out, to_vector(F.col(text)))
 
 
 def vector_issues(text: Column, vector: Column, dimension: int) -> Column:
