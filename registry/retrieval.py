@@ -355,9 +355,10 @@ _RICH = " + ".join(
     for n, (_, kind) in FIELDS.items()
 )
 _PRIORITY = "CASE document_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ranking.TYPE_PRIORITY.items()) + " ELSE 0.3 END"
+_UPDATED = "TRY_CAST(replace(updated_at, '+00:00', '') AS TIMESTAMP)"
 _FRESH = (
-    "COALESCE(greatest(0.0, least(1.0, 1.0 - floor((epoch(TIMESTAMP '" + NOW + "') - epoch(TRY_CAST(replace(updated_at, '+00:00', '') AS TIMESTAMP))) "
-    "/ 86400) / 365.0)), 0.5)"
+    f"CASE WHEN {_UPDATED} IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, 1.0 - floor((epoch(TIMESTAMP '{NOW}') - epoch({_UPDATED})) "
+    "/ 86400) / 365.0)) END"
 )
 HITS_SQL = (
     TURNS_SQL + ",\n" + POINTS_SQL + ",\n" + vectors_sql("q", "processed", "query_id", "p")

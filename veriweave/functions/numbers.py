@@ -17,5 +17,5 @@ def round_half_up(c: Column, digits: int) -> Column:
 
 
 def clamp01(c: Column) -> Column:
-    """Limit a value to the range 0..1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Limit a value to the range 0..1; NULL stays NULL, which ``least`` alone would skip."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
