@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veriweave.functions.dates import parse_lenient
 from veriweave.functions.groups import top_per_key
@@ -29,7 +28,6 @@ from veriweave.sources.metadata import (
 # Fixed value: control characters other than tab and line ends, C1 controls, and the replacement character.
 BAD_CHARACTERS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f�]"
 HISTOGRAM_CELLS = 4096
-REPORT_SCHEMA = "table_name string, column_name string, check string, metric string, value double"
 
 
 def count_where(condition: Column) -> Column:
@@ -263,6 +261,10 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def column_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """NULLs and distinct values of every column; range, mean and deviation of numbers (P10)."""
     names = list(columns or df.columns)
+    return _measure(df, _column_measures(df, names)).unionByName(_unique_counts(df, names))
+
+
+def _column_measures(df: DataFrame, names: Sequence[str]) -> list[tuple[str, str, Column]]:
     numbers = set(numeric_columns(df))
     measures = []
     for c in names:
@@ -275,16 +277,21 @@ def column_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> Da
                 (c, "mean", F.avg(v)),
                 (c, "std", F.stddev_samp(v)),
             ]
+    return measures
+
+
+def _unique_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     distinct = value_counts(df, names).groupBy("column_name").agg(F.count(F.lit(1)).cast("double").alias("value"))
-    return _measure(df, measures).unionByName(
-        distinct.select("column_name", F.lit("unique_count").alias("metric"), "value")
-    )
+    return distinct.select("column_name", F.lit("unique_count").alias("metric"), "value")
+
+
+def _text_measures(df: DataFrame, names: Sequence[str]) -> list[tuple[str, str, Column]]:
+    return [(c, "avg_length", F.avg(F.length(quoted(c)))) for c in names]
 
 
 def text_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Average length of text columns."""
-    names = list(columns or text_columns(df))
-    return _measure(df, [(c, "avg_length", F.avg(F.length(quoted(c)))) for c in names])
+    return _measure(df, _text_measures(df, list(columns or text_columns(df))))
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 5) -> DataFrame:
@@ -296,14 +303,19 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 5)
 def profile(df: DataFrame, meta: TableMeta, roles: ColumnRoles | None = None) -> DataFrame:
     """All findings on one table as (table_name, column_name, check, metric, value)."""
     roles = roles or ColumnRoles()
-    scan = [("", "rows", F.count(F.lit(1)))]
-    scan += [(c, "missing", count_where(quoted(c).isNull())) for c in df.columns]
-    scan += _whitespace_measures(df) + _encoding_measures(df)
-    scan += _date_measures(df, roles) + _coordinate_measures(df, roles)
+    issues = [("", "rows", F.count(F.lit(1)))]
+    issues += [(c, "missing", count_where(quoted(c).isNull())) for c in df.columns]
+    issues += _whitespace_measures(df) + _encoding_measures(df)
+    issues += _date_measures(df, roles) + _coordinate_measures(df, roles)
+    statistics = _column_measures(df, df.columns) + _text_measures(df, text_columns(df))
+    # Everything that looks at single rows is one scan.
+    scan = _measure(df, issues + statistics)
+    is_statistic = F.col("metric").isin(sorted({metric for _, metric, _ in statistics}))
+    found = scan.filter(is_statistic | (F.col("value") > 0) | (F.col("metric") == "rows"))
     parts = [
-        _measure(df, scan).filter("value > 0 OR metric = 'rows'").withColumn("check", F.lit("scan")),
+        found.withColumn("check", F.when(is_statistic, "statistics").otherwise("scan")),
+        _unique_counts(df, df.columns).withColumn("check", F.lit("statistics")),
         _single(duplicate_rows(df), "duplicate_rows"),
-        column_statistics(df).withColumn("check", F.lit("statistics")),
     ]
     if meta.primary_key:
         parts.append(_single(duplicate_keys(df, meta.primary_key), "duplicate_count"))
@@ -312,8 +324,6 @@ def profile(df: DataFrame, meta: TableMeta, roles: ColumnRoles | None = None) ->
             "column_name", F.lit("outliers").alias("metric"), F.col("outlier_count").cast("double").alias("value")
         )
         parts.append(outliers.withColumn("check", F.lit("outliers")))
-    if text_columns(df):
-        parts.append(text_statistics(df).withColumn("check", F.lit("statistics")))
     rows = union_all(parts).withColumn("table_name", F.lit(meta.name))
     return rows.select("table_name", "column_name", "check", "metric", "value")
 

@@ -79,18 +79,27 @@ def payload(metadata: Column, text: Column) -> list[Column]:
     return [*fields, F.coalesce(F.substring(text, 1, PREVIEW_CHARS), F.lit("")).alias("text_preview")]
 
 
-def points_of(documents: DataFrame, load: Callable[[], Encoder], dimension: int) -> DataFrame:
-    """Points of the documents whose vector passes the checks.
+def encode_documents(documents: DataFrame, load: Callable[[], Encoder], dimension: int) -> DataFrame:
+    """Documents with their vector and its findings.
 
     A document in several parts is encoded by its first.
     """
     first = documents.filter("part_no = 0") if "part_no" in documents.columns else documents
-    checked = check_vectors(encode(first, "text", load), "text", "vector", dimension).filter("is_valid")
-    return checked.select(
+    return check_vectors(encode(first, "text", load), "text", "vector", dimension)
+
+
+def points_from(encoded: DataFrame) -> DataFrame:
+    """Points of the encoded documents that passed the checks."""
+    return encoded.filter("is_valid").select(
         name_uuid(F.col("document_id")).alias("point_id"), "vector", *payload(F.col("metadata"), F.col("text"))
     )
 
 
+def points_of(documents: DataFrame, load: Callable[[], Encoder], dimension: int) -> DataFrame:
+    """Points of documents, from text to payload."""
+    return points_from(encode_documents(documents, load, dimension))
+
+
 def matches(conditions: Mapping[str, Any] | None, columns: Mapping[str, str]) -> Column:
     """All conditions at once: None is empty, a list is any of, else equal (E5).
 

@@ -12,6 +12,7 @@ from veriweave.functions.identifiers import name_uuid
 from veriweave.operators import documents as docs
 from veriweave.operators import vectors
 from veriweave.operators.graph import build_graph
+from veriweave.session import staged
 from veriweave.sources.stores import VersionedTable, delete_rows, document_store, upsert_rows
 
 
@@ -57,8 +58,9 @@ def build_points(
     by: str = "content",
 ) -> DataFrame:
     """Encode every document anew and rewrite the manifest; the counters."""
-    checked = vectors.check_vectors(vectors.encode(documents, "text", load), "text", "vector", dimension)
-    points.replace(vectors.points_of(documents, load, dimension))
+    # Encoding is the costly step: points and counters read one stored result of it.
+    checked = staged(vectors.encode_documents(documents, load, dimension), "encoded")
+    points.replace(vectors.points_from(checked))
     stored = points.read().select("document_id")
     current = versions(documents, by).join(stored, "document_id", "left_semi")
     manifest.replace(current.select("document_id", "version", F.lit(model).alias("model")))
