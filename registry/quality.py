@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry.domain_sql import domain
+from veriweave.functions.numbers import round_half_up
 from veriweave.operators import cleaning, enrichment, profiling, validation
 from veriweave.plans.etl import clean_and_enrich
 from veriweave.roles import DECLARED, domain_tables, read
@@ -270,7 +271,7 @@ def bad_dates(spark: SparkSession, sf: str) -> DataFrame:
 def outliers(spark: SparkSession, sf: str) -> DataFrame:
     found = profiling.iqr_outliers(gappy(spark, sf).drop("l_orderkey"))
     return found.select(
-        "column_name", F.round("lower_bound", 4).alias("lower_bound"), F.round("upper_bound", 4).alias("upper_bound"),
+        "column_name", round_half_up(F.col("lower_bound"), 3).alias("lower_bound"), round_half_up(F.col("upper_bound"), 3).alias("upper_bound"),
         "outlier_count",
     )
 
@@ -278,7 +279,7 @@ def outliers(spark: SparkSession, sf: str) -> DataFrame:
 def event_outliers(spark: SparkSession, sf: str) -> DataFrame:
     found = profiling.iqr_outliers(read(spark, sf, "events"), ["value", "user_id"])
     return found.select(
-        "column_name", F.round("lower_bound", 4).alias("lower_bound"), F.round("upper_bound", 4).alias("upper_bound"),
+        "column_name", round_half_up(F.col("lower_bound"), 3).alias("lower_bound"), round_half_up(F.col("upper_bound"), 3).alias("upper_bound"),
         "outlier_count",
     )
 
@@ -295,7 +296,7 @@ def _outlier_sql(source: str, columns: Sequence[str], prefix: str = "") -> str:
         )
     body = " UNION ALL ".join(parts)
     return (
-        f"{prefix}SELECT column_name, round(lo, 4) AS lower_bound, round(hi, 4) AS upper_bound, outlier_count "
+        f"{prefix}SELECT column_name, floor(lo * 1000 + 0.5 + 1e-7) / 1000 AS lower_bound, floor(hi * 1000 + 0.5 + 1e-7) / 1000 AS upper_bound, outlier_count "
         f"FROM ({body}) WHERE outlier_count > 0"
     )
 
@@ -311,12 +312,12 @@ def coords(spark: SparkSession, sf: str) -> DataFrame:
 
 def column_stats(spark: SparkSession, sf: str) -> DataFrame:
     stats = profiling.column_statistics(read(spark, sf, "orders"), ["o_custkey", "o_totalprice", "o_orderstatus"])
-    return stats.select("column_name", "metric", F.round("value", 3).alias("value"))
+    return stats.select("column_name", "metric", round_half_up(F.col("value"), 3).alias("value"))
 
 
 COLUMN_STATS_SQL = " UNION ALL ".join(
     [
-        f"SELECT '{c}' AS column_name, m AS metric, round(CAST(v AS DOUBLE), 3) AS value FROM (SELECT unnest([{metrics}]) AS m, "
+        f"SELECT '{c}' AS column_name, m AS metric, floor(CAST(v AS DOUBLE) * 1000 + 0.5 + 1e-7) / 1000 AS value FROM (SELECT unnest([{metrics}]) AS m, "
         f"unnest([{values}]) AS v FROM orders)"
         for c, metrics, values in (
             (
@@ -336,7 +337,7 @@ COLUMN_STATS_SQL = " UNION ALL ".join(
 
 def text_stats(spark: SparkSession, sf: str) -> DataFrame:
     return profiling.text_statistics(read(spark, sf, "documents")).select(
-        "column_name", "metric", F.round("value", 3).alias("value")
+        "column_name", "metric", round_half_up(F.col("value"), 3).alias("value")
     )
 
 
@@ -689,7 +690,7 @@ QUERIES = {
     "P10_column_stats": (column_stats, COLUMN_STATS_SQL),
     "P11_text_stats": (
         text_stats,
-        " UNION ALL ".join(f"SELECT '{c}' AS column_name, 'avg_length' AS metric, round(avg(length({c})), 3) AS value FROM documents"
+        " UNION ALL ".join(f"SELECT '{c}' AS column_name, 'avg_length' AS metric, floor(avg(length({c})) * 1000 + 0.5 + 1e-7) / 1000 AS value FROM documents"
                            for c in ("text", "lang", "source")),
     ),
     "P11_top_values": (top_values, TOP_SQL),
