@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -695,3 +697,63 @@ QUERIES = {
         f"WITH {RANKED_SQL} SELECT query_id, rank, document_id, document_type, similarity_score, final_score, text_preview FROM ranked WHERE rank <= 5",
     ),
 }
+
+
+def wrong_dimension(spark: SparkSession, sf: str) -> DataFrame:
+    from veriweave.sources.stores import points_with_wrong_dimension
+
+    rows = broken(spark, sf).select(F.col("vec_id").alias("point_id"), "vector").filter("vector IS NOT NULL")
+    return points_with_wrong_dimension(rows, 64).select("point_id", F.size("vector").cast("bigint").alias("dimension"))
+
+
+def explained_matches(spark: SparkSession, sf: str) -> DataFrame:
+    found = querytext.extract_entities(querytext.process(turn_queries(spark, sf), "text", "processed"), "processed")
+    told = ranking.explain_matches(searched(spark, sf), found)
+    return told.select("query_id", "rank", F.col("explanation.ranking_reason").alias("reason"))
+
+
+_MATCHED = (
+    "concat_ws(', ', CASE WHEN asked_district = district THEN 'District (' || asked_district || ')' END, CASE WHEN asked_year = crime_year THEN 'Year (' || asked_year || ')' END)"
+)
+_TOLD = (
+    f"CASE WHEN {R3.format('0.60 * sim')} > 0.4 THEN 'High semantic similarity to query' WHEN {R3.format('0.60 * sim')} > 0.2 THEN 'Moderate semantic match' END"
+)
+
+
+def sync_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """A collection built from earlier texts, brought in step with the documents as they are."""
+    from veriweave.session import checkpoint_dir
+    from veriweave.sources.stores import VersionedTable
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/sync/{uuid.uuid4().hex}"
+    store, manifest = VersionedTable(spark, f"{root}/points"), VersionedTable(spark, f"{root}/manifest")
+    now = corpus(spark, sf)
+    labelled = read(spark, sf, "labels").selectExpr("doc_id", "toxic", "quality")
+    earlier = now.join(labelled, F.col("metadata")["case_id"] == F.col("doc_id")).select(
+        F.when(F.col("toxic") == 1, F.concat("document_id", F.lit("_gone"))).otherwise(F.col("document_id")).alias("document_id"),
+        "document_type", F.when(F.col("quality") == 1, F.col("text")).otherwise(F.lit("an earlier text")).alias("text"), "metadata",
+    )
+    earlier = earlier.withColumn("metadata", F.col("metadata").withField("document_id", F.col("document_id")))
+    corpus_plans.build_points(earlier, store, manifest, ENCODER, DIMENSION, MODEL)
+    corpus_plans.sync_points(now, store, manifest, ENCODER, DIMENSION, MODEL)
+    return store.read().select("point_id", "document_id", "text_preview").join(
+        manifest.read().select("document_id", "version"), "document_id", "left"
+    ).select("point_id", "document_id", "text_preview", F.col("version").isNotNull().alias("in_manifest"))
+
+
+QUERIES |= {
+    "S18_wrong_dimension": (
+        wrong_dimension,
+        f"WITH {BROKEN_SQL} SELECT vec_id AS point_id, CAST(len(vector) AS BIGINT) AS dimension FROM broken WHERE len(vector) <> 64",
+    ),
+    "R22_explain_matches": (
+        explained_matches,
+        f"WITH {RANKED_SQL}, {ENTITIES_SQL}, told AS (SELECT query_id, rank, {_TOLD} AS a, nullif({_MATCHED}, '') AS m, {_REASON} AS reason FROM ranked r "
+        "JOIN (SELECT query_id, district AS asked_district, year AS asked_year FROM entities) USING (query_id) WHERE rank <= 5) SELECT query_id, rank, CASE WHEN a IS NULL AND m IS NULL THEN reason ELSE "
+        "concat_ws('. ', a, 'Matched entities: ' || m) || '.' END AS reason FROM told",
+    ),
+    "E10_E11_sync_apply": (
+        sync_apply,
+        f"WITH {CORPUS_SQL} SELECT point_id, document_id, substr(text, 1, 500) AS text_preview, true AS in_manifest FROM corpus WHERE trim(text) <> ''",
+    ),
+}

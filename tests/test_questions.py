@@ -1,7 +1,6 @@
 """Lookups, question classification and answers."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from veriweave.operators import answers, lookups, questions
 from veriweave.plans.answering import answer_questions
