@@ -58,19 +58,17 @@ def shape(df: DataFrame) -> DataFrame:
 
 def missing_values(df: DataFrame) -> DataFrame:
     """NULL count and percentage of the columns that have NULLs."""
-    measures = [("", "rows", F.count(F.lit(1)))]
-    measures += [(c, "missing", count_where(quoted(c).isNull())) for c in df.columns]
-    cells = _measure(df, measures)
-    total = F.max(F.when(F.col("metric") == "rows", F.col("value"))).over(Window.partitionBy(F.lit(1)))
-    return (
-        cells.withColumn("total", total)
-        .filter((F.col("metric") == "missing") & (F.col("value") > 0))
-        .select(
-            "column_name",
-            F.col("value").cast("bigint").alias("missing_count"),
-            round_half_up(F.col("value") / F.col("total") * 100, 2).alias("missing_pct"),
+    counts = [count_where(quoted(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
+    row = df.agg(F.count(F.lit(1)).alias("total"), *counts)
+    cells = F.array(*[
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.col(f"m{i}").alias("missing_count"),
+            round_half_up(F.col(f"m{i}") / F.col("total") * 100, 2).alias("missing_pct"),
         )
-    )
+        for i, c in enumerate(df.columns)
+    ])
+    return row.filter("total > 0").select(F.inline(cells)).filter("missing_count > 0")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -89,11 +89,11 @@ def foreign_keys(df: DataFrame, meta: TableMeta, tables: Mapping[str, DataFrame]
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("value").cast("string").alias("s")))),
                                      lambda r: r["s"]), ",").alias("samples")
         )
-        # Both sides are single rows.
-        counted = orphans.agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
-        joined = counted.join(F.broadcast(samples.withColumn("one", F.lit(1))), "one")
+        counted = orphans.agg(F.count(F.lit(1)).alias("n")).withColumn("samples", F.lit(None).cast("string"))
+        both = counted.unionByName(samples.withColumn("n", F.lit(0).cast("bigint")))
+        row = both.agg(F.max("n").alias("n"), F.max("samples").alias("samples"))
         n = F.col("n")
-        parts.append(joined.select(*_row("fk_integrity", fk.column, n, _flag(n), F.lit(0), F.col("samples"))))
+        parts.append(row.select(*_row("fk_integrity", fk.column, n, _flag(n), F.lit(0), F.col("samples"))))
     return union_all(parts)
 
 
