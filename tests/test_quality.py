@@ -182,7 +182,7 @@ def test_metadata(spark):
 
 
 def test_etl_run_and_name_resolution(spark, tmp_path):
-    spark.sql("CREATE DATABASE IF NOT EXISTS vw_test")
+    spark.sql(f"CREATE DATABASE vw_test LOCATION '{tmp_path}/vw_test'")
     tables = {"CaseMaster": case_table(spark), "Accused": accused_table(spark)}
     run = run_etl(spark, tables, {"CaseMaster": CASE_META, "Accused": ACCUSED_META}, "vw_test", str(tmp_path))
     summary = run.summary.first()

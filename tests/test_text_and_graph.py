@@ -142,7 +142,7 @@ def test_csv_load(spark, tmp_path):
     (tmp_path / "District.csv").write_text("DistrictID,DistrictName\n1,Mysuru\n2,\"Udupi, west\"\n")
     frames, missing = read_csv_tables(spark, str(tmp_path))
     assert list(frames) == ["District"] and len(missing) == 10
-    spark.sql("CREATE DATABASE IF NOT EXISTS vw_csv")
+    spark.sql(f"CREATE DATABASE vw_csv LOCATION '{tmp_path}/vw_csv'")
     load_tables(frames, "vw_csv")
     load_tables(frames, "vw_csv", mode="append")
     assert spark.table("vw_csv.District").count() == 4
