@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriweave.llm import byte_bpe
+from veriweave.llm import byte_bpe, decontamination, language_id, oracles
 from veriweave.llm.common import table
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside benchmark windows."""
+    return decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of all documents and the bytes they decode to."""
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from two folds of three."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_decontamination": (op5_decontamination, oracles.DECONTAMINATION),
     "op7_byte_bpe": (op7_byte_bpe, None),
+    "op8_language_id": (op8_language_id, None),
 }
