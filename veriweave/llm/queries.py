@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriweave.llm import byte_bpe, decontamination, language_id, oracles
+from veriweave.llm import byte_bpe, decontamination, fingerprints, language_id, oracles
 from veriweave.llm.common import table
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of all documents and of their edited texts."""
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents inside benchmark windows."""
     return decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -24,6 +29,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_fingerprints": (op3_fingerprints, None),
     "op5_decontamination": (op5_decontamination, oracles.DECONTAMINATION),
     "op7_byte_bpe": (op7_byte_bpe, None),
     "op8_language_id": (op8_language_id, None),
