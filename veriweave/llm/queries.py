@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriweave.llm import byte_bpe, decontamination, fingerprints, language_id, oracles
+from veriweave.llm import byte_bpe, decontamination, fingerprints, html_text, language_id, oracles
 from veriweave.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of all documents and the bytes they decode to."""
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
@@ -31,6 +36,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_fingerprints": (op3_fingerprints, None),
     "op5_decontamination": (op5_decontamination, oracles.DECONTAMINATION),
+    "op6_html_text": (op6_html_text, None),
     "op7_byte_bpe": (op7_byte_bpe, None),
     "op8_language_id": (op8_language_id, None),
 }
