@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriweave.llm import byte_bpe, decontamination, fingerprints, html_text, language_id, oracles
+from veriweave.llm import byte_bpe, chat_format, decontamination, fingerprints, html_text, language_id, oracles, toxicity
 from veriweave.llm.common import table
 
 
+# A conversation made of control strings, so that escaping is always met.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, packed as prefix trees and read back."""
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.digests(chat_format.packs(turns))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash of all documents and of their edited texts."""
     return fingerprints.compared(table(spark, sf_dir, "documents"))
@@ -33,10 +44,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from four folds of five."""
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_chat_format": (op2_chat_format, oracles.CHAT_FORMAT),
     "op3_fingerprints": (op3_fingerprints, None),
     "op5_decontamination": (op5_decontamination, oracles.DECONTAMINATION),
     "op6_html_text": (op6_html_text, None),
     "op7_byte_bpe": (op7_byte_bpe, None),
     "op8_language_id": (op8_language_id, None),
+    "op9_toxicity": (op9_toxicity, None),
 }
