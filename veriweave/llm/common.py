@@ -151,3 +151,9 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tup
     ends[cut] = inside[cut]
     at = np.flatnonzero(starts)
     return at, np.flatnonzero(ends) + 1, np.searchsorted(at, offsets)
+
+
+def partitions_for(df: DataFrame, bytes_each: int = 32 * 1024 * 1024) -> int:
+    """Partitions for a shuffle of the whole frame: by its size as Spark knows it, and no fewer than the session's setting."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each)), 1 << 20)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from veriweave.llm import byte_bpe, chat_format, decontamination, fingerprints, html_text, language_id, oracles, toxicity
+from veriweave.llm import byte_bpe, chat_format, decontamination, fingerprints, html_text, language_id, oracles, token_files, toxicity
 from veriweave.llm.common import table
+from veriweave.session import checkpoint_dir
 
 
 # A conversation made of control strings, so that escaping is always met.
@@ -24,6 +27,13 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to files and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path)
+    return token_files.read_summary(spark, path)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents inside benchmark windows."""
     return decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -52,6 +62,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_chat_format": (op2_chat_format, oracles.CHAT_FORMAT),
     "op3_fingerprints": (op3_fingerprints, None),
+    "op4_token_files": (op4_token_files, None),
     "op5_decontamination": (op5_decontamination, oracles.DECONTAMINATION),
     "op6_html_text": (op6_html_text, None),
     "op7_byte_bpe": (op7_byte_bpe, None),
