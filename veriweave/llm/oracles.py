@@ -37,3 +37,20 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\\\*[|]')))::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+SUFFIX_DEDUP = """
+WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT *, (length(h) // 2)::BIGINT AS n FROM docs),
+starts AS (SELECT rid, h, unnest(range(0, n - 99)) AS p FROM sized WHERE n >= 100),
+ranked AS (SELECT rid, p, row_number() OVER (PARTITION BY md5(substr(h, 2 * p + 1, 200)) ORDER BY rid, p) AS k FROM starts),
+again AS (SELECT rid, p, p > coalesce(lag(p) OVER (PARTITION BY rid ORDER BY p), -1000) + 100 AS new FROM ranked WHERE k > 1),
+islands AS (SELECT rid, p, sum(new::INT) OVER (PARTITION BY rid ORDER BY p) AS i FROM again),
+spans AS (SELECT rid, min(p) AS a, max(p) + 100 AS b FROM islands GROUP BY rid, i),
+edges AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM spans),
+totals AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM spans GROUP BY rid),
+heads AS (SELECT e.rid, string_agg(substr(s.h, 2 * e.before + 1, 2 * (e.a - e.before)), '' ORDER BY e.a) AS head FROM edges e JOIN sized s USING (rid) GROUP BY e.rid)
+SELECT s.doc_id, s.n AS n_bytes, coalesce(t.n_removed, 0)::BIGINT AS n_removed, coalesce(t.n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(x.head, '') || substr(s.h, 2 * coalesce(t.last, 0) + 1))) AS kept_sha256
+FROM sized s LEFT JOIN totals t USING (rid) LEFT JOIN heads x USING (rid)
+"""

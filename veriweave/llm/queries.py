@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriweave.llm import byte_bpe, chat_format, decontamination, fingerprints, html_text, language_id, oracles, token_files, toxicity
+from veriweave.llm import byte_bpe, chat_format, decontamination, fingerprints, html_text, language_id, oracles, suffix_dedup, token_files, toxicity
 from veriweave.llm.common import table
 from veriweave.session import checkpoint_dir
 
@@ -59,6 +59,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats of 100-byte strings are cut out of all documents."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_chat_format": (op2_chat_format, oracles.CHAT_FORMAT),
     "op3_fingerprints": (op3_fingerprints, None),
@@ -68,4 +73,5 @@ QUERIES = {
     "op7_byte_bpe": (op7_byte_bpe, None),
     "op8_language_id": (op8_language_id, None),
     "op9_toxicity": (op9_toxicity, None),
+    "op10_suffix_dedup": (op10_suffix_dedup, oracles.SUFFIX_DEDUP),
 }
