@@ -42,8 +42,10 @@ SUFFIX_DEDUP = """
 WITH docs AS (
   SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 sized AS (SELECT *, (length(h) // 2)::BIGINT AS n FROM docs),
-starts AS (SELECT rid, h, unnest(range(0, n - 99)) AS p FROM sized WHERE n >= 100),
-ranked AS (SELECT rid, p, row_number() OVER (PARTITION BY md5(substr(h, 2 * p + 1, 200)) ORDER BY rid, p) AS k FROM starts),
+cuts AS (SELECT rid, h, n, unnest(range(0, n - 99, 400)) AS c FROM sized WHERE n >= 100),
+pieces AS (SELECT rid, c, substr(h, 2 * c + 1, 998) AS piece, least(400, n - 99 - c) AS m FROM cuts),
+starts AS (SELECT rid, c, piece, unnest(range(0, m)) AS q FROM pieces),
+ranked AS (SELECT rid, c + q AS p, row_number() OVER (PARTITION BY md5(substr(piece, 2 * q + 1, 200)) ORDER BY rid, c + q) AS k FROM starts),
 again AS (SELECT rid, p, p > coalesce(lag(p) OVER (PARTITION BY rid ORDER BY p), -1000) + 100 AS new FROM ranked WHERE k > 1),
 islands AS (SELECT rid, p, sum(new::INT) OVER (PARTITION BY rid ORDER BY p) AS i FROM again),
 spans AS (SELECT rid, min(p) AS a, max(p) + 100 AS b FROM islands GROUP BY rid, i),
@@ -54,3 +56,21 @@ SELECT s.doc_id, s.n AS n_bytes, coalesce(t.n_removed, 0)::BIGINT AS n_removed,
        sha256(unhex(coalesce(x.head, '') || substr(s.h, 2 * coalesce(t.last, 0) + 1))) AS kept_sha256
 FROM sized s LEFT JOIN totals t USING (rid) LEFT JOIN heads x USING (rid)
 """
+
+NGRAM_JOIN = f"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents),
+places AS (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 5, 0) + 2)) AS p FROM words WHERE len(ws) > 0),
+shingles AS (SELECT DISTINCT rid, hash(array_to_string(ws[p:p + 4], ' ')) AS s FROM places),
+sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+pairs AS (
+  SELECT x.rid AS a, y.rid AS b, count(*) AS common FROM shingles x JOIN shingles y ON x.s = y.s AND x.rid < y.rid GROUP BY x.rid, y.rid),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes m ON m.rid = a JOIN sizes n ON n.rid = b WHERE 100 * common >= 75 * (m.n + n.n - common)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(rid, other) AS (SELECT rid, rid FROM words UNION SELECT r.rid, e.b FROM reach r JOIN edges e ON r.other = e.a)
+SELECT w.doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM reach r JOIN words w USING (rid) JOIN words o ON o.rid = r.other LEFT JOIN sizes z ON z.rid = r.rid
+GROUP BY r.rid, w.doc_id
+"""

@@ -6,11 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriweave.llm import byte_bpe, chat_format, decontamination, fingerprints, html_text, language_id, oracles, suffix_dedup, token_files, toxicity
+from veriweave.llm import byte_bpe, chat_format, decontamination, fingerprints, html_text, language_id, ngram_join, oracles, suffix_dedup, token_files, toxicity
 from veriweave.llm.common import table
 from veriweave.session import checkpoint_dir
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents, by the shingles they share."""
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 # A conversation made of control strings, so that escaping is always met.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -65,6 +70,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": (op1_ngram_join, oracles.NGRAM_JOIN),
     "op2_chat_format": (op2_chat_format, oracles.CHAT_FORMAT),
     "op3_fingerprints": (op3_fingerprints, None),
     "op4_token_files": (op4_token_files, None),
