@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows and bytes of a batch that Spark hands to a Python worker.
 BATCH_ROWS = 1000
@@ -31,14 +32,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def id_and_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id`` and ``text`` only, a missing text as the empty one; other columns cannot clash any more."""
+def id_and_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id`` and ``text`` only, a missing text as the empty one; other columns cannot clash any more.
+
+    Columns to ``keep`` follow as ``_kept0``, ``_kept1`` and so on.
+    """
     return docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_column), F.lit("")).alias("text"),
+        *[F.col(c).alias(f"_kept{i}") for i, c in enumerate(keep)],
     )
 
 
+def with_kept(schema: str, docs: DataFrame, keep: Sequence[str]) -> T.StructType:
+    """The schema with the kept columns behind it."""
+    out = T.StructType.fromDDL(schema)
+    for i, column in enumerate(keep):
+        out = out.add(f"_kept{i}", docs.schema[column].dataType)
+    return out
+
+
+def restored(keep: Sequence[str], **changed: Column) -> list[Column]:
+    """The kept columns under their own names; the ``changed`` ones from the given expressions."""
+    return [changed[c].alias(c) if c in changed else F.col(f"_kept{i}").alias(c) for i, c in enumerate(keep)]
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of an Arrow text column (no nulls) and the n + 1 offsets of its rows, without a copy."""
     if isinstance(column, pa.ChunkedArray):

@@ -17,13 +17,14 @@ count once; repeated documents give one row each; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veriweave.llm.common import LOWER, Rolling, id_and_text, mix, slices, text_bytes, word_bounds
 
@@ -199,7 +200,7 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[dict[str, int]]:
     return out
 
 
-def _hits(docs: DataFrame, shared) -> DataFrame:
+def _hits(docs: DataFrame, shared, keep: Sequence[str]) -> DataFrame:
     """Spans of hit words and items of each document, for one part of the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,11 +220,15 @@ def _hits(docs: DataFrame, shared) -> DataFrame:
                     spans[r] = _merged(begin, begin + index.length[window[own]])
                     items[r] = sorted({i for w in np.unique(window[own]) for i in index.items[w]})
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(np.diff(words.first)), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))],
-                    names=["doc_id", "key", "n_words", "spans", "item_ids"],
+                    [
+                        part.column(0), part.column(part.num_columns - 1), pa.array(np.diff(words.first)), pa.array(spans, kind),
+                        pa.array(items, pa.list_(pa.string())), *part.columns[2:-1],
+                    ],
+                    names=schema.names,
                 )
 
-    return docs.mapInArrow(run, _HITS)
+    schema = T.StructType([*T.StructType.fromDDL(_HITS), *[docs.schema[f"_kept{i}"] for i in range(len(keep))]])
+    return docs.mapInArrow(run, schema)
 
 
 def _merge_parts(hits: DataFrame) -> DataFrame:
@@ -248,12 +253,16 @@ def _merge_parts(hits: DataFrame) -> DataFrame:
 
 
 def contaminated_spans(
-    docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, shingle: int = SHINGLE_WORDS, part_bytes: int = PART_BYTES
+    docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, shingle: int = SHINGLE_WORDS, part_bytes: int = PART_BYTES, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """``doc_id``, ``n_words``, ``spans`` of hit words (start, end) and sorted ``item_ids`` of every document."""
+    """``doc_id``, ``n_words``, ``spans`` of hit words (start, end) and sorted ``item_ids`` of every document.
+
+    Columns to ``keep`` follow (see ``id_and_text``).
+    """
     spark = docs.sparkSession
     # The key tells documents of one id apart when parts of the index are put together.
-    source = id_and_text(docs).withColumn("key", F.xxhash64("text"))
+    source = id_and_text(docs, keep=keep).withColumn("key", F.xxhash64("text"))
+    texts = source.select("doc_id", "text", "key")
     windows = (
         windows_of(items, size).groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
         .withColumn("bytes", F.length("words") * 12 + F.length(F.array_join("items", ",")) + 200)
@@ -263,18 +272,19 @@ def contaminated_spans(
     for part in range(n_parts):
         own = windows.filter(F.pmod(F.xxhash64("words"), F.lit(n_parts)) == part).orderBy("words").select("words", "items")
         index = Index([(r.words, list(r.items)) for r in own.collect()], shingle)
-        counts = shingle_counts(source, index.all_shingles())
+        counts = shingle_counts(texts, index.all_shingles())
         index.order({r.shingle: r.n for r in counts.collect()})
-        parts.append(_hits(source, spark.sparkContext.broadcast(index)))
+        shared = spark.sparkContext.broadcast(index)
+        parts.append(_hits(source, shared, keep) if n_parts == 1 else _hits(texts, shared, ()))
     if n_parts == 1:
         return parts[0].drop("key")
     hits = parts[0]
     for more in parts[1:]:
         hits = hits.unionByName(more)
-    keys = source.select("doc_id", "key")
+    keys = source.drop("text")
     merged = _merge_parts(hits)
     same = keys.doc_id.eqNullSafe(merged.doc_id) & (keys.key == merged.key)
-    return keys.join(merged, same).select(keys.doc_id, "n_words", "spans", "item_ids")
+    return keys.join(merged, same).select(keys.doc_id, "n_words", "spans", "item_ids", *[f"_kept{i}" for i in range(len(keep))])
 
 
 def judged(docs: DataFrame, items: DataFrame, one_in: int = 20, **options) -> DataFrame:
@@ -287,4 +297,5 @@ def judged(docs: DataFrame, items: DataFrame, one_in: int = 20, **options) -> Da
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        *[f"_kept{i}" for i in range(len(options.get("keep", ())))],
     )

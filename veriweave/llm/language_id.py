@@ -14,7 +14,7 @@ result each; extra columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriweave.llm.common import id_and_text, mix, slices
+from veriweave.llm.common import id_and_text, mix, slices, with_kept
 from veriweave.session import staged
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -262,8 +262,13 @@ class Scorer:
         return out
 
 
-def predict(docs: DataFrame, model: Model, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id``, ``lang_pred`` and ``score`` (the posterior of that language) of every whole text; no shuffle."""
+def predict(
+    docs: DataFrame, model: Model, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
+    """``doc_id``, ``lang_pred`` and ``score`` (the posterior of that language) of every whole text; no shuffle.
+
+    Columns to ``keep`` follow (see ``id_and_text``).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     decided = F.col("text").rlike(r"\p{L}") & F.lit(bool(model.languages))
 
@@ -272,7 +277,7 @@ def predict(docs: DataFrame, model: Model, vocabulary: str = VOCABULARY, id_colu
         scorer = Scorer(model, vocabulary)
         for batch in batches:
             for part in slices(batch, _SLICE_BYTES):
-                asked = part.column(2).to_numpy(zero_copy_only=False)
+                asked = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)
                 texts = [t if a else "" for t, a in zip(part.column(1).to_pylist(), asked, strict=True)]
                 langs, scores = [UNDECIDED] * len(texts), np.zeros(len(texts))
                 if model.languages:
@@ -281,10 +286,11 @@ def predict(docs: DataFrame, model: Model, vocabulary: str = VOCABULARY, id_colu
                     posterior = 1.0 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
                     langs = [model.languages[b] if a else UNDECIDED for a, b in zip(asked, best, strict=True)]
                     scores = np.where(asked, posterior, 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores), *part.columns[2:-1]], names=schema.names)
 
-    source = id_and_text(docs, id_column, text_column).withColumn("asked", decided)
-    return source.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    source = id_and_text(docs, id_column, text_column, keep).withColumn("asked", decided)
+    schema = with_kept("doc_id long, lang_pred string, score double", docs, keep)
+    return source.mapInArrow(run, schema)
 
 
 def held_out(id_column: str = "doc_id", parts: int = 3, part: int = 1) -> Column:

@@ -28,12 +28,13 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veriweave.llm.common import Rolling, id_and_text, partitions_for, slices, text_bytes
 from veriweave.session import staged
@@ -366,13 +367,16 @@ def _settle_contexts(contexts: DataFrame, size: int) -> DataFrame:
     return contexts.groupBy("bucket").applyInArrow(one, _SPANS)
 
 
-def _cut(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
+def _cut(docs: DataFrame, spans: DataFrame, size: int, keep: Sequence[str], decode: bool) -> DataFrame:
     """Every document with its removed spans and the bytes that are left."""
     per_doc = spans.groupBy("key", "text_key").agg(F.collect_list("spans").alias("found"))
     # Rows equal in id and text: all but one are later copies.
     copies = Window.partitionBy("key", "text_key").orderBy(F.lit(0))
     numbered = docs.withColumn("copy", F.row_number().over(copies))
-    schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+    columns = [f"_kept{i}" for i in range(len(keep))]
+    schema = T.StructType([
+        *T.StructType.fromDDL(f"doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept {'string' if decode else 'binary'}"), *[docs.schema[c] for c in columns]
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -393,19 +397,24 @@ def _cut(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
                     pieces.append(data[at:])
                     sizes.append(len(data))
                     removed.append([{"start": a, "end": b} for a, b in spans])
-                    kept.append(b"".join(pieces))
+                    left = b"".join(pieces)
+                    kept.append(left.decode(errors="ignore") if decode else left)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"]
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.string() if decode else pa.binary()), *part.columns[4:]], names=schema.names
                 )
 
-    joined = numbered.join(per_doc, ["key", "text_key"], "left").select("doc_id", "text", "copy", "found")
+    joined = numbered.join(per_doc, ["key", "text_key"], "left").select("doc_id", "text", "copy", "found", *columns)
     return joined.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """``doc_id``, ``n_bytes``, removed ``spans`` (maximal, in bytes) and ``kept`` bytes of every document."""
+def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep: Sequence[str] = (), decode: bool = False) -> DataFrame:
+    """``doc_id``, ``n_bytes``, removed ``spans`` (maximal, in bytes) and ``kept`` bytes of every document.
+
+    Columns to ``keep`` follow (see ``id_and_text``). With ``decode`` what is left comes as
+    text, without characters that were cut in two.
+    """
     source = (
-        id_and_text(docs)
+        id_and_text(docs, keep=keep)
         .withColumn("key", F.coalesce(F.col("doc_id"), F.lit(_LEAST_LONG)))
         .withColumn("text_key", F.xxhash64("text"))
     )
@@ -414,7 +423,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
     found = staged(_settle_runs(runs, size), "suffix-runs")
     detailed = staged(_settle_contexts(_contexts(keyed, found, size), size), "suffix-spans")
     spans = found.filter("spans IS NOT NULL").select("key", "text_key", "spans").unionByName(detailed)
-    return _cut(source, spans, size)
+    return _cut(source, spans, size, keep, decode)
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
