@@ -1,10 +1,10 @@
 """Toxicity: a character n-gram classifier scaled by naive Bayes log-count ratios (9).
 
 A text's features are the hashed character n-grams that occur in it, in lower case. Over
-all learning rows, each feature's log-count ratio between toxic and other texts is
+the learning rows, each feature's log-count ratio between toxic and other texts is
 computed, and the features that tell the classes apart best are kept. A logistic
-regression over presences scaled by those ratios is then fitted on a bounded sample of
-the learning rows (``train_rows``), and every text is scored whole.
+regression over presences scaled by those ratios is then fitted. Learning rows are a
+sample of the labelled ones of at most about ``train_rows``; every text is scored whole.
 
 Defined results: a null or empty text has no features and gets the score of the
 intercept; rows with a null label are not learned from; several labels of one document
@@ -24,12 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriweave.llm.common import id_and_text, slices
+from veriweave.session import staged
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
-# Features kept, rows the regression is fitted on at most (in expectation), and its rules.
+# Features kept, labelled rows learned from at most (in expectation), and the rules of the fit.
 FEATURES = 2048
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 30_000
 ALPHA = 1.0
 PENALTY = 1e-3
 STEPS = 1000
@@ -82,7 +83,7 @@ def _class_counts(rows: DataFrame, sizes: tuple[int, ...], bits: int) -> dict[in
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, (1 << bits) + _PIECE), np.int64)
+        totals = np.zeros((2, (1 << bits) + _PIECE), np.int32)
         marked = np.zeros(1 << bits, bool)
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -104,7 +105,7 @@ def _class_counts(rows: DataFrame, sizes: tuple[int, ...], bits: int) -> dict[in
         total = np.zeros(_PIECE, np.int64)
         for batch in batches:
             for counts in batch.column(2):
-                total += np.frombuffer(counts.as_buffer(), np.int64)
+                total += np.frombuffer(counts.as_buffer(), np.int32)
         yield pa.RecordBatch.from_arrays(
             [pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())],
             names=["toxic", "piece", "counts"],
@@ -163,8 +164,14 @@ def fit(
     sizes: tuple[int, ...] = SIZES, bits: int = BITS, penalty: float = PENALTY, steps: int = STEPS,
 ) -> Model:
     """Learn from the labelled documents for which ``learn`` (over doc_id) holds."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").filter(learn)
-    rows = id_and_text(docs).join(known, "doc_id")
+    known = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+        .filter("toxic in (0, 1) AND doc_id IS NOT NULL").filter(learn)
+    )
+    # About train_rows labels, by hash of the id. So many fit in every task, and texts need no shuffle to meet them.
+    share = min(1.0, train_rows / max(known.count(), 1))
+    drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = staged(id_and_text(docs).join(F.broadcast(drawn), "doc_id"), "toxicity-rows")
     counts = _class_counts(rows, sizes, bits)
     n0, n1 = int(counts[0][-1]), int(counts[1][-1])
     if not n0 or not n1:
@@ -178,10 +185,7 @@ def fit(
     kept = np.sort(np.argsort(-strength, kind="stable")[:features])
     kept = kept[strength[kept] > 0]
     ratio = np.log((with1[kept] + ALPHA) / (n1 + 2 * ALPHA)) - np.log((with0[kept] + ALPHA) / (n0 + 2 * ALPHA))
-    # A sample by hash of the text, of about train_rows rows.
-    share = min(1.0, train_rows / (n0 + n1))
-    drawn = rows.filter(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = _kept_features(drawn, kept, sizes, bits).collect()
+    sample = _kept_features(rows, kept, sizes, bits).collect()
     target = np.array([r.toxic for r in sample], float)
     many = np.array([len(r.present) for r in sample], np.int64)
     columns = np.concatenate([np.array(r.present, np.int64) for r in sample]) if sample else np.empty(0, np.int64)
