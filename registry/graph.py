@@ -216,6 +216,17 @@ _DISTRICTS = """SELECT query_id, 'District: ' || district AS node, 'HAS_COURT/UN
   least(3, (SELECT count(DISTINCT UnitName) FROM Unit u WHERE u.DistrictID = d.DistrictID)) || ' Units' AS connected_to, 1.0::DOUBLE AS score
 FROM {asked} a JOIN District d ON d.DistrictName = a.district"""
 
+
+
+def triple_sql(districts: str, names: str, numbers: str, sections: str) -> list[str]:
+    """SQL of the graph results for extracted entities, in the order of the steps."""
+    officer = _officer_named(names)
+    accused = officer.replace("'Officer: '", "'Accused: '").replace("'INVESTIGATES'", "'INVOLVED_IN'").replace("JOIN counts", "JOIN pcounts")
+    return [_DISTRICTS.format(asked=districts), officer, accused, _CASES_NUMBERED.format(asked=numbers), _SECTIONS.format(asked=sections)]
+
+
+OFFICER_COUNTS, PEOPLE = _OFFICER_COUNTS, _PEOPLE
+
 QUERIES = {
     **{f"G{i}_{s.label.lower()}_nodes": _node(s) for i, s in enumerate(graph.NODES, 1)},
     **{f"G{i}_{s.type.lower()}": _edge(s) for i, s in enumerate(graph.EDGES, 12)},

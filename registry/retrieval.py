@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from registry.domain_sql import domain
+from registry.graph import OFFICER_COUNTS, PEOPLE, triple_sql
 from veriweave.functions.encoding import DIMENSION, hashing_encoder
 from veriweave.functions.identifiers import name_uuid
 from veriweave.operators import analytics, context, querytext, ranking, vectors
@@ -258,8 +260,8 @@ TURN_ID = "(conv_id * 1000 + turn)"
 
 
 def turn_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """What users said in the conversations, after a phrase with known words."""
-    return read(spark, sf, "conversations").filter("role = 'user'").selectExpr(
+    """What was said in the conversations, every turn, after a phrase with known words."""
+    return read(spark, sf, "conversations").selectExpr(
         f"{TURN_ID} AS query_id", f"' ' || ({spelled_words(TURN_ID)}) || '  ' || text AS text"
     )
 
@@ -283,8 +285,8 @@ def _expand_sql(c: str) -> str:
 
 
 TURNS_SQL = (
-    f"turns AS (SELECT {TURN_ID} AS query_id, ' ' || ({spelled_words(TURN_ID)}) || '  ' || text AS text FROM conversations "
-    f"WHERE role = 'user'),\nprocessed AS (SELECT query_id, {_expand_sql(_NORMAL)} AS p FROM turns)"
+    f"turns AS (SELECT {TURN_ID} AS query_id, ' ' || ({spelled_words(TURN_ID)}) || '  ' || text AS text FROM conversations),\n"
+    f"processed AS (SELECT query_id, {_expand_sql(_NORMAL)} AS p FROM turns)"
 )
 
 
@@ -562,6 +564,48 @@ def reranked(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.rerank(searched(spark, sf), by_kind).select("query_id", "document_id", "new_rank")
 
 
+_MATCHED = (
+    "concat_ws(', ', CASE WHEN asked_district = district THEN 'District (' || asked_district || ')' END, CASE WHEN asked_year = crime_year THEN 'Year (' || asked_year || ')' END)"
+)
+_TOLD = (
+    f"CASE WHEN {R3.format('0.60 * sim')} > 0.4 THEN 'High semantic similarity to query' WHEN {R3.format('0.60 * sim')} > 0.2 THEN 'Moderate semantic match' END"
+)
+
+
+def _confidence_sql(hits: str) -> str:
+    return (
+        f"pairs AS (SELECT h.query_id, h.document_id, t.*EXCLUDE (query_id), contains(lower(node), lower(document_id)) OR contains(lower(connected_to), "
+        f"lower(document_id)) AS direct FROM {hits} h JOIN triples t ON h.query_id = t.query_id),\n"
+        "conf AS (SELECT query_id, document_id, arg_min(c, triple_no) AS graph_confidence, arg_min(CASE WHEN direct THEN relationship END, "
+        "CASE WHEN direct THEN triple_no END) AS graph_relationship FROM (SELECT *, CASE WHEN direct THEN 1.0 WHEN "
+        + _SHARES.format(c="node") + " OR " + _SHARES.format(c="connected_to")
+        + " THEN 0.7 END AS c FROM pairs) WHERE c IS NOT NULL GROUP BY 1, 2),\n"
+        f"withg AS (SELECT h.*, CAST(COALESCE(graph_confidence, 0) AS DOUBLE) AS graph_confidence, graph_relationship FROM {hits} h LEFT JOIN conf USING "
+        "(query_id, document_id)),\n" + _signals("withg", "graph_confidence")
+    )
+
+
+# Hits within the filters that the entities imply, and the triples of the entities, numbered in their order.
+_ASKED = (
+    "(qs.district IS NULL OR qs.district = p.district) AND (qs.year IS NULL OR qs.year = p.crime_year) AND "
+    "(qs.document_type IS NULL OR qs.document_type = p.document_type)"
+)
+HYBRID_SQL = (
+    TURNS_SQL + ",\n" + ENTITIES_SQL + ",\n" + POINTS_SQL + ",\n" + vectors_sql("q", "processed", "query_id", "p") + ",\nscored AS ("
+    + _top_sql("q", "points", 8, _ASKED).replace("FROM q q, points p", "FROM q q JOIN entities qs ON qs.query_id = q.query_id, points p")
+    + "),\nhits AS (SELECT query_id, score, rank AS search_rank, points.* FROM scored JOIN points USING (point_id) WHERE score >= 0.2 AND rank <= 8),\n"
+    + OFFICER_COUNTS + PEOPLE
+    + "asked_district AS (SELECT query_id, district FROM entities WHERE district IS NOT NULL),\n"
+    "named AS (SELECT DISTINCT query_id, unnest(names) AS term FROM entities),\n"
+    "numbered AS (SELECT DISTINCT query_id, unnest(case_numbers) AS term FROM entities),\n"
+    "sect AS (SELECT DISTINCT query_id, unnest(ipc_sections) AS term FROM entities),\n"
+    "pcounts AS (SELECT AccusedName AS name, count(*) AS cases FROM (SELECT DISTINCT AccusedMasterID, CaseMasterID, AccusedName FROM Accused) GROUP BY 1),\n"
+    "triples AS (SELECT query_id, node, relationship, connected_to, row_number() OVER (PARTITION BY query_id ORDER BY step, node, connected_to) AS triple_no FROM ("
+    + " UNION ALL ".join(f"SELECT {i} AS step, * FROM ({sql})" for i, sql in enumerate(triple_sql(
+        "asked_district", "named", "numbered", "sect"))) + ")),\n"
+    + _confidence_sql("hits")
+)
+
 QUERIES = {
     "E1_encode": (
         encoded,
@@ -656,9 +700,25 @@ QUERIES = {
     ),
     "R25_budget": (r_budget, f"WITH {CONTEXT_SQL} SELECT query_id, line_no, text FROM lines WHERE text <> ''"),
     "R26_context": (r_context, f"WITH {CONTEXT_SQL} SELECT query_id, {_JOINED} AS context FROM lines GROUP BY query_id"),
-    "R30_hybrid": (hybrid_results, None),
-    "R27_R30_hybrid_context": (hybrid_context, None),
-    "R30_hybrid_stats": (hybrid_statistics, None),
+    "R30_hybrid": (hybrid_results, domain(
+        f"{HYBRID_SQL},\ntold AS (SELECT *, {_TOLD} AS a, nullif({_MATCHED}, '') AS m, {_REASON} AS base, CASE WHEN graph > 0 AND graph_relationship IS NOT NULL "
+        "THEN 'Corroborated by graph relationship (' || graph_relationship || ')' END AS g FROM ranked JOIN (SELECT query_id, district AS asked_district, "
+        "year AS asked_year FROM entities) USING (query_id) WHERE rank <= 5)\nSELECT query_id, rank, document_id, final_score, graph_confidence, "
+        "CASE WHEN a IS NULL AND m IS NULL AND g IS NULL THEN base ELSE concat_ws('. ', a, 'Matched entities: ' || m, g) || '.' END AS reason FROM told"
+    )),
+    "R27_R30_hybrid_context": (hybrid_context, domain(
+        f"{HYBRID_SQL}, {_context_sql('ranked', 5, 4000)},\nplain AS (SELECT query_id, {_JOINED} AS context FROM lines GROUP BY query_id),\n"
+        "listed AS (SELECT query_id, string_agg('• ' || node || ' -[' || relationship || ']-> ' || connected_to, chr(10) ORDER BY no) AS graph FROM "
+        "(SELECT query_id, node, relationship, connected_to, min(triple_no) AS no FROM triples GROUP BY ALL) GROUP BY query_id)\n"
+        "SELECT COALESCE(p.query_id, l.query_id) AS query_id, CASE WHEN graph IS NULL THEN context ELSE regexp_replace(COALESCE(context, ''), "
+        "'\\n?=== END CONTEXT ===$', '') || chr(10) || chr(10) || '--- Graph Relationships ---' || chr(10) || graph || chr(10) || chr(10) || "
+        "'=== END CONTEXT ===' END AS context FROM plain p FULL JOIN listed l ON p.query_id = l.query_id"
+    )),
+    "R30_hybrid_stats": (hybrid_statistics, domain(
+        f"{HYBRID_SQL}\nSELECT query_id, COALESCE(d, 0) AS documents, COALESCE(g, 0) AS graph_relationships FROM turns LEFT JOIN "
+        "(SELECT query_id, count(*) AS d FROM ranked WHERE rank <= 5 GROUP BY 1) USING (query_id) LEFT JOIN "
+        "(SELECT query_id, count(*) AS g FROM triples GROUP BY 1) USING (query_id)"
+    )),
     "R31_explain_one": (
         explained, f"WITH {RANKED_SQL} SELECT query_id, document_id, {_REASON} AS ranking_reason FROM ranked WHERE rank = 2",
     ),
@@ -712,14 +772,6 @@ def explained_matches(spark: SparkSession, sf: str) -> DataFrame:
     return told.select("query_id", "rank", F.col("explanation.ranking_reason").alias("reason"))
 
 
-_MATCHED = (
-    "concat_ws(', ', CASE WHEN asked_district = district THEN 'District (' || asked_district || ')' END, CASE WHEN asked_year = crime_year THEN 'Year (' || asked_year || ')' END)"
-)
-_TOLD = (
-    f"CASE WHEN {R3.format('0.60 * sim')} > 0.4 THEN 'High semantic similarity to query' WHEN {R3.format('0.60 * sim')} > 0.2 THEN 'Moderate semantic match' END"
-)
-
-
 def sync_apply(spark: SparkSession, sf: str) -> DataFrame:
     """A collection built from earlier texts, brought in step with the documents as they are."""
     from veriweave.session import checkpoint_dir

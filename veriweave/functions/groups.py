@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 PART_ROWS = 10_000
 BROADCAST_ROWS = 100_000
+MAX_PARTS = 4000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -39,18 +40,27 @@ def spread_if_small(df: DataFrame, max_bytes: int = 128 * 1024 * 1024) -> DataFr
 
 
 def large_groups(members: DataFrame, keys: Sequence[str], order: str, part_rows: int = PART_ROWS) -> DataFrame | None:
-    """Size and order range of the groups above ``part_rows``; None when there are none.
+    """Where the groups above ``part_rows`` are cut: ``_cuts``, quantiles of the order column; None when there are none.
 
-    Runs one count over the key, so that the common case needs no join at all.
+    Runs one count over the key, so that the common case needs no join at all. Quantiles
+    cut a group into parts of like size however its members lie.
     """
-    sizes = members.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")
-    )
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > part_rows)
-    n_large = large.limit(BROADCAST_ROWS + 1).count()
-    if n_large == 0:
+    found = large.agg(F.count(F.lit(1)).alias("groups"), F.max("_n").alias("most")).first()
+    if not found["groups"]:
         return None
-    return F.broadcast(large) if n_large <= BROADCAST_ROWS else large
+    n_parts = min(-(-found["most"] // part_rows), MAX_PARTS)
+    asked = F.broadcast(large) if found["groups"] <= BROADCAST_ROWS else large
+    shares = [i / n_parts for i in range(1, n_parts)]
+    cuts = members.join(asked.select(*keys), list(keys), "left_semi").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx(order, shares, 20 * n_parts).alias("_all")
+    )
+    # Smaller groups take every second, third, ... of the cuts.
+    step = F.greatest(F.floor(F.lit(n_parts) / F.ceil(F.col("_n") / part_rows)), F.lit(1))
+    chosen = F.array_distinct(F.filter("_all", lambda c, i: (i + 1) % step == 0))
+    large = cuts.select(*keys, chosen.alias("_cuts"))
+    return F.broadcast(large) if found["groups"] <= BROADCAST_ROWS // n_parts else large
 
 
 def assign_parts(
@@ -59,14 +69,13 @@ def assign_parts(
     """Add ``part``: 0 for ordinary groups, a range of the order column for large ones.
 
     Parts follow the order column, so the parts of a key, taken in order, hold the
-    members in order. ``order`` must be numeric.
+    members in order.
     """
     if large is None:
         return members.withColumn("part", F.lit(0).cast("bigint"))
     joined = members.join(large, list(keys), "left")
-    width = F.col("_hi") - F.col("_lo") + 1
-    part = F.floor((F.col(order) - F.col("_lo")) / width * F.ceil(F.col("_n") / F.lit(part_rows)))
-    return joined.withColumn("part", F.coalesce(part, F.lit(0)).cast("bigint")).drop("_n", "_lo", "_hi")
+    part = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+    return joined.withColumn("part", F.when(F.col("_cuts").isNull(), 0).otherwise(part).cast("bigint")).drop("_cuts")
 
 
 def list_in_parts(
@@ -147,3 +156,12 @@ def one_row_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return best.select(*keys, *[F.col("_best").getField(c).alias(c) for c in rest]).select(
         *[F.col(f"`{c}`") for c in df.columns]
     )
+
+
+def in_parts(documents: DataFrame) -> bool:
+    """Whether any document comes in several parts (``part_no`` above 0).
+
+    Documents that were built without splitting carry the constant 0, for which no job
+    runs; stored ones are asked by the statistics of their files.
+    """
+    return "part_no" in documents.columns and not documents.filter("part_no > 0").isEmpty()

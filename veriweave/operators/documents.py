@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriweave.functions.dates import long_date
-from veriweave.functions.groups import PART_ROWS, large_groups, list_in_parts, one_row_per_key
+from veriweave.functions.groups import PART_ROWS, in_parts, large_groups, list_in_parts, one_row_per_key
 from veriweave.functions.text import count_present, join_sections, plural, presentable, sentence
 from veriweave.sources.metadata import quoted, union_all
 
@@ -455,11 +455,14 @@ def build_documents(t: Tables, built_at: Column) -> DataFrame:
     return union_all([build(t, built_at) for build in BUILDERS.values()])
 
 
-def issues(documents: DataFrame, max_length: int = MAX_LENGTH) -> Column:
-    """Findings on one document as (severity, message) structs."""
+def issues(documents: DataFrame, max_length: int = MAX_LENGTH, length: Column | None = None, empty: Column | None = None) -> Column:
+    """Findings on one document as (severity, message) structs.
+
+    ``length`` and ``empty`` tell of all parts where a document has several.
+    """
     text, meta = F.col("text"), F.col("metadata")
-    length = F.length(text)
-    empty = text.isNull() | (F.trim(text) == "")
+    length = F.length(text) if length is None else length
+    empty = text.isNull() | (F.trim(text) == "") if empty is None else empty
 
     def issue(condition: Column, severity: str, message: Column) -> Column:
         return F.when(condition, F.struct(F.lit(severity).alias("severity"), message.alias("message")))
@@ -481,14 +484,31 @@ def issues(documents: DataFrame, max_length: int = MAX_LENGTH) -> Column:
 
 
 def check_documents(documents: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
-    """Add ``issues`` and ``is_valid``, which is false when an issue is an error."""
-    checked = documents.withColumn("issues", issues(documents, max_length))
+    """Add ``issues`` and ``is_valid``, which is false when an issue is an error.
+
+    A document in several parts is judged as a whole, and each of its parts says so.
+    """
+    if in_parts(documents):
+        blank = F.col("text").isNull() | (F.trim("text") == "")
+        totals = documents.groupBy("document_id", "part_no").agg(
+            F.max(F.coalesce(F.length("text"), F.lit(0))).alias("_l"), F.min(blank).alias("_b")
+        ).groupBy("document_id").agg(F.sum("_l").cast("int").alias("_length"), F.min("_b").alias("_blank"))
+        joined = documents.join(totals, "document_id")
+        found = issues(documents, max_length, F.col("_length"), F.col("_blank"))
+        checked = joined.withColumn("issues", found).select(*documents.columns, "issues")
+    else:
+        checked = documents.withColumn("issues", issues(documents, max_length))
     return checked.withColumn("is_valid", ~F.exists("issues", lambda i: i["severity"] == "error"))
 
 
+def _first_parts(documents: DataFrame) -> DataFrame:
+    """One row per document: its first part."""
+    return documents.filter("part_no = 0") if "part_no" in documents.columns else documents
+
+
 def duplicate_ids(documents: DataFrame) -> DataFrame:
-    """Ids that occur more than once; every copy but the first is a warning."""
-    counts = documents.groupBy("document_id").agg(F.count(F.lit(1)).alias("copies"))
+    """Ids that occur more than once; every copy but the first is a warning (D10). Parts of one document are no copies."""
+    counts = _first_parts(documents).groupBy("document_id").agg(F.count(F.lit(1)).alias("copies"))
     return counts.filter("copies > 1").withColumn("warnings", F.col("copies") - 1)
 
 
@@ -499,7 +519,7 @@ def build_statistics(checked: DataFrame) -> DataFrame:
     copies those are is settled per id: the clean copies beyond the first.
     """
     warned = F.exists("issues", lambda i: i["severity"] == "warning")
-    per_id = checked.groupBy("document_type", "document_id").agg(
+    per_id = _first_parts(checked).groupBy("document_type", "document_id").agg(
         F.count(F.lit(1)).alias("copies"),
         F.count_if(~F.col("is_valid")).alias("errors"),
         F.count_if(F.col("is_valid") & warned).alias("warned"),

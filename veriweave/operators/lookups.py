@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriweave.functions.groups import PART_ROWS, large_groups, list_in_parts, top_per_key
+from veriweave.functions.groups import PART_ROWS, broadcast_if_small, large_groups, list_in_parts, top_per_key
 from veriweave.sources.metadata import coerce_values, logical_table, quoted, union_all
 
 Tables = Mapping[str, DataFrame]
@@ -62,7 +62,9 @@ def lookup(
     """
     rows = table.select(quoted(key).alias("key_value"), *[quoted(c) for c in columns if c != key], F.lit(True).alias("_hit"))
     if limit is not None:
-        # Limited before the join: a key with very many rows sends few.
+        # Only rows of the keys are ranked, and limited before the join: a key with very many rows sends few.
+        wanted = broadcast_if_small(keys.select("key_value").distinct())
+        rows = rows.join(wanted, "key_value", "left_semi")
         rows = top_per_key(rows, ["key_value"], order or [F.col(f"`{c}`") for c in columns if c != key], limit, "_n").drop("_n")
     joined = keys.join(rows, "key_value", "left").withColumn("found", F.coalesce("_hit", F.lit(False)))
     return joined.drop("_hit")
@@ -85,8 +87,11 @@ def find_cases(references: DataFrame, t: Tables) -> DataFrame:
     for kind in ("case_id", "case_number", "crime_number"):
         asked = references.filter(F.col("kind") == kind)
         valid, _ = typed_keys(asked, "value", dict(table.dtypes)[kind])
-        one = top_per_key(table.filter(F.col(kind).isNotNull()), [kind], [F.col("case_id")], 1, "_n").drop("_n")
-        matched = valid.select("ref_id", "key_value").join(one.withColumn("key_value", F.col(kind)), "key_value")
+        valid = valid.select("ref_id", "key_value")
+        wanted = broadcast_if_small(valid.select("key_value").distinct())
+        asked_rows = table.withColumn("key_value", F.col(kind)).join(wanted, "key_value", "left_semi")
+        one = top_per_key(asked_rows, ["key_value"], [F.col("case_id")], 1, "_n").drop("_n")
+        matched = valid.join(one, "key_value")
         parts.append(matched.select("ref_id", *CASE_COLUMNS))
     found = union_all(parts).withColumn("_hit", F.lit(True))
     return references.join(found, "ref_id", "left").withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")

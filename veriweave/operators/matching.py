@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriweave.functions.groups import broadcast_if_small
+
 GRAM = 3
 
 
@@ -18,13 +20,15 @@ def containing(terms: DataFrame, texts: DataFrame) -> DataFrame:
 
     ``terms`` has a column ``term`` and ``texts`` a column ``text``, both distinct. A
     text that contains a term contains each run of characters of it, so every term
-    joins on the one run of its own that the fewest texts have.
+    joins on the one run of its own that the fewest texts have. Only runs that some term
+    has are indexed; counting and joining read one shuffle of that index.
     """
-    runs = F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)]))
-    index = texts.select("text", F.explode(runs).alias("gram"))
-    frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     own = F.when(F.length("term") >= GRAM, _grams(F.col("term"), GRAM)).otherwise(F.array(F.col("term")))
     term_grams = terms.filter("term <> ''").select("term", F.explode(F.array_distinct(own)).alias("gram"))
+    wanted = broadcast_if_small(term_grams.select("gram").distinct())
+    runs = F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)]))
+    index = texts.select("text", F.explode(runs).alias("gram")).join(wanted, "gram", "left_semi").repartition("gram")
+    frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
         term_grams.join(frequency, "gram", "left")
         .groupBy("term")

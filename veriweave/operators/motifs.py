@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriweave.functions.groups import top_per_key
+from veriweave.functions.groups import broadcast_if_small, top_per_key
 from veriweave.operators.matching import containing
 from veriweave.sources.metadata import union_all
 
@@ -182,10 +182,12 @@ def connected_cases(ids: DataFrame, t: Tables, edges: DataFrame, limit: int = OT
     only those are joined.
     """
     e = edges.select(F.col("CaseMasterID").alias("case_id"), F.col("AccusedMasterID").alias("accused_id")).distinct()
-    first = top_per_key(e, ["accused_id"], [F.col("case_id")], limit + 1, "position").select(
+    on_cases = e.join(broadcast_if_small(ids.select("case_id").distinct()), "case_id", "left_semi")
+    people = broadcast_if_small(on_cases.select("accused_id").distinct())
+    first = top_per_key(e.join(people, "accused_id", "left_semi"), ["accused_id"], [F.col("case_id")], limit + 1, "position").select(
         "accused_id", F.col("case_id").alias("other_case")
     )
-    hops = e.join(ids, "case_id", "left_semi").join(first, "accused_id").filter("case_id <> other_case")
+    hops = on_cases.join(first, "accused_id").filter("case_id <> other_case")
     ranked = top_per_key(hops, ["case_id"], [F.col("accused_id"), F.col("other_case")], limit)
     names = t["Accused"].groupBy(F.col("AccusedMasterID").alias("accused_id")).agg(F.max("AccusedName").alias("name"))
     return ranked.join(names, "accused_id", "left").select("case_id", "rank", "accused_id", "name", "other_case")
@@ -258,6 +260,7 @@ def cases_numbered(queries: DataFrame, t: Tables) -> DataFrame:
     matched = by_id.select("term", "CaseMasterID").unionByName(by_number.select("term", "CaseMasterID")).distinct()
     best = top_per_key(matched, ["term"], [F.col("CaseMasterID")], PER_ENTITY)
     people = t["Accused"].select("CaseMasterID", "AccusedMasterID", F.col("AccusedName").alias("name"))
+    people = people.join(broadcast_if_small(best.select("CaseMasterID").distinct()), "CaseMasterID", "left_semi")
     # At most three names per case are collected.
     some = top_per_key(people.filter("name IS NOT NULL").distinct(), ["CaseMasterID"],
                        [F.col("AccusedMasterID"), F.col("name")], PER_ENTITY, "position")

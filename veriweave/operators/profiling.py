@@ -155,20 +155,29 @@ def _local(state: DataFrame) -> DataFrame:
     return state.sparkSession.createDataFrame(state.collect(), state.schema)
 
 
-def order_statistics(values: DataFrame, targets: DataFrame) -> DataFrame:
+LAST_CELL = 100_000
+_STATE = "column_name string, k bigint, lo double, hi double, below bigint, held bigint"
+
+
+def order_statistics(values: DataFrame, targets: DataFrame, last_cell: int = LAST_CELL) -> DataFrame:
     """Exact k-th smallest value (k from 0) per column.
 
     ``values`` has (column_name, value); ``targets`` has (column_name, k, lo, hi), the
-    range of the column, and a few rows per column. Twice, a histogram of the range
-    that must hold the k-th value picks the cell it lies in; the last range holds few
-    distinct values, which are counted. Each pass is one scan.
+    range of the column, and a few rows per column. A histogram of the range that must
+    hold the k-th value picks the cell it lies in, again and again until every such
+    cell has few values, whose distinct ones are counted. Each pass is one scan, and
+    the state between passes is a few rows.
     """
     state = targets.withColumn("below", F.lit(0).cast("bigint"))
-    for _ in range(2):
+    rows = None
+    while rows is None or any(r["held"] > last_cell and r["lo"] < r["hi"] for r in rows):
         width = F.col("hi") - F.col("lo")
         place = F.floor((F.col("value") - F.col("lo")) / width * HISTOGRAM_CELLS)
         cell = F.when(width > 0, F.least(place, F.lit(HISTOGRAM_CELLS - 1))).otherwise(F.lit(0))
-        state = _local(_pick(values, state, cell))
+        rows = _pick(values, state.select("column_name", "k", "lo", "hi", "below"), cell).collect()
+        state = values.sparkSession.createDataFrame(rows, _STATE)
+    if all(r["lo"] == r["hi"] for r in rows):
+        return state.select("column_name", "k", F.col("lo").alias("value"))
     return _pick(values, state, F.col("value")).select("column_name", "k", F.col("lo").alias("value"))
 
 
@@ -191,7 +200,7 @@ def _pick(values: DataFrame, state: DataFrame, cell: Column) -> DataFrame:
         .select(
             "column_name", "k",
             F.col("first").alias("lo"), F.col("last").alias("hi"),
-            (F.col("below") + F.col("upto") - F.col("n")).alias("below"),
+            (F.col("below") + F.col("upto") - F.col("n")).alias("below"), F.col("n").alias("held"),
         )
     )
 
@@ -259,7 +268,7 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def column_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """NULLs and distinct values of every column; range, mean and deviation of numbers (P10)."""
     names = list(columns or df.columns)
-    return _measure(df, _column_measures(df, names)).unionByName(_unique_counts(df, names))
+    return _measure(df, _column_measures(df, names)).unionByName(_unique_counts(value_counts(df, names)))
 
 
 def _column_measures(df: DataFrame, names: Sequence[str]) -> list[tuple[str, str, Column]]:
@@ -278,8 +287,8 @@ def _column_measures(df: DataFrame, names: Sequence[str]) -> list[tuple[str, str
     return measures
 
 
-def _unique_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    distinct = value_counts(df, names).groupBy("column_name").agg(F.count(F.lit(1)).cast("double").alias("value"))
+def _unique_counts(counts: DataFrame) -> DataFrame:
+    distinct = counts.groupBy("column_name").agg(F.count(F.lit(1)).cast("double").alias("value"))
     return distinct.select("column_name", F.lit("unique_count").alias("metric"), "value")
 
 
@@ -294,7 +303,10 @@ def text_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 5) -> DataFrame:
     """The most frequent values of text columns; equal counts go by value."""
-    counts = value_counts(df, list(columns or text_columns(df)))
+    return _top(value_counts(df, list(columns or text_columns(df))), n)
+
+
+def _top(counts: DataFrame, n: int = 5) -> DataFrame:
     return top_per_key(counts, ["column_name"], [F.col("n").desc(), F.col("value")], n)
 
 
@@ -310,9 +322,15 @@ def profile(df: DataFrame, meta: TableMeta, roles: ColumnRoles | None = None) ->
     scan = _measure(df, issues + statistics)
     is_statistic = F.col("metric").isin(sorted({metric for _, metric, _ in statistics}))
     found = scan.filter(is_statistic | (F.col("value") > 0) | (F.col("metric") == "rows"))
+    # Distinct and most frequent values come from one count of values.
+    counts = value_counts(df, df.columns)
+    top = _top(counts.filter(F.col("column_name").isin(*text_columns(df)))).select(
+        "column_name", F.concat(F.lit("top: "), F.col("value")).alias("metric"), F.col("n").cast("double").alias("value")
+    )
     parts = [
         found.withColumn("check", F.when(is_statistic, "statistics").otherwise("scan")),
-        _unique_counts(df, df.columns).withColumn("check", F.lit("statistics")),
+        _unique_counts(counts).withColumn("check", F.lit("statistics")),
+        top.withColumn("check", F.lit("statistics")),
         _single(duplicate_rows(df), "duplicate_rows"),
     ]
     if meta.primary_key:

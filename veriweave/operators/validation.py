@@ -194,9 +194,13 @@ def categories(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame | N
             continue
         bad = df.filter(quoted(f.name).isNotNull() & ~quoted(f.name).isin(*GENDERS))
         distinct = bad.select(quoted(f.name).alias("value")).distinct()
-        counted = distinct.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first"))
+        samples = unexpected_categories(df, f.name).agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("samples"))
+        both = distinct.agg(F.count(F.lit(1)).alias("n")).withColumn("samples", F.lit(None).cast("string")).unionByName(
+            samples.withColumn("n", F.lit(0).cast("bigint"))
+        )
+        counted = both.agg(F.max("n").alias("n"), F.max("samples").alias("samples"))
         n = F.col("n")
-        parts.append(counted.select(*_row("categorical_values", f.name, n, F.lit(0), _flag(n), F.col("first"))))
+        parts.append(counted.select(*_row("categorical_values", f.name, n, F.lit(0), _flag(n), F.col("samples"))))
     return union_all(parts) if parts else None
 
 

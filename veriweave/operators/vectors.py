@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriweave.functions.encoding import Encoder
-from veriweave.functions.groups import spread_if_small, top_per_key
+from veriweave.functions.encoding import Encoder, HashingEncoder, with_unit_vector
+from veriweave.functions.groups import in_parts, spread_if_small, top_per_key
 from veriweave.functions.identifiers import name_uuid
 
 PREVIEW_CHARS = 500
@@ -40,13 +40,21 @@ PAYLOAD = {
 }
 
 
-def encode(df: DataFrame, text: str, load: Callable[[], Encoder], out: str = "vector") -> DataFrame:
-    """Add the vector of a text column; the encoder is loaded once per Python worker."""
+def encode(df: DataFrame, text: str, load: Callable[[], Encoder] | HashingEncoder, out: str = "vector") -> DataFrame:
+    """Add the vector of a text column.
+
+    The encoder is loaded once per Python worker. A batch it fails on gets NULL vectors,
+    which the checks report, and the run goes on.
+    """
+
     @F.pandas_udf("array<float>")
     def to_vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = load()
         for batch in batches:
-            yield pd.Series(list(encoder(batch.tolist()).astype("float32")))
+            try:
+                yield pd.Series(list(encoder(batch.tolist()).astype("float32")), dtype=object)
+            except Exception:
+                yield pd.Series([None] * len(batch), dtype=object)
 
     return spread_if_small(df).withColumn(out, to_vector(F.col(text)))
 
@@ -80,12 +88,31 @@ def payload(metadata: Column, text: Column) -> list[Column]:
 
 
 def encode_documents(documents: DataFrame, load: Callable[[], Encoder], dimension: int) -> DataFrame:
-    """Documents with their vector and its findings.
+    """Documents with their vector and its findings, a row per document.
 
-    A document in several parts is encoded by its first.
+    The vector of a document in several parts is that of all of them: of the words of
+    all parts for the hashing encoder, the mean of the parts' vectors for any other.
     """
-    first = documents.filter("part_no = 0") if "part_no" in documents.columns else documents
-    return check_vectors(encode(first, "text", load), "text", "vector", dimension)
+    if not in_parts(documents):
+        return check_vectors(encode(documents, "text", load), "text", "vector", dimension)
+    first = documents.filter("part_no = 0")
+    several = documents.filter("part_no > 0").select("document_id").distinct()
+    if isinstance(load, HashingEncoder):
+        parts = load.add_counts(documents.join(several, "document_id", "left_semi"), "text", "_v")
+    else:
+        parts = encode(documents.join(several, "document_id", "left_semi"), "text", load, "_v")
+    summed = parts.select("document_id", F.posexplode("_v").alias("place", "v")).groupBy("document_id", "place").agg(
+        F.sum(F.col("v").cast("double")).alias("v"), F.count(F.lit(1)).alias("n")
+    )
+    listed = summed.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("place", "v", "n"))).alias("_l"))
+    if isinstance(load, HashingEncoder):
+        summed_up = listed.select("document_id", F.transform("_l", lambda x: x["v"]).alias("_sums"))
+        whole = with_unit_vector(summed_up, "_sums", "_whole")
+    else:
+        whole = listed.select("document_id", F.transform("_l", lambda x: (x["v"] / x["n"]).cast("float")).alias("_whole"))
+    single = encode(first.join(several, "document_id", "left_anti"), "text", load)
+    joined = first.join(whole, "document_id").withColumnRenamed("_whole", "vector")
+    return check_vectors(single.unionByName(joined), "text", "vector", dimension)
 
 
 def points_from(encoded: DataFrame) -> DataFrame:
@@ -132,9 +159,11 @@ def _best(query_ids, queries, query_keys, point_ids, points, point_keys, k, thre
     found = []
     for start in range(0, len(point_ids), _CHUNK):
         ids = point_ids[start:start + _CHUNK]
-        # Scores are told to six decimals, so copies tie and their order is that of the ids.
-        scores = np.round(queries @ points[start:start + _CHUNK].T, 6)
+        # The threshold is held against the score itself. Scores are told to six decimals, so
+        # copies tie and their order is that of the ids.
+        scores = queries @ points[start:start + _CHUNK].T
         allowed = scores >= (-np.inf if threshold is None else threshold)
+        scores = np.round(scores, 6)
         for q, p in zip(query_keys, point_keys):
             # Key 0 asks for nothing; any other must be the point's.
             allowed &= (q[:, None] == 0) | (q[:, None] == p[None, start:start + _CHUNK])

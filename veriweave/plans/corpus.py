@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriweave.functions.encoding import Encoder
+from veriweave.functions.groups import in_parts
 from veriweave.functions.identifiers import name_uuid
 from veriweave.operators import documents as docs
 from veriweave.operators import vectors
@@ -41,11 +42,24 @@ def store_graph(spark: SparkSession, tables: Mapping[str, DataFrame], path: str)
 
 
 def versions(documents: DataFrame, by: str = "content") -> DataFrame:
-    """Documents with what tells whether they changed: their content, or their time stamp."""
+    """Documents with what tells whether they changed: their content, or their time stamp.
+
+    A row per document. The version of a document in several parts is that of all of
+    them, in order.
+    """
     meta = F.col("metadata")
     value = meta["updated_at"] if by == "updated_at" else vectors.content_hash(F.col("text"), meta)
-    first = documents.filter("part_no = 0") if "part_no" in documents.columns else documents
-    return first.withColumn("version", value)
+    rows = documents.withColumn("version", value)
+    if not in_parts(documents):
+        return rows
+    first = rows.filter("part_no = 0")
+    if by == "updated_at":
+        return first
+    several = rows.filter("part_no > 0").select("document_id").distinct()
+    parts = rows.select("document_id", "part_no", "version").join(several, "document_id", "left_semi")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part_no", "version"))), lambda p: p["version"])
+    whole = parts.groupBy("document_id").agg(F.sha2(F.array_join(ordered, "\x1f"), 256).alias("_whole"))
+    return first.join(whole, "document_id", "left").withColumn("version", F.coalesce("_whole", "version")).drop("_whole")
 
 
 def build_points(
@@ -89,7 +103,7 @@ def sync_points(
     changes = plan.read()
     pending = changes.filter(F.col("change").isin("new", "modified"))
     gone = changes.filter("change = 'deleted'").select("document_id")
-    todo = known.join(pending.select("document_id"), "document_id", "left_semi").drop("version")
+    todo = documents.join(pending.select("document_id"), "document_id", "left_semi")
     fresh = vectors.points_of(todo, load, dimension)
     kept = delete_rows(points.read(), gone.select(name_uuid(F.col("document_id")).alias("point_id")), "point_id")
     points.replace(upsert_rows(kept, fresh, "point_id"))

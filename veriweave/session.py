@@ -18,6 +18,8 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Limits per key are applied before the shuffle whatever the limit is.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "2147483647",
 }
 
 

@@ -6,10 +6,12 @@ goes to a new version folder, and a one-row pointer names the current one.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The kinds of documents, each the prefix of its document ids.
 DOCUMENT_TYPES = (
@@ -23,25 +25,48 @@ DOCUMENT_TYPES = (
 
 
 class VersionedTable:
-    """A Parquet table whose rewrites never touch the version being read."""
+    """A Parquet table whose rewrites never touch the version being read.
 
-    def __init__(self, spark: SparkSession, path: str, partition_by: str | None = None) -> None:
+    The pointer of a version is a folder of its own, named in ascending order and complete
+    once Spark has committed it; the newest complete one counts. It keeps the schema, so a
+    table without rows can be read. Versions before the last ``keep`` are removed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, partition_by: str | None = None, keep: int = 3) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
         self.partition_by = partition_by
+        self.keep = keep
+
+    def _folder(self, name: str):
+        """A folder of the table and the file system it is on."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[str]:
+        """Names of the complete pointers, oldest first."""
+        path, files = self._folder("_versions")
+        if not files.exists(path):
+            return []
+        found = [str(s.getPath().getName()) for s in files.listStatus(path)]
+        return sorted(name for name in found if files.exists(self._folder(f"_versions/{name}/_SUCCESS")[0]))
 
     def exists(self) -> bool:
         """True once a version has been written."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current/_SUCCESS")
-        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        return bool(self._versions())
+
+    def _pointer(self, name: str) -> tuple[str, T.StructType]:
+        row = json.loads(self.spark.read.text(f"{self.path}/_versions/{name}").first()["value"])
+        return row["folder"], T.StructType.fromJson(row["schema"])
 
     def current(self) -> str:
         """Folder of the current version."""
-        return self.spark.read.text(f"{self.path}/_current").first()["value"]
+        return self._pointer(self._versions()[-1])[0]
 
     def read(self) -> DataFrame:
         """The current version."""
-        return self.spark.read.parquet(self.current())
+        folder, schema = self._pointer(self._versions()[-1])
+        return self.spark.read.schema(schema).parquet(folder)
 
     def replace(self, df: DataFrame) -> None:
         """Write a new version, then point to it."""
@@ -50,8 +75,20 @@ class VersionedTable:
         if self.partition_by:
             writer = writer.partitionBy(self.partition_by)
         writer.parquet(folder)
-        pointer = self.spark.createDataFrame([(folder,)], "value string").coalesce(1)
-        pointer.write.mode("overwrite").text(f"{self.path}/_current")
+        earlier = self._versions()
+        number = int(earlier[-1].split("-")[0]) + 1 if earlier else 0
+        value = json.dumps({"folder": folder, "schema": df.schema.jsonValue()})
+        pointer = self.spark.createDataFrame([(value,)], "value string").coalesce(1)
+        pointer.write.text(f"{self.path}/_versions/{number:012d}-{uuid.uuid4().hex}")
+        for name in earlier[: max(0, len(earlier) + 1 - self.keep)]:
+            self._remove(name)
+
+    def _remove(self, name: str) -> None:
+        """Remove a version: its pointer first, so that none points to nothing."""
+        folder = self._pointer(name)[0].rsplit("/", 1)[-1]
+        for part in (f"_versions/{name}", folder):
+            path, files = self._folder(part)
+            files.delete(path, True)
 
     def upsert(self, rows: DataFrame, key: str) -> None:
         """Replace the rows with the same key and add the others."""

@@ -65,10 +65,12 @@ def read_csv_tables(
     folder: str,
     schemas: Mapping[str, T.StructType] | None = None,
     names: Sequence[str] = LOAD_ORDER,
+    multi_line: bool = False,
 ) -> tuple[dict[str, DataFrame], list[str]]:
     """Frames of the CSV files that exist, in load order, and the names of the missing ones.
 
     Types are inferred only where no schema is given, since inference reads the file twice.
+    Values with line breaks need ``multi_line``, which makes each file the work of one task.
     """
     path_type = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -79,7 +81,7 @@ def read_csv_tables(
         if not location.getFileSystem(conf).exists(location):
             missing.append(name)
             continue
-        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
         schema = (schemas or {}).get(name)
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
         frames[name] = reader.csv(path)

@@ -27,9 +27,8 @@ def clean_stream(df: DataFrame, meta: TableMeta, roles: ColumnRoles | None = Non
 
 
 def deduplicate_stream(df: DataFrame, time: str, delay: str) -> DataFrame:
-    """Drop rows equal to one seen within the delay (C9). State older than that is let go."""
-    others = [c for c in df.columns if c != time]
-    return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(others)
+    """Drop rows equal in every column to one seen within the delay (C9). State older than that is let go."""
+    return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(df.columns)
 
 
 def usage_by_window(log: DataFrame, time: str, delay: str, width: str) -> DataFrame:
@@ -62,10 +61,12 @@ def sync_stream(
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.groupBy("document_id").agg(
-            F.max_by(F.struct(*[c for c in batch.columns if c != "document_id"]), F.col("metadata")["updated_at"]).alias("_d")
-        )
-        store.upsert(latest.select("document_id", "_d.*").select(*batch.columns), "document_id")
+        # All parts of the newest version of each document; of a part that came twice, one.
+        stamp = F.coalesce(F.col("metadata")["updated_at"], F.lit(""))
+        newest = batch.groupBy("document_id").agg(F.max(stamp).alias("_newest"))
+        latest = batch.join(newest, "document_id").filter(stamp == F.col("_newest")).select(*batch.columns)
+        keys = ["document_id", "part_no"] if "part_no" in batch.columns else ["document_id"]
+        store.upsert(latest.dropDuplicates(keys), "document_id")
         sync_points(store.read(), points, manifest, load, dimension, model)
 
     return documents.writeStream.foreachBatch(apply)
