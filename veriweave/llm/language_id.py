@@ -37,6 +37,9 @@ SMOOTHING = 0.05
 _CACHE_WORDS = 200_000
 _SLICE_BYTES = 4 * 1024 * 1024
 _GROUP_CELLS = 1 << 20
+_ROWS_TOGETHER = 50_000
+# Words longer than this are scored one by one, and not learned from.
+_LONG = 64
 _MARK = "▁"
 
 
@@ -120,19 +123,57 @@ def forward(pieces: Pieces, words: list[str], table: np.ndarray) -> np.ndarray:
     """
     out = np.zeros((len(words), table.shape[1]))
     for rows, group in _by_length([_MARK + w for w in words]):
-        out[rows] = _forward(pieces.find(_points(group, len(group[0]))), table, len(group), len(group[0]))[0]
+        length = len(group[0])
+        if length > _LONG:
+            for row, word in zip(rows, group, strict=True):
+                out[row] = _forward_long(pieces.find(_points([word], length)), table, length)
+        else:
+            out[rows] = _forward(pieces.find(_points(group, length)), table, len(group), length)[0]
     return out
 
 
+def _forward_long(found: list[np.ndarray], table: np.ndarray, length: int) -> np.ndarray:
+    """Log-likelihoods of one long word: all pieces that end at a place are taken at once."""
+    sizes = len(found)
+    # Sums of the last prefixes, the longest first.
+    window = np.zeros((sizes, table.shape[1]))
+    window[0] = 1.0
+    logs = np.zeros(table.shape[1])
+    for begin in range(0, length, _LONG):
+        end = min(begin + _LONG, length)
+        ids = np.full((end - begin, sizes), len(table) - 1, np.int32)
+        for size in range(1, sizes + 1):
+            first = max(begin + 1, size)
+            if first <= end:
+                ids[first - 1 - begin :, size - 1] = found[size - 1][0, first - size : end - size + 1]
+        for place, shares in enumerate(table[ids]):
+            now = (window * shares).sum(0)
+            window[1:] = window[:-1]
+            window[0] = now
+            if place % 16 == 15:
+                top = window.max(0)
+                window /= top
+                logs += np.log(top)
+    return np.log(window[0]) + logs
+
+
 def _forward(found: list[np.ndarray], table: np.ndarray, n: int, length: int, keep: bool = False):
     """Log-likelihoods, and if asked the scaled sums by end of prefix with the logs of their scales."""
     alpha = [np.ones((n, table.shape[1]))]
     logs = np.zeros((n, table.shape[1]))
+    none = len(table) - 1
     kept, scales = [alpha[0]], [logs.copy()]
     for t in range(1, length + 1):
         now = np.zeros_like(logs)
         for size in range(1, min(len(found), t) + 1):
-            now += alpha[-size] * table[found[size - 1][:, t - size]]
+            ids = found[size - 1][:, t - size]
+            if size < 3:
+                now += alpha[-size] * table[ids]
+                continue
+            # Few words have a longer piece at any one place.
+            rows = np.flatnonzero(ids != none)
+            if len(rows):
+                now[rows] += alpha[-size][rows] * table[ids[rows]]
         alpha.append(now)
         if t % 8 == 0:
             # All sums that are still needed are divided by the largest of them.
@@ -199,7 +240,7 @@ def fit(
     counts = staged(
         labelled.filter(drawn)
         .select("lang", F.explode(F.split("text", r"\s+")).alias("word"))
-        .filter("word != ''")
+        .filter(f"word != '' AND length(word) < {_LONG}")
         .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")),
         "language-words",
     )
@@ -213,15 +254,27 @@ def fit(
     return Model(languages, table, np.log(n / n.sum()))
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to tables of some size, since words are taken in groups of one length."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _ROWS_TOGETHER:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _expectation(counts: DataFrame, languages: list[str], table: np.ndarray, vocabulary: str) -> DataFrame:
     shared = counts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(vocabulary)
         totals = np.zeros((len(languages), pieces.n + 2))
-        for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), object)
-            words, n = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+        for rows in _together(batches):
+            langs = np.array(rows.column(0).to_pylist(), object)
+            words, n = rows.column(1).to_pylist(), rows.column(2).to_numpy()
             for j, lang in enumerate(languages):
                 own = np.flatnonzero(langs == lang)
                 if len(own):
