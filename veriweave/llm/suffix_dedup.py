@@ -154,11 +154,13 @@ def _bucket_runs(source: DataFrame, n_buckets: int, size: int, gram: int) -> Dat
                     continue
                 docs = np.empty(len(keys), _DOC)
                 docs["key"], docs["text_key"] = keys, text_keys
-                rank = np.empty(len(keys), np.int64)
-                rank[np.lexsort((text_keys, keys))] = np.arange(len(keys))
+                # Rows equal in id and text are one document here.
+                _, rank = np.unique(docs, return_inverse=True)
                 first = found["first"] + shift
                 order = np.lexsort((first, rank[found["row"]], found["hash"], found["gram"]))
-                g, h = found["gram"][order], found["hash"][order]
+                g, h, d, f = found["gram"][order], found["hash"][order], rank[found["row"]][order], first[order]
+                distinct = np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (f[1:] != f[:-1])]
+                order, g, h = order[distinct], g[distinct], h[distinct]
                 leads = np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])]
                 later, order = order[~leads], order[leads]
                 # High bits choose the bucket, low bits tell k-grams apart in it.
@@ -225,7 +227,9 @@ def _settle_runs(bucketed: DataFrame, size: int) -> DataFrame:
         parts.clear()
         doc = doc_of[runs["doc"]]
         order = np.lexsort((runs["first"], doc, runs["hash"], runs["gram"]))
-        g, h = runs["gram"][order], runs["hash"][order]
+        g, h, d, f = runs["gram"][order], runs["hash"][order], doc[order], runs["first"][order]
+        distinct = np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (f[1:] != f[:-1])]
+        order, g, h = order[distinct], g[distinct], h[distinct]
         new_gram = np.r_[True, g[1:] != g[:-1]]
         leads = new_gram.copy()
         leads[1:] |= h[1:] != h[:-1]
@@ -353,7 +357,9 @@ def _settle_contexts(contexts: DataFrame, size: int) -> DataFrame:
         docs = np.empty(table.num_rows, _DOC)
         docs["key"], docs["text_key"] = table.column("key").to_numpy(), table.column("text_key").to_numpy()
         first, many, ahead = (table.column(c).to_numpy().astype(np.int64) for c in ("first", "many", "ahead"))
-        order = np.lexsort((first + ahead, docs["text_key"], docs["key"]))
+        order = np.lexsort((first, first + ahead, docs["text_key"], docs["key"]))
+        distinct = np.r_[True, (docs[order][1:] != docs[order][:-1]) | (first[order][1:] != first[order][:-1])]
+        order = order[distinct]
         bodies = table.column("context").to_pylist()
         docs, first, many, ahead = docs[order], first[order], many[order], ahead[order]
         found = list(repeated_strings(table.column("gram").to_numpy()[order], [bodies[i] for i in order], first, many, ahead, size))
