@@ -176,6 +176,13 @@ def similar(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.nearest(p, p.select(F.col("point_id").alias("query_id"), "vector"), 5, skip_self=True)
 
 
+def similar_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``similar``, with more queries than travel to every task: points and queries meet block by block."""
+    p = embedding_points(spark, sf)
+    asked = p.select(F.col("point_id").alias("query_id"), "vector")
+    return vectors.nearest(p, asked, 5, skip_self=True, broadcast_queries=100, points_per_block=500)
+
+
 _MEANS = (
     "q AS (SELECT query_id, list(m ORDER BY pos) AS vector FROM (SELECT CAST(label AS BIGINT) AS query_id, pos, avg(CAST(v AS DOUBLE)) AS m "
     "FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY 1)"
@@ -727,6 +734,11 @@ QUERIES = {
         "WITH p AS (SELECT vec_id AS point_id, embedding AS vector FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings) "
         "SELECT * FROM (" + _top_sql("q", "p", 5, "q.query_id <> p.point_id") + ") WHERE rank <= 5",
     ),
+    "R32_similar_cases_blocks": (
+        similar_blocks,
+        "WITH p AS (SELECT vec_id AS point_id, embedding AS vector FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings) "
+        "SELECT * FROM (" + _top_sql("q", "p", 5, "q.query_id <> p.point_id") + ") WHERE rank <= 5",
+    ),
     "R33_fingerprint": (
         fingerprints,
         "SELECT event_id, sha256('q:user ' || user_id || '|f:{\"event\": \"' || event_type || '\", \"k\": \"' || json_extract_string(props, '$.k') || '\"}|k:' || "

@@ -23,8 +23,18 @@ _SETTINGS = {
 }
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers find this package, wherever the driver was started from."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session and return it."""
+    find_package(spark)
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
     return spark
