@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import gc
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veriweave.session import find_package, staged
+
 # Rows and bytes of a batch that Spark hands to a Python worker.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 * 1024 * 1024
@@ -20,10 +22,19 @@ def prepare(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, so that very long texts do not add up in a worker, and let workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    environment = spark.sparkContext.environment
-    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, environment.get("PYTHONPATH", "")) if x)
+    find_package(spark)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read back, as a step of a long job.
+
+    Spark removes the shuffle files of a plan once the driver has let go of it. Steps
+    before this one are done with, so what they left is collected first; otherwise the
+    files of all steps would lie on disk together.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return staged(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,7 +121,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             _POWERS[key] = have
     return have[:n]
 

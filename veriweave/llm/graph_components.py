@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriweave.session import staged
+from veriweave.llm.common import settled
 
 MAX_ROUNDS = 60
 
@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is two aggregations by node over edges that are kept distinct, so no task
     holds the neighbours of a node. Rounds are written to the shared folder.
     """
-    current = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "component-edges")
+    current = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "component-edges")
     sign = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = sign(current)
     for _ in range(MAX_ROUNDS):
@@ -34,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(seen.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        current = staged(small, "component-edges")
+        current = settled(small, "component-edges")
         after = sign(current)
         if after == before:
             break

@@ -10,8 +10,10 @@ with the node's upper corner.
    documents in a table of fixed size, ties by hash), and two sets with a Jaccard
    similarity of ``alike`` share one of their rarest hashes, a quarter of each set. Sets
    that share such a hash form a cell.
-2. In every cell all sets are compared with the least one: by the bound, then exactly.
-   That joins groups of near copies without pairing them all.
+2. In every cell the least set is held against the others by the bound, then the least of
+   those it does not allow against the rest of them, and so on; a set left alone is
+   searched for in the cell's R-tree. Pairs found are compared exactly. That joins groups
+   of near copies without pairing them all, and sets without any pair need no comparison.
 3. Cells that still hold several components are searched as R-trees for pairs of
    different components that the bound allows, and these are compared exactly.
 4. Components follow from the links found. No link between different components is
@@ -32,9 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriweave.llm.common import LOWER, WHITE, Rolling, id_and_text, mix, partitions_for, slices, text_bytes, word_bounds
+from veriweave.llm.common import LOWER, WHITE, Rolling, id_and_text, mix, partitions_for, settled, slices, text_bytes, word_bounds
 from veriweave.llm.graph_components import components
-from veriweave.session import staged
 
 WORDS = 5
 # Similarity: 100 * overlap >= PERCENT * union.
@@ -46,11 +47,11 @@ BLOCK_SETS = 4096
 # Entries of the table of counts that orders hashes by rarity.
 TABLE_BITS = 18
 _PIECE = 1 << 12
-_SLICE_BYTES = 4 * 1024 * 1024
-_PROFILE = "doc_id long, n long, node long, piece int, counts binary"
+_SLICE_BYTES = 1024 * 1024
+_PROFILE = "doc_id long, n long, node long, point binary, piece int, counts binary"
 _BLOBS = "bucket int, n int, nodes binary, tokens binary"
-_CELLS = "cell long, node long, n long, centre long, centre_n long"
-_SETS = "node long, n long, point binary, hashes binary"
+_CELLS = "cell long, node long, n long"
+_SETS = "node long, hashes binary"
 _NODE = np.dtype([("node", "<i8"), ("n", "<u4")])
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xE7037ED1A0B428DB)
 
@@ -90,7 +91,7 @@ def needed(n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray
 
 
 def _profile(source: DataFrame, words: int) -> DataFrame:
-    """Size and digest of every set; and, in rows of their own, counts of hashes by table entry."""
+    """Size, digest and point of every set; and, in rows of their own, counts of hashes by table entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << TABLE_BITS, np.int64)
@@ -101,12 +102,13 @@ def _profile(source: DataFrame, words: int) -> DataFrame:
                 every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
                 counts += np.bincount((every >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(counts))
                 n = len(sets)
-                columns = (part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()))
+                points = [np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for s in sets]
+                columns = (part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array(points, pa.binary()))
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         pieces = counts.reshape(-1, _PIECE)
         n = len(pieces)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([p.astype("<i4").tobytes() for p in pieces], pa.binary())],
+            [*(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([p.astype("<i4").tobytes() for p in pieces], pa.binary())],
             names=names,
         )
 
@@ -169,7 +171,7 @@ def _rare_hashes(source: DataFrame, rarity: np.ndarray, n_buckets: int, words: i
 
 
 def _cells(blobs: DataFrame) -> DataFrame:
-    """Cells with several nodes, each set of nodes once per bucket, with the least node as centre."""
+    """Cells with several nodes, each set of nodes once per bucket."""
 
     def one(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, tokens, owners = [], [], []
@@ -195,8 +197,8 @@ def _cells(blobs: DataFrame) -> DataFrame:
         cell, keep = np.unique(cell, return_index=True)
         start, many = start[keep], many[keep]
         rows = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        own, centre = listed[owner[rows]], listed[owner[np.repeat(start, many)]]
-        columns = (np.repeat(cell, many).view(np.int64), own["node"], own["n"].astype(np.int64), centre["node"], centre["n"].astype(np.int64))
+        own = listed[owner[rows]]
+        columns = (np.repeat(cell, many).view(np.int64), own["node"], own["n"].astype(np.int64))
         names = [c.split()[0] for c in _CELLS.split(", ")]
         for a in range(0, len(rows), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[a : a + 100_000])) for c in columns], names=names)
@@ -205,17 +207,15 @@ def _cells(blobs: DataFrame) -> DataFrame:
 
 
 def _sets(source: DataFrame, words: int) -> DataFrame:
-    """Points and hashes of the given documents, by node."""
+    """Hashes of the given documents (node, text), by node; a row may come twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, _SLICE_BYTES):
                 sets = sets_of(*text_bytes(part.column(1)), words)
-                points = [np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(points, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["node", "n", "point", "hashes"],
-                )
+                # Where ids repeat, the text of another node may come along.
+                own = [(i, s) for i, s in zip(part.column(0).to_pylist(), sets, strict=True) if digest(s) == i]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["node", "hashes"])
 
     return source.mapInArrow(run, _SETS)
 
@@ -224,24 +224,34 @@ def _points(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
 
 
-def _allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose points allow the overlap that is needed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bound = np.minimum(_points(batch.column(3)), _points(batch.column(5))).sum(1)
-            kept = bound >= needed(batch.column(2).to_numpy(), batch.column(4).to_numpy(), percent)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(kept)) for i in (0, 1)], names=["a", "b"])
-
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("point").alias(f"point_{name}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "point_a", "n_b", "point_b")
-    return joined.mapInArrow(run, "a long, b long")
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by the keys in tables that cut no group, with the first row of each group."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for key in keys:
+            values = table.column(key).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        first = starts(table)
+        if len(first) > 1:
+            yield table.slice(0, first[-1]), first[:-1]
+            held = table.slice(first[-1]).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, starts(table)
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets are alike, as edges."""
+    """Pairs (a, b) whose sets are alike, as edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +262,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 kept.append(int((y[at] == x).sum()) >= int(needed(len(x), len(y), percent)))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(kept, pa.bool_())) for i in (0, 1)], names=["u", "v"])
 
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"hashes_{name}"))
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"hashes_{name}")).hint("merge")
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "hashes_a", "hashes_b")
     return joined.mapInArrow(run, "u long, v long")
 
@@ -289,64 +299,119 @@ class Tree:
         return self.order[at]
 
 
+def _dealt(cells: DataFrame, block_sets: int) -> DataFrame:
+    """Add ``many``, the nodes of the cell, and ``own``, the block of the node in a cell of more than ``block_sets`` nodes."""
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("many"))
+    return cells.join(sizes.hint("merge"), "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / block_sets)))
+
+
+def _first_pairs(cells: DataFrame, percent: int, block_sets: int) -> DataFrame:
+    """Pairs (a, b) that the bound allows: enough for every node that has any such pair in a cell, and few in groups of near copies.
+
+    ``cells`` has cell, node, n and point. In a cell that is met block by block every node
+    is also paired with itself, as one that may have pairs in another block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _whole_groups(batches, ["cell", "own"]):
+            node, n, blocks = (table.column(c).to_numpy() for c in ("node", "n", "many"))
+            points = _points(table.column("point"))
+            group = np.zeros(len(node), np.int64)
+            group[first[1:]] = 1
+            centre = first[np.cumsum(group)]
+            allowed = np.minimum(points, points[centre]).sum(1) >= needed(n, n[centre], percent)
+            a, b = [node[centre[allowed]]], [node[allowed]]
+            large = blocks > block_sets
+            a.append(node[large])
+            b.append(node[large])
+            for start, end in zip(first, [*first[1:], len(node)], strict=True):
+                left = start + np.flatnonzero(~allowed[start:end])
+                if end - start < 3 or not len(left):
+                    continue
+                tree, alone = Tree(points[start:end], n[start:end]), []
+                while len(left):
+                    own, left = left[0], left[1:]
+                    near = np.minimum(points[left], points[own]).sum(1) >= needed(n[left], n[own], percent)
+                    a.append(np.full(near.sum(), node[own]))
+                    b.append(node[left[near]])
+                    left = left[~near]
+                    if not near.any():
+                        alone.append(own)
+                for own in alone:
+                    at = start + tree.search(points[own], int(n[own]), percent)
+                    at = at[at != own][:1]
+                    a.append(np.full(len(at), node[own]))
+                    b.append(node[at])
+            a, b = np.concatenate(a), np.concatenate(b)
+            kept = (a != b) | np.isin(a, node[large])
+            pairs = np.unique(np.stack([np.minimum(a, b)[kept], np.maximum(a, b)[kept]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+
+    dealt = _dealt(cells, block_sets).select("cell", "own", "many", "node", "n", "point")
+    return dealt.repartition("cell", "own").sortWithinPartitions("cell", "own", "node").mapInArrow(run, "a long, b long").distinct()
+
+
 def _pairs_between(cells: DataFrame, percent: int, block_sets: int) -> DataFrame:
     """Pairs (a, b) of nodes of different components that share a cell and that the bound allows.
 
     ``cells`` has cell, node, n, component and point. A cell of more than ``block_sets``
     nodes is met block by block.
     """
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("many"))
     blocks = F.ceil(F.col("many") / block_sets)
     dealt = (
-        cells.join(sizes, "cell")
-        .withColumn("own", F.pmod(F.xxhash64("node"), blocks))
+        _dealt(cells, block_sets)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "component", "point")
     )
 
-    def one(key: tuple, table: pa.Table) -> pa.Table:
-        node, n, component = (table.column(c).to_numpy() for c in ("node", "n", "component"))
-        own, points = table.column("own").to_numpy(), _points(table.column("point").combine_chunks())
-        low, high = key[1].as_py(), key[2].as_py()
-        asked, kept = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        tree = Tree(points[kept], n[kept])
-        a, b = [], []
-        for i in asked:
-            at = kept[tree.search(points[i], int(n[i]), percent)]
-            at = at[component[at] != component[i]]
-            if low == high:
-                at = at[node[at] > node[i]]
-            a.append(np.full(len(at), node[i]))
-            b.append(node[at])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-        return pa.table([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
-
-    return dealt.groupBy("cell", "low", "high").applyInArrow(one, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _whole_groups(batches, ["cell", "low", "high"]):
+            node, n, component, own, low, high = (table.column(c).to_numpy() for c in ("node", "n", "component", "own", "low", "high"))
+            points = _points(table.column("point"))
+            a, b = [], []
+            for start, end in zip(first, [*first[1:], len(node)], strict=True):
+                rows = np.arange(start, end)
+                asked, kept = rows[own[rows] == low[start]], rows[own[rows] == high[start]]
+                tree = Tree(points[kept], n[kept])
+                for i in asked:
+                    at = kept[tree.search(points[i], int(n[i]), percent)]
+                    at = at[component[at] != component[i]]
+                    if low[start] == high[start]:
+                        at = at[node[at] > node[i]]
+                    a.append(np.full(len(at), node[i]))
+                    b.append(node[at])
+            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+    ordered = dealt.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (the least id that links reach) of every document."""
     source = id_and_text(docs)
-    profile = staged(_profile(source, words), "shingle-profile")
+    profile = settled(_profile(source, words), "shingle-profile")
     documents = profile.filter("piece IS NULL").select("doc_id", "n", "node")
-    classes = documents.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("least"))
-    cells = staged(_cells(_rare_hashes(source, _rarity(profile), partitions_for(docs), words, percent)).distinct(), "shingle-cells")
-    sized = F.lit(100) * F.least("n", "centre_n") >= F.lit(percent) * F.greatest("n", "centre_n")
-    pairs = cells.filter((F.col("node") != F.col("centre")) & sized).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-
-    # One document stands for each node that shares a cell.
-    active = cells.select("node").distinct().join(classes.select("node", "least"), "node").groupBy("node").agg(F.min("least").alias("doc_id"))
-    texts = source.join(active, "doc_id").select("node", "text")
-    sets = staged(_sets(texts, words).dropDuplicates(["node"]), "shingle-sets")
-    first = staged(_alike(_allowed(pairs, sets, percent), sets, percent), "links")
+    whole = profile.filter("n > 0")
+    classes = whole.groupBy("node", "n").agg(F.min("doc_id").alias("least"))
+    points = whole.groupBy("node").agg(F.max("point").alias("point")).hint("merge")
+    cells = settled(_cells(_rare_hashes(source, _rarity(profile), partitions_for(docs), words, percent)).distinct(), "shingle-cells")
+    pairs = settled(_first_pairs(cells.join(points, "node"), percent, block_sets), "shingle-pairs")
+
+    # One document stands for each node that has a pair.
+    active = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = active.join(classes, "node").groupBy("node").agg(F.min("least").alias("doc_id"))
+    texts = source.join(ids.hint("merge"), source["doc_id"].eqNullSafe(ids["doc_id"])).select("node", "text")
+    sets = settled(_sets(texts, words), "shingle-sets")
+    first = settled(_alike(pairs.filter("a != b"), sets, percent), "links")
     found = components(first)
 
     # Cells that hold several components are searched.
-    placed = cells.select("cell", "node", "n").distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = cells.join(active.hint("merge"), "node", "left_semi").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("cell")
-    left = placed.join(several, "cell").join(sets.select("node", "point"), "node")
+    left = placed.join(several, "cell").join(points, "node")
     more = _pairs_between(left, percent, block_sets).join(pairs, ["a", "b"], "left_anti")
-    links = first.unionByName(staged(_alike(more, sets, percent), "links"))
+    links = first.unionByName(settled(_alike(more, sets, percent), "links"))
 
     final = components(links)
     named = classes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))

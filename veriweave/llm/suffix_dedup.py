@@ -36,8 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriweave.llm.common import Rolling, id_and_text, partitions_for, slices, text_bytes
-from veriweave.session import staged
+from veriweave.llm.common import Rolling, id_and_text, partitions_for, settled, slices, text_bytes
 
 SIZE = 100
 GRAM = 32
@@ -426,8 +425,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep: Se
     )
     keyed = source.select("key", "text_key", "text")
     runs = _bucket_runs(keyed, partitions_for(docs), size, gram)
-    found = staged(_settle_runs(runs, size), "suffix-runs")
-    detailed = staged(_settle_contexts(_contexts(keyed, found, size), size), "suffix-spans")
+    found = settled(_settle_runs(runs, size), "suffix-runs")
+    detailed = settled(_settle_contexts(_contexts(keyed, found, size), size), "suffix-spans")
     spans = found.filter("spans IS NOT NULL").select("key", "text_key", "spans").unionByName(detailed)
     return _cut(source, spans, size, keep, decode)
 
