@@ -30,8 +30,8 @@ from veriweave.llm.common import id_and_text, list_array, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 # Entries of the table of finished pieces that a worker keeps; it is emptied when full.
-CACHE_ENTRIES = 250_000
-_SLICE_BYTES = 4 * 1024 * 1024
+CACHE_ENTRIES = 120_000
+_SLICE_BYTES = 2 * 1024 * 1024
 
 
 def byte_characters() -> list[str]:

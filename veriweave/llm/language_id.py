@@ -34,8 +34,8 @@ UNDECIDED = "und"
 # Probability of a character that no piece covers, and the count added to every piece.
 UNKNOWN = 1e-7
 SMOOTHING = 0.05
-_CACHE_WORDS = 200_000
-_SLICE_BYTES = 4 * 1024 * 1024
+_CACHE_WORDS = 120_000
+_SLICE_BYTES = 2 * 1024 * 1024
 _GROUP_CELLS = 1 << 20
 _ROWS_TOGETHER = 50_000
 # Words longer than this are scored one by one, and not learned from.
