@@ -7,9 +7,10 @@ block of a batch.
 The model of a block mixes three predictions of the next id. Order 2 and order 1 each
 name one id per context, with a confidence; the weight of a prediction is the share of
 hits seen at its confidence so far. What remains of the weight goes to order 0, adaptive
-frequencies of the id's base-256 digits. The mixture codes an id as one event (predicted
-by order 2, by order 1, by neither) followed by its digits in the last case. All
-arithmetic is on integers, so that decoding repeats it exactly.
+frequencies of classes of ids of like size. The mixture codes an id as one event
+(predicted by order 2, by order 1, by neither), in the last case followed by its class
+and its place in the class. All arithmetic is on integers, so that decoding repeats it
+exactly.
 """
 
 from __future__ import annotations
@@ -20,196 +21,230 @@ import zlib
 import numpy as np
 
 BLOCK_IDS = 1024
-LANES = 2048
-_SLOTS = 1024
-_REBUILD = 64
+LANES = 4096
+# Ids must be below this, so that an id takes no more than three 16-bit symbols.
+MOST_IDS = 1 << 19
+_SLOTS = 512
+_REBUILD = 32
+_GAIN = 32
 _HEAD = struct.Struct("<4sBBHI")
-_MAGIC = b"CMR1"
+_MAGIC = b"CMR2"
 _ENTRY = np.dtype([("ids", "<u4"), ("words", "<u4"), ("crc", "<u4")])
-_U64 = np.uint64
-_MASK32 = _U64(0xFFFFFFFF)
 _TOTAL = 1 << 16
-_TOTAL32 = np.int32(_TOTAL)
-_ONE, _BYTE = np.uint32(1), np.uint32(255)
+_U64 = np.uint64
+_ALL = _U64(0xFFFFFFFFFFFFFFFF)
+_FULL = _U64(1 << 48)
+_16, _48 = _U64(16), _U64(48)
+_LAST = _U64(_TOTAL - 1)
 _TRUST_BITS, _TRUST_MASK = np.uint32(3), np.uint32(7)
 _SLOT_SHIFT = np.uint32(32 - (_SLOTS.bit_length() - 1))
-# Ids share 32 bits with their confidence.
-MOST_IDS = 1 << 29
+# Confidence after a miss, then after a hit, by confidence so far.
+_NEXT = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.uint32)
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of every id; least id and free bits of every class: ids below 8 alone, then four classes per bit length."""
+    ids = np.arange(MOST_IDS)
+    length = np.frexp(ids.astype(np.float64))[1].astype(np.int64)
+    free = np.maximum(length - 3, 0)
+    of_id = np.where(length < 4, ids, 8 + (length - 4) * 4 + ((ids >> free) & 3))
+    least = np.searchsorted(of_id, np.arange(of_id[-1] + 1))
+    return of_id.astype(np.uint8), least.astype(np.int64), free[least].astype(np.int64)
+
+
+_CLASS, _LEAST, _FREE = _classes()
 
 
 class _Model:
-    """The models of some blocks in step."""
+    """The models of some blocks in step. Arrays of both orders stand behind each other: order 1, then order 2."""
 
-    def __init__(self, lanes: int, digits: int) -> None:
-        self.lanes, self.digits = lanes, digits
+    def __init__(self, lanes: int, class_bits: int) -> None:
+        self.lanes, self.n_classes = lanes, 1 << class_bits
         self.row = np.arange(lanes, dtype=np.int64)
-        self.row256, self.row257 = self.row * 256, self.row * 257
-        # By context: the id named, and in the low bits its confidence. Order 1, order 2.
-        self.named = [np.zeros(lanes * _SLOTS, np.uint32) for _ in range(2)]
+        self.entry_base = np.concatenate([self.row, self.row + lanes * _SLOTS])
+        self.rate_base = np.concatenate([self.row, self.row + lanes * 8])
+        # By context: the id named, and in the low bits its confidence.
+        self.named = np.zeros(2 * lanes * _SLOTS, np.uint32)
         # Hit rates by confidence, in 65536ths.
-        self.rate = [np.full(lanes * 8, 2048, np.int32) for _ in range(2)]
-        self.counts = [np.ones(lanes * 256, np.uint32) for _ in range(digits)]
-        self.before = [np.zeros(lanes, np.uint32) for _ in range(2)]
+        self.rates = np.full(2 * lanes * 8, 2048, np.int64)
+        self.counts = np.full(lanes * self.n_classes, 4, np.int32)
+        self.count_base = self.row * self.n_classes
+        self.cdf_base = self.row * (self.n_classes + 1)
+        self.keys = np.zeros(2 * lanes, np.uint32)
+        self.twice = np.zeros(2 * lanes, np.uint32)
+        self.last = np.zeros(lanes, np.uint32)
+        self.second = np.zeros(lanes, np.uint32)
         self.age = 0
         self._rebuild()
 
     def _rebuild(self) -> None:
         """Cumulative order-0 frequencies, out of 65536, none of them 0."""
-        self.cdf = []
-        for counts in self.counts:
-            sums = np.cumsum(counts.reshape(self.lanes, 256), axis=1, dtype=np.uint32)
-            scale = (_TOTAL - 256) / sums[:, -1:].astype(np.float64)
-            out = np.zeros((self.lanes, 257), np.uint32)
-            np.add((sums * scale).astype(np.uint32), np.arange(1, 257, dtype=np.uint32), out=out[:, 1:])
-            out[:, 256] = _TOTAL
-            self.cdf.append(out.reshape(-1))
+        n = self.n_classes
+        sums = np.cumsum(self.counts.reshape(self.lanes, n), axis=1, dtype=np.int64)
+        out = np.zeros((self.lanes, n + 1), np.int64)
+        out[:, 1:] = sums * (_TOTAL - n) // sums[:, -1:] + np.arange(1, n + 1)
+        self.cdf = out.reshape(-1)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """Weights of order 2 and order 1 (order 0 has the rest); sets what ``update`` needs."""
-        last, second = self.before
-        key1 = last * np.uint32(0x9E3779B1)
-        key2 = (key1 ^ (second * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
-        self.at = [(key >> _SLOT_SHIFT) * np.int64(self.lanes) + self.row for key in (key1, key2)]
-        entries = [named.take(at) for named, at in zip(self.named, self.at, strict=True)]
-        self.guess = [e >> _TRUST_BITS for e in entries]
-        self.sure = [e & _TRUST_MASK for e in entries]
-        self.cell = [sure * np.int64(self.lanes) + self.row for sure in self.sure]
-        self.seen = rate1, rate2 = [rate.take(cell) for rate, cell in zip(self.rate, self.cell, strict=True)]
-        weight1 = (((_TOTAL - rate2) >> 1) * rate1) >> 15
+        lanes, keys = self.lanes, self.keys
+        np.multiply(self.last, np.uint32(0x9E3779B1), out=keys[:lanes])
+        np.multiply(keys[:lanes] ^ (self.second * np.uint32(0x85EBCA6B)), np.uint32(0xC2B2AE35), out=keys[lanes:])
+        self.at = (keys >> _SLOT_SHIFT) * np.int64(lanes) + self.entry_base
+        entries = self.named.take(self.at)
+        self.guess = entries >> _TRUST_BITS
+        self.sure = entries & _TRUST_MASK
+        self.cell = self.sure * np.int64(lanes) + self.rate_base
+        self.rate = self.rates.take(self.cell)
+        rate1, rate2 = self.rate[:lanes], self.rate[lanes:]
+        weight1 = ((_TOTAL - rate2) * rate1) >> 16
         # Where both orders name one id, its weight is the sum.
-        same = weight1 * (self.guess[0] == self.guess[1])
+        same = weight1 * (self.guess[:lanes] == self.guess[lanes:])
         return rate2 + same, weight1 - same
 
-    def update(self, ids: np.ndarray, escaped: np.ndarray) -> None:
-        for order in (0, 1):
-            sure, rate, guess = self.sure[order], self.seen[order], self.guess[order]
-            hit = guess == ids
-            self.rate[order][self.cell[order]] = np.minimum(np.maximum(rate + ((hit * _TOTAL32 - rate) >> 5), 32), _TOTAL - 4096)
-            # A hit gains confidence, a miss halves it; a named id that was hardly trusted is replaced.
-            fresh = (sure < 2) & ~hit
-            sure = np.where(hit, np.minimum(sure + _ONE, 7), np.maximum(sure >> _ONE, _ONE))
-            self.named[order][self.at[order]] = (np.where(fresh, ids, guess) << _TRUST_BITS) | sure
-        more = escaped * np.uint32(24)
-        for digit, counts in enumerate(self.counts):
-            at = self.row256 + ((ids >> np.uint32(8 * digit)) & _BYTE)
-            counts[at] = counts.take(at) + more
-        self.before = [ids, self.before[0]]
+    def update(self, ids: np.ndarray, escaped: np.ndarray, classes: np.ndarray) -> None:
+        lanes, both = self.lanes, self.twice
+        both[:lanes] = ids
+        both[lanes:] = ids
+        hit = self.guess == both
+        moved = self.rate + ((hit * np.int64(_TOTAL) - self.rate) >> 5)
+        self.rates[self.cell] = np.minimum(np.maximum(moved, 32), _TOTAL - 4096)
+        # A named id that was hardly trusted is replaced when it misses.
+        kept = hit | (self.sure > 1)
+        self.named[self.at] = (np.where(kept, self.guess, both) << _TRUST_BITS) | _NEXT.take(self.sure + hit * np.uint32(8))
+        at = self.count_base + classes
+        self.counts[at] = self.counts.take(at) + escaped * np.int32(_GAIN)
+        self.second, self.last = self.last, ids
         self.age += 1
         if self.age % _REBUILD == 0:
             self._rebuild()
 
 
-def _digits(largest: int) -> int:
-    return max(1, (int(largest).bit_length() + 7) // 8)
+def _event(hit2: np.ndarray, hit1: np.ndarray, weight2: np.ndarray, weight1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and share of the event in the mixture."""
+    both = weight2 + weight1
+    start = np.where(hit2, 0, np.where(hit1, weight2, both))
+    share = np.where(hit2, weight2, np.where(hit1, weight1, _TOTAL - both))
+    return start.view(np.uint64), share.view(np.uint64)
 
 
-def _encode_lanes(ids: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
+def _encode_lanes(ids: np.ndarray, class_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """16-bit words of each block (one row per word) and how many each has; ``ids``: one row per step."""
     steps, lanes = ids.shape
-    model = _Model(lanes, digits)
+    model = _Model(lanes, class_bits)
     row = model.row
-    # A first word that takes carries, two closing words, and at most one word per coded symbol.
-    out = np.zeros(((1 + digits) * steps + 4) * lanes, np.uint32)
-    low = np.zeros(lanes, np.uint64)
-    width = np.full(lanes, 0xFFFFFFFF, np.uint64)
+    # A first word that takes carries, four closing words, and at most three words per id.
+    out = np.zeros((3 * steps + 6) * lanes, np.uint32)
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, _ALL)
     place = row + lanes
-
-    def put(start: np.ndarray, share: np.ndarray) -> None:
-        nonlocal low, width, place
-        unit = width >> _U64(16)
+    for t in range(steps):
+        now = ids[t]
+        weight2, weight1 = model.predict()
+        hit2 = model.guess[lanes:] == now
+        hit1 = (model.guess[:lanes] == now) & ~hit2
+        escaped = ~(hit2 | hit1)
+        before = low
+        start, share = _event(hit2, hit1, weight2, weight1)
+        unit = width >> _16
         low = low + unit * start
         width = unit * share
-        out[place - lanes] += (low >> _U64(32)).astype(np.uint32)
-        low &= _MASK32
-        short = width < _U64(_TOTAL)
-        out[place] = low >> _U64(16)
+        classes = _CLASS.take(now)
+        at = model.cdf_base + classes
+        begin = model.cdf.take(at)
+        share = np.where(escaped, model.cdf.take(at + 1) - begin, _TOTAL).view(np.uint64)
+        unit = width >> _16
+        low = low + unit * (begin * escaped).view(np.uint64)
+        width = unit * share
+        width = width >> (_FREE.take(classes) * escaped).view(np.uint64)
+        low = low + width * ((now - _LEAST.take(classes)) * escaped).view(np.uint64)
+        # At most one carry, since less than the width was added; it goes to the last word written.
+        carried = np.flatnonzero(low < before)
+        if len(carried):
+            out[place[carried] - lanes] += np.uint32(1)
+        out[place] = low >> _48
+        short = width < _FULL
         shift = short.astype(np.uint64) << _U64(4)
-        low = (low << shift) & _MASK32
+        low = low << shift
         width = width << shift
         place = place + lanes * short
-
-    for t in range(steps):
-        now = ids[t]
-        weight2, weight1 = model.predict()
-        hit2 = model.guess[1] == now
-        hit1 = (model.guess[0] == now) & ~hit2
-        escaped = ~(hit2 | hit1)
-        start = np.where(hit2, 0, np.where(hit1, weight2, weight2 + weight1))
-        share = np.where(hit2, weight2, np.where(hit1, weight1, _TOTAL - weight2 - weight1))
-        put(start.astype(np.uint64), share.astype(np.uint64))
-        for digit in range(digits):
-            at = model.row257 + ((now >> np.uint32(8 * digit)) & _BYTE)
-            begin = model.cdf[digit].take(at)
-            share = model.cdf[digit].take(at + 1) - begin
-            put(np.where(escaped, begin, 0).astype(np.uint64), np.where(escaped, share, _TOTAL).astype(np.uint64))
-        model.update(now, escaped)
-    out[place] = low >> _U64(16)
-    out[place + lanes] = low & _U64(0xFFFF)
+        more = np.flatnonzero(width < _FULL)
+        while len(more):
+            out[place[more]] = low[more] >> _48
+            low[more] <<= _16
+            width[more] <<= _16
+            place[more] += lanes
+            more = more[width[more] < _FULL]
+        model.update(now, escaped, classes)
+    for j in range(4):
+        out[place + j * lanes] = (low >> _U64(48 - 16 * j)) & _LAST
     words = out.reshape(-1, lanes)
-    used = (place - row) // lanes + 2
+    used = (place - row) // lanes + 4
     for i in range(int(used.max()) - 1, 0, -1):
-        words[i - 1] += words[i] >> 16
-        words[i] &= 0xFFFF
+        over = words[i] >> 16
+        if over.any():
+            words[i - 1] += over
+            words[i] &= 0xFFFF
     return words[1:], used - 1
 
 
-def _decode_lanes(words: np.ndarray, steps: int, digits: int) -> np.ndarray:
+def _decode_lanes(words: np.ndarray, steps: int, class_bits: int) -> np.ndarray:
     """The ids of some blocks, one row per step; ``words``: one row per word."""
     lanes = words.shape[1]
-    model = _Model(lanes, digits)
+    model = _Model(lanes, class_bits)
     row = model.row
-    flat = np.concatenate([words, np.zeros((2, lanes), words.dtype)]).reshape(-1).astype(np.uint64)
-    last = len(flat) - lanes
-    code = (flat[row] << _U64(16)) | flat[row + lanes]
-    width = np.full(lanes, 0xFFFFFFFF, np.uint64)
-    place = row + 2 * lanes
+    flat = np.concatenate([words, np.zeros((4, lanes), words.dtype)]).reshape(-1).astype(np.uint64)
+    last = len(flat) - lanes + row
+    code = (flat[row] << _48) | (flat[row + lanes] << _U64(32)) | (flat[row + 2 * lanes] << _16) | flat[row + 3 * lanes]
+    width = np.full(lanes, _ALL)
+    place = row + 4 * lanes
     out = np.zeros((steps, lanes), np.uint32)
-
-    def take(start: np.ndarray, share: np.ndarray) -> None:
-        nonlocal code, width, place
-        code = code - unit * start
-        width = unit * share
-        short = width < _U64(_TOTAL)
-        shift = short.astype(np.uint64) << _U64(4)
-        code = (code << shift) | flat.take(np.minimum(place, last + row)) * short
-        width = width << shift
-        place = place + lanes * short
-
+    halves = [1 << b for b in range(class_bits - 1, -1, -1)]
     for t in range(steps):
         weight2, weight1 = model.predict()
-        unit = width >> _U64(16)
-        target = np.minimum(code // unit, _U64(_TOTAL - 1)).astype(np.int32)
+        unit = width >> _16
+        target = np.minimum(code // unit, _LAST).view(np.int64)
         hit2 = target < weight2
         escaped = target >= weight2 + weight1
         hit1 = ~(hit2 | escaped)
-        start = np.where(hit2, 0, np.where(hit1, weight2, weight2 + weight1))
-        share = np.where(hit2, weight2, np.where(hit1, weight1, _TOTAL - weight2 - weight1))
-        take(start.astype(np.uint64), share.astype(np.uint64))
-        now = np.where(hit2, model.guess[1], model.guess[0])
-        found = np.zeros(lanes, np.uint32)
-        for digit in range(digits):
-            unit = width >> _U64(16)
-            target = np.minimum(code // unit, _U64(_TOTAL - 1)).astype(np.uint32)
-            cdf = model.cdf[digit]
-            at = model.row257
-            for step in (128, 64, 32, 16, 8, 4, 2, 1):
-                at = at + (cdf.take(at + step) <= target) * np.int64(step)
-            begin = cdf.take(at)
-            share = cdf.take(at + 1) - begin
-            take(np.where(escaped, begin, 0).astype(np.uint64), np.where(escaped, share, _TOTAL).astype(np.uint64))
-            found |= (at - model.row257).astype(np.uint32) << np.uint32(8 * digit)
-        now = np.where(escaped, found, now)
+        start, share = _event(hit2, hit1, weight2, weight1)
+        code = code - unit * start
+        width = unit * share
+        unit = width >> _16
+        target = np.minimum(code // unit, _LAST).view(np.int64)
+        at = model.cdf_base
+        for half in halves:
+            at = at + (model.cdf.take(at + half) <= target) * np.int64(half)
+        begin = model.cdf.take(at)
+        share = np.where(escaped, model.cdf.take(at + 1) - begin, _TOTAL).view(np.uint64)
+        code = code - unit * (begin * escaped).view(np.uint64)
+        width = unit * share
+        # Without an escape the class found means nothing and takes no bits.
+        classes = np.minimum(at - model.cdf_base, len(_LEAST) - 1)
+        free = (_FREE.take(classes) * escaped).view(np.uint64)
+        width = width >> free
+        value = np.minimum(code // width, (_U64(1) << free) - _U64(1))
+        code = code - width * value
+        found = (_LEAST.take(classes) + value.view(np.int64)).astype(np.uint32)
+        now = np.where(escaped, found, np.where(hit2, model.guess[lanes:], model.guess[:lanes]))
+        short = width < _FULL
+        while short.any():
+            shift = short.astype(np.uint64) << _U64(4)
+            code = (code << shift) | flat.take(np.minimum(place, last)) * short
+            width = width << shift
+            place = place + lanes * short
+            short = width < _FULL
         out[t] = now
-        model.update(now, escaped)
+        model.update(now, escaped, classes)
     return out
 
 
 def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS, lanes: int = LANES) -> bytes:
     """The ids (below ``MOST_IDS``) as a sequence of independent, checksummed blocks."""
     ids = np.ascontiguousarray(ids, dtype="<u4")
-    if ids.max(initial=0) >= MOST_IDS:
-        raise ValueError("ids must be below 2 ** 29")
-    digits = _digits(ids.max(initial=0))
+    largest = int(ids.max(initial=0))
+    if largest >= MOST_IDS:
+        raise ValueError(f"ids must be below {MOST_IDS}")
+    class_bits = 6 if largest < 1 << 16 else 7
     n_blocks = -(-len(ids) // block_ids)
     entries = np.zeros(n_blocks, _ENTRY)
     bodies = []
@@ -219,18 +254,18 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS, lanes: int = LANES) -> b
         steps = min(block_ids, len(own))
         padded = np.zeros(many * steps, np.uint32)
         padded[: len(own)] = own
-        words, used = _encode_lanes(np.ascontiguousarray(padded.reshape(many, steps).T), digits)
-        turned = np.ascontiguousarray(words.T).astype("<u2")
+        words, used = _encode_lanes(np.ascontiguousarray(padded.reshape(many, steps).T), class_bits)
+        turned = np.ascontiguousarray(words[: int(used.max())].T).astype("<u2")
         for i in range(many):
             block = own[i * block_ids : (i + 1) * block_ids]
             entries[first + i] = len(block), used[i], zlib.crc32(block.tobytes())
             bodies.append(turned[i, : used[i]].tobytes())
-    return _HEAD.pack(_MAGIC, 1, digits, block_ids, n_blocks) + entries.tobytes() + b"".join(bodies)
+    return _HEAD.pack(_MAGIC, 1, class_bits, block_ids, n_blocks) + entries.tobytes() + b"".join(bodies)
 
 
 def decode(payload: bytes, lanes: int = LANES) -> np.ndarray:
     """The ids of all blocks, in order; a block that does not fit its checksum is an error."""
-    magic, version, digits, block_ids, n_blocks = _HEAD.unpack_from(payload)
+    magic, version, class_bits, block_ids, n_blocks = _HEAD.unpack_from(payload)
     if magic != _MAGIC or version != 1:
         raise ValueError("not a file of this format")
     entries = np.frombuffer(payload, _ENTRY, n_blocks, _HEAD.size)
@@ -244,7 +279,7 @@ def decode(payload: bytes, lanes: int = LANES) -> np.ndarray:
         words = np.zeros((len(own), int(own["words"].max())), np.uint16)
         for i, e in enumerate(ends[first : first + lanes]):
             words[i, : own["words"][i]] = stream[e - own["words"][i] : e]
-        decoded = _decode_lanes(np.ascontiguousarray(words.T), steps, digits).T
+        decoded = _decode_lanes(np.ascontiguousarray(words.T), steps, class_bits).T
         for i in range(len(own)):
             block = np.ascontiguousarray(decoded[i, : own["ids"][i]], dtype="<u4")
             if zlib.crc32(block.tobytes()) != own["crc"][i]:

@@ -13,6 +13,8 @@ an empty table gives an empty file and no rows.
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,32 +27,41 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from veriweave.llm import range_coder
+from veriweave.llm.byte_bpe import byte_characters
 from veriweave.llm.common import id_and_text, partitions_for, slices
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 # Ids after which a frame is closed; a longer document makes a longer frame.
-FRAME_IDS = 1 << 21
+FRAME_IDS = 1 << 22
 # Entries of the table of encoded words that a worker keeps; it is emptied when full.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 1_000_000
 SHARDS_PER_GROUP = 1000
 _SLICE_BYTES = 4 * 1024 * 1024
-_WORDS_A_CALL = 2000
-_BETWEEN = "\x01"
 _FRAMES = "shard int, frame int, first long, doc_ids array<long>, counts array<int>, n_ids long, payload binary"
 _DOCUMENTS = "shard int, doc_id long, first long, n_tokens long, ids_crc32 long"
 
 
-class Encoder:
-    """Ids of texts by a tokenizer file that lets no token cross ASCII white space; one per worker process."""
+# Marks that, after letters, are a token of their own.
+_MARKS = b",.;:!?"
+
+
+class Encoder(dict):
+    """Ids of texts by a tokenizer file that lower-cases and lets no token cross ASCII white space; one per worker process.
+
+    Texts are cut there, and each distinct piece is encoded once: this is the table of
+    pieces. A piece of lower-case letters in normal form is one pre-token that the
+    normaliser leaves alone, so it goes to the tokenizer's model directly, and a mark
+    behind it is a token for itself; any other piece takes the whole way.
+    """
 
     _made: dict[str, Encoder] = {}
 
     def __init__(self, path: str) -> None:
-        self.model = Tokenizer.from_file(path)
-        self.done: dict[bytes, bytes] = {}
-        between = self.model.encode(_BETWEEN, add_special_tokens=False).ids
-        self.between = between[0] if len(between) == 1 else None
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = byte_characters()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -58,32 +69,29 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _encode_words(self, words: list[bytes]) -> None:
-        """Many words in one call, told apart by a token that none of them has."""
-        for a in range(0, len(words), _WORDS_A_CALL):
-            some = words[a : a + _WORDS_A_CALL]
-            texts = [w.decode() for w in some]
-            if self.between is not None and not any(_BETWEEN in t for t in texts):
-                ids = np.array(self.model.encode(f" {_BETWEEN} ".join(texts), add_special_tokens=False).ids, np.uint32)
-                cuts = np.flatnonzero(ids == self.between)
-                if len(cuts) == len(some) - 1:
-                    starts, ends = np.r_[0, cuts + 1], np.r_[cuts, len(ids)]
-                    self.done.update((w, ids[i:j].tobytes()) for w, i, j in zip(some, starts, ends, strict=True))
-                    continue
-            found = self.model.encode_batch(texts, add_special_tokens=False)
-            self.done.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(some, found, strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as 32-bit integers."""
-        cut = [t.split() for t in texts]
-        missing = set().union(*cut).difference(self.done)
-        if len(self.done) + len(missing) > CACHE_ENTRIES:
-            self.done.clear()
-            missing = set().union(*cut)
-        if missing:
-            self._encode_words(list(missing))
-        get = self.done.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+    def __missing__(self, word: bytes) -> bytes:
+        if word[-1] in _MARKS and word[:-1].isalpha():
+            coded = self[word[:-1]] + self[word[-1:]]
+        else:
+            ids = self._ids(word)
+            coded = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = coded
+        return coded
+
+    def _ids(self, word: bytes) -> list[int]:
+        text = word.decode()
+        if text.isalpha():
+            if text.isascii():
+                return [t.id for t in self.tokenize(text)]
+            if text == text.lower() and unicodedata.is_normalized("NFC", text):
+                return [t.id for t in self.tokenize("".join(map(self.letters.__getitem__, word)))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a text as 32-bit integers."""
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 class _Frame:
@@ -121,8 +129,8 @@ def frames(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID,
         frame, number, first = _Frame(), 0, 0
         for batch in batches:
             for part in slices(batch, _SLICE_BYTES):
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    frame.add(doc_id, ids + end)
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    frame.add(doc_id, encoder.encode(text) + end)
                     if frame.size >= frame_ids:
                         yield frame.row(shard, number, first)
                         frame, number, first = _Frame(), number + 1, first + frame.size
