@@ -51,6 +51,37 @@ def test_ngram_join_of_a_chain_and_a_common_passage(spark):
     assert got == brute.jaccard_components(rows)
 
 
+@pytest.mark.parametrize("pair_sets, pair_hashes", [(3, 1 << 20), (512, 400), (512, 1 << 20)])
+def test_ngram_join_finds_every_link(spark, pair_sets, pair_hashes):
+    base = [f"v{i}" for i in range(80)]
+    variants = [" ".join([*base[:i], f"z{i}", *base[i + 1 :]]) for i in range(0, 80, 2)]
+    chain = [" ".join(f"c{i}" for i in range(a * 5, a * 5 + 60)) for a in range(12)]
+    texts = near_copies(3, 6, 8) + variants + variants[:5] + chain + [None, "", "one", "ONE"]
+    sets = [brute.shingles(t) for t in texts]
+    alike = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and x and 100 * len(x & y) >= 75 * len(x | y)}
+    documents, links = ngram_join.joined(table(spark, list(enumerate(texts))), block_sets=7, pair_sets=pair_sets, pair_hashes=pair_hashes)
+    members = {}
+    for r in documents.filter("n_shingles > 0").collect():
+        members.setdefault(r.node, []).append(r.doc_id)
+    found = {(i, j) for own in members.values() for i in own for j in own if i != j}
+    listed = links.collect()
+    for r in listed:
+        found |= {(i, j) for a, b in ((r.a, r.b), (r.b, r.a)) for i in members[a] for j in members[b]}
+        assert r.common == len(sets[members[r.a][0]] & sets[members[r.b][0]])
+    assert found == alike and len(listed) == len({(r.a, r.b) for r in listed}) and all(r.a < r.b for r in listed)
+    counts = {r.doc_id: r.n_links for r in ngram_join.link_counts(documents, links).collect()}
+    assert counts == {i: sum(1 for a, _ in alike if a == i) for i in range(len(texts))}
+
+
+def test_components_of_the_whole_join(spark):
+    rows = list(enumerate([*near_copies(5), None, ""]))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_by_join(table(spark, rows)).collect()}
+    assert got == brute.jaccard_components(rows)
+    documents, links = ngram_join.joined(table(spark, [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, None), (3, None)]))
+    assert sorted((r.n_shingles, r.n_links) for r in ngram_join.link_counts(documents, links).collect()) == [(0, 0), (0, 0), (1, 2), (1, 2), (1, 2)]
+    assert ngram_join.link_counts(*ngram_join.joined(table(spark, []))).count() == 0
+
+
 def test_ngram_join_odd_rows(spark):
     same = "a b c d e f g"
     rows = [(7, same), (7, same), (None, same), (None, "q w e r t y"), (3, "z"), (9, None)]

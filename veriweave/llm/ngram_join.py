@@ -18,8 +18,13 @@ with the node's upper corner.
    different components that the bound allows, and these are compared exactly.
 4. Components follow from the links found. No link between different components is
    missed, so the components are those of all links.
+5. Every link lies within one component, so the whole join is made there: components are
+   cut into blocks, each two blocks of a component meet once, are searched as R-trees and
+   compared exactly. ``joined`` gives all links between different sets with the documents
+   of each set, ``link_counts`` the links per document.
 
-Defined results: a null or empty text, or one without words, has an empty set and stands
+Defined results: documents with one set are linked with each other too, repeated rows
+among them; empty sets have no links; a null or empty text, or one without words, has an empty set and stands
 alone; with fewer words than ``words`` the whole sequence is the one shingle; null ids
 are kept and never the name of a component while it has another id; repeated rows give
 one row each; extra columns are ignored; an empty table gives an empty table.
@@ -46,12 +51,16 @@ FAN_OUT = 16
 BLOCK_SETS = 4096
 # Entries of the table of counts that orders hashes by rarity.
 TABLE_BITS = 18
+# Sets, and hashes in them, of a component that the whole join takes as one block.
+PAIR_SETS = 512
+PAIR_HASHES = 1 << 20
 _PIECE = 1 << 12
 _SLICE_BYTES = 1024 * 1024
 _PROFILE = "doc_id long, n long, node long, point binary, piece int, counts binary"
 _BLOBS = "bucket int, n int, nodes binary, tokens binary"
 _CELLS = "cell long, node long, n long"
 _SETS = "node long, hashes binary"
+_LINKS = "a long, b long, common long"
 _NODE = np.dtype([("node", "<i8"), ("n", "<u4")])
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xE7037ED1A0B428DB)
 
@@ -387,20 +396,85 @@ def _pairs_between(cells: DataFrame, percent: int, block_sets: int) -> DataFrame
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (the least id that links reach) of every document."""
+def _all_pairs(placed: DataFrame, sets: DataFrame, percent: int, block_sets: int, block_hashes: int) -> DataFrame:
+    """All links (a, b, common) with a < b among the nodes of each component; ``placed`` has node, n and component.
+
+    A component of more than ``block_sets`` nodes or ``block_hashes`` hashes is met block by block.
+    Hashes join last, so that they are shuffled twice only.
+    """
+    sizes = placed.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / block_hashes)).alias("blocks"))
+    dealt = placed.join(sizes.hint("merge"), "component").select("component", "blocks", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
+    met = (
+        dealt.join(sets.hint("merge"), "node")
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "hashes")
+    )
+
+    def taken(found: list[np.ndarray]) -> pa.RecordBatch:
+        a, b, common = np.concatenate(found, axis=1)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(common)], names=["a", "b", "common"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n_found = [], 0
+        for table, first in _whole_groups(batches, ["component", "low", "high"]):
+            node, own, low, high = (table.column(c).to_numpy() for c in ("node", "own", "low", "high"))
+            column = table.column("hashes")
+            for start, end in zip(first, [*first[1:], len(node)], strict=True):
+                # A set may come twice.
+                rows = start + np.flatnonzero(np.r_[True, node[start + 1 : end] != node[start : end - 1]])
+                if len(rows) < 2:
+                    continue
+                names, block = node[rows], own[rows]
+                sets = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in rows]
+                n = np.array([len(x) for x in sets])
+                offsets = np.r_[0, np.cumsum(n)]
+                used, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                groups = (used[flat] & np.uint64(GROUPS - 1)).astype(np.int64) + GROUPS * np.repeat(np.arange(len(n)), n)
+                points = np.bincount(groups, minlength=GROUPS * len(n)).reshape(-1, GROUPS)
+                asked, kept = np.flatnonzero(block == low[start]), np.flatnonzero(block == high[start])
+                if not len(asked) or not len(kept):
+                    continue
+                tree, marked = Tree(points[kept], n[kept]), np.zeros(len(used), bool)
+                for i in asked:
+                    at = kept[tree.search(points[i], int(n[i]), percent)]
+                    if low[start] == high[start]:
+                        at = at[names[at] > names[i]]
+                    if not len(at):
+                        continue
+                    # How many hashes of each candidate are marked as those of the set.
+                    marked[flat[offsets[i] : offsets[i + 1]]] = True
+                    ends = np.cumsum(n[at])
+                    places = np.arange(ends[-1]) + np.repeat(offsets[at] - ends + n[at], n[at])
+                    common = np.add.reduceat(marked[flat[places]], ends - n[at], dtype=np.int64)
+                    marked[flat[offsets[i] : offsets[i + 1]]] = False
+                    alike = common >= needed(n[at], int(n[i]), percent)
+                    found.append(np.stack([np.full(alike.sum(), names[i]), names[at[alike]], common[alike]]))
+                    n_found += int(alike.sum())
+                    if n_found >= 100_000:
+                        yield taken(found)
+                        n_found = 0
+        if found:
+            yield taken(found)
+
+    ordered = met.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "node")
+    return ordered.mapInArrow(run, _LINKS)
+
+
+def _spanning(docs: DataFrame, words: int, percent: int, block_sets: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, n, node), hashes of the nodes that may have links, and links enough for the components."""
     source = id_and_text(docs)
     profile = settled(_profile(source, words), "shingle-profile")
     documents = profile.filter("piece IS NULL").select("doc_id", "n", "node")
     whole = profile.filter("n > 0")
-    classes = whole.groupBy("node", "n").agg(F.min("doc_id").alias("least"))
+    classes = whole.groupBy("node").agg(F.min("doc_id").alias("least"))
     points = whole.groupBy("node").agg(F.max("point").alias("point")).hint("merge")
     cells = settled(_cells(_rare_hashes(source, _rarity(profile), partitions_for(docs), words, percent)).distinct(), "shingle-cells")
     pairs = settled(_first_pairs(cells.join(points, "node"), percent, block_sets), "shingle-pairs")
 
     # One document stands for each node that has a pair.
     active = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = active.join(classes, "node").groupBy("node").agg(F.min("least").alias("doc_id"))
+    ids = active.join(classes, "node").select("node", F.col("least").alias("doc_id"))
     texts = source.join(ids.hint("merge"), source["doc_id"].eqNullSafe(ids["doc_id"])).select("node", "text")
     sets = settled(_sets(texts, words), "shingle-sets")
     first = settled(_alike(pairs.filter("a != b"), sets, percent), "links")
@@ -412,7 +486,12 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_se
     left = placed.join(several, "cell").join(points, "node")
     more = _pairs_between(left, percent, block_sets).join(pairs, ["a", "b"], "left_anti")
     links = first.unionByName(settled(_alike(more, sets, percent), "links"))
+    return documents, sets, links
+
 
+def _named(documents: DataFrame, links: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every document, by links (u, v)."""
+    classes = documents.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("least"))
     final = components(links)
     named = classes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -420,3 +499,39 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_se
     return documents.join(of_node, ["node", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` (the least id that links reach) of every document, without listing all links."""
+    documents, _, links = _spanning(docs, words, percent, block_sets)
+    return _named(documents, links)
+
+
+def joined(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS, pair_sets: int = PAIR_SETS, pair_hashes: int = PAIR_HASHES
+) -> tuple[DataFrame, DataFrame]:
+    """The whole join: ``doc_id``, ``n_shingles``, ``node`` of every document, and ``a``, ``b``, ``common`` of every two nodes with alike sets.
+
+    Documents of one node have one set; the links between documents are those of their
+    nodes and all pairs within a node that is not empty.
+    """
+    documents, sets, spanning = _spanning(docs, words, percent, block_sets)
+    sizes = documents.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"))
+    placed = settled(components(spanning).join(sizes.hint("merge"), "node"), "shingle-components")
+    return documents.withColumnRenamed("n", "n_shingles"), settled(_all_pairs(placed, sets, percent, pair_sets, pair_hashes), "all-links")
+
+
+def linked_by_join(docs: DataFrame, **options) -> DataFrame:
+    """What ``linked`` gives, from the whole join."""
+    documents, links = joined(docs, **options)
+    return _named(documents.withColumnRenamed("n_shingles", "n"), links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def link_counts(documents: DataFrame, links: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``n_links`` (other documents with an alike set) of every document, from what ``joined`` gives."""
+    copies = documents.filter("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    both = links.select(F.col("a").alias("of"), F.col("b").alias("node")).unionByName(links.select(F.col("b").alias("of"), F.col("a").alias("node")))
+    others = both.join(copies, "node").groupBy("of").agg(F.sum("copies").alias("others")).withColumnRenamed("of", "node")
+    counted = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    n_links = F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links")
+    return documents.join(counted, "node", "left").select("doc_id", "n_shingles", n_links)

@@ -12,8 +12,8 @@ from veriweave.session import checkpoint_dir
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near copies among all documents, by the shingles they share."""
-    return ngram_join.linked(table(spark, sf_dir, "documents"))
+    """Near copies among all documents, by the shingles they share: components of the whole join."""
+    return ngram_join.linked_by_join(table(spark, sf_dir, "documents"))
 
 
 # A conversation made of control strings, so that escaping is always met.
