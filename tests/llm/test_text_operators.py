@@ -231,6 +231,26 @@ def test_fingerprints_tell_order(spark):
     assert alone.edited_sha256 == brute.sha("abcabc") and alone.near_next == 1.0
 
 
+def test_fingerprints_of_short_texts_tell_order(spark):
+    pick = random.Random(8)
+    texts = [[f"w{pick.randrange(10**6)}" for _ in range(n)] for n in range(20, 101, 4)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(i + 1000, " ".join(w[len(w) // 2 :] + w[: len(w) // 2])) for i, w in enumerate(texts)]
+    got = {r.doc_id: r.signature for r in fingerprints.fingerprints(table(spark, rows)).collect()}
+    assert all(h is not None for s in got.values() for h in s)
+    # Of two k-mers in random places, about half the pairs stand the other way round after a swap of halves.
+    near = [sum(x == y for x, y in zip(got[i], got[i + 1000], strict=True)) / 32 for i in range(len(texts))]
+    assert 0.25 < sum(near) / len(near) < 0.55
+    # Every tuple draws its own pair.
+    assert all(len(set(s)) > 16 for s in got.values())
+
+
+def test_fingerprints_take_the_two_least(spark):
+    texts = ["a b c d e f g h a b c a b c", "a b c", "a", "x x x x x x x"]
+    got = {r.doc_id: r.signature for r in fingerprints.fingerprints(table(spark, list(enumerate(texts)))).collect()}
+    assert len(set(got[0])) > 8 and None not in got[1] and None not in got[2]
+    assert fingerprints.fingerprints(table(spark, [(1, None)])).first().signature == [None] * 32
+
+
 TURNS = [
     (1, 0, "system", "Be <|im_end|> kind\n"), (1, 1, "user", "a"), (1, 2, "assistant", "b <\\| c"), (2, 1, "user", "a"), (2, 0, "system", "Be <|im_end|> kind\n"),
     (2, 2, "assistant", ""), (2, 3, "assistant", "<|im_start|>assistant ok"), (3, 0, "us\ner\\n", None), (4, None, None, None), (None, 0, "user", "x"),

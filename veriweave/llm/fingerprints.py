@@ -1,13 +1,13 @@
 """Document fingerprints by Order MinHash (3), with DataFrame functions only.
 
 The k-mers of a text are its runs of ``k`` words; the n-th use of a k-mer counts as an
-element of its own. Elements are hashed, the hash range is cut into ``2 * tuples`` slots,
-and each slot keeps its minimal element. Two neighbouring slots make a tuple: their
-elements stay in the order in which they stand in the text and are hashed together, so
-that a signature changes when passages are swapped, not only when they are replaced.
+element of its own. Every tuple has a hash function of its own and takes its two least
+elements over the whole text; they stay in the order in which they stand in the text and
+are hashed together, so that a signature changes when passages are swapped, not only when
+they are replaced.
 
 Defined results: a null or empty text has the signature of empty tuples; a text with
-fewer than ``k`` words is one k-mer; documents are ordered by id, a null id first, and
+fewer than ``k`` words is one k-mer; a tuple of a text with one k-mer holds that alone; documents are ordered by id, a null id first, and
 by text where ids repeat, and the last is followed by the first; repeated rows give one
 row each; extra columns are ignored; an empty table gives an empty table.
 """
@@ -38,18 +38,16 @@ def _high(x: Column) -> Column:
 
 
 def with_signature(df: DataFrame, text: str, out: str, k: int = K, tuples: int = TUPLES) -> DataFrame:
-    """Add ``out``: one hash per tuple (null where both slots are empty), as an array of bigint.
+    """Add ``out``: one hash per tuple (null where the text has no word), as an array of bigint.
 
     Each step is a column of its own, so that nothing is computed again inside a lambda.
     """
-    if tuples & (tuples - 1) or tuples < 1:
-        raise ValueError("tuples must be a power of two")
+    if tuples < 1:
+        raise ValueError("tuples must be positive")
     kept = df.columns
-    slot_bits = (2 * tuples).bit_length() - 1
-    half = tuples  # signed slot numbers start at -tuples
     place_mask = (1 << PLACE_BITS) - 1
     no_place = F.lit(~place_mask)
-    words, n, grams, starts, first, by_slot = (f"_{out}_{x}" for x in ("words", "n", "grams", "starts", "first", "slots"))
+    words, n, grams, starts, in_text = (f"_{out}_{x}" for x in ("words", "n", "grams", "starts", "elements"))
     step = df.withColumn(words, F.split(F.btrim(F.col(text), F.lit(_WHITE)), "[ \\t\\n\\x0B\\f\\r]+"))
     step = step.withColumn(n, F.when(F.element_at(words, 1) == "", 0).otherwise(F.size(words)))
     # Sorted by k-mer, then place.
@@ -68,24 +66,27 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = K, tuples: int =
             lambda i: i >= 0,
         ),
     )
-    element = lambda x, use: F.xxhash64(_high(x), use).bitwiseAND(no_place).bitwiseOR(x.bitwiseAND(F.lit(place_mask)))
+    # Place above, hash below: sorted, the elements stand as in the text.
+    element = lambda x, use: F.shiftleft(x.bitwiseAND(F.lit(place_mask)), 63 - PLACE_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(_high(x), use), PLACE_BITS + 1))
     uses = F.flatten(
         F.transform(F.col(starts), lambda s, m: F.sequence(F.lit(0), F.coalesce(F.get(F.col(starts), m + 1), F.size(grams)) - s - 1))
     )
     elements = F.when(F.size(starts) == F.size(grams), F.transform(F.col(grams), lambda x: element(x, F.lit(0)))).otherwise(
         F.zip_with(F.col(grams), uses, element)
     )
-    step = step.withColumn(first, F.sort_array(elements))
-    slot = lambda x: F.shiftright(x, 64 - slot_bits)
-    minima = F.filter(F.col(first), lambda x, i: (i == 0) | (slot(x) != slot(F.get(F.col(first), i - 1))))
-    step = step.withColumn(by_slot, minima)
-    step = step.withColumn(by_slot, F.map_from_arrays(F.transform(F.col(by_slot), slot), F.col(by_slot)))
+    step = step.withColumn(in_text, F.sort_array(elements))
+    hash_mask = F.lit((1 << (63 - PLACE_BITS)) - 1)
+    step = step.withColumn(in_text, F.transform(F.col(in_text), lambda x: x.bitwiseAND(hash_mask)))
+    # A value computed once and used several times inside a lambda.
+    given = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def in_order(hashes: Column, a: Column, b: Column) -> Column:
+        ahead = b.isNull() | (F.array_position(hashes, a) < F.array_position(hashes, b))
+        return F.when(a.isNotNull(), F.when(ahead, F.xxhash64(a, b)).otherwise(F.xxhash64(b, a)))
 
     def tuple_hash(t: Column) -> Column:
-        a, b = F.col(by_slot)[(t * 2 - half).cast("long")], F.col(by_slot)[(t * 2 + 1 - half).cast("long")]
-        in_order = b.isNull() | (a.bitwiseAND(F.lit(place_mask)) <= b.bitwiseAND(F.lit(place_mask)))
-        both = F.when(in_order, F.xxhash64(_high(a), _high(b))).otherwise(F.xxhash64(_high(b), _high(a)))
-        return F.when(a.isNotNull() | b.isNotNull(), both)
+        least_two = lambda hashes: given(F.array_min(hashes), lambda a: given(F.array_min(F.array_remove(hashes, a)), lambda b: in_order(hashes, a, b)))
+        return given(F.transform(F.col(in_text), lambda x: F.xxhash64(x, t)), least_two)
 
     return step.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(tuples - 1)), tuple_hash)).select(*kept, out)
 
