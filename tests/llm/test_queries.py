@@ -9,7 +9,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in entry.LLM if n.startswith("op")) == list(range(1, 11)) and "pipeline" in entry.LLM
+    assert sorted(int(n[2:].split("_")[0]) for n in entry.LLM if n.startswith("op")) == list(range(1, 14)) and "pipeline" in entry.LLM
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in entry.LLM.items() if sql])

@@ -6,7 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriweave.llm import byte_bpe, chat_format, decontamination, fingerprints, html_text, language_id, ngram_join, oracles, suffix_dedup, token_files, toxicity
+from veriweave.llm import (
+    byte_bpe, chat_format, conversation_repair, decontamination, embedding_dedup, fingerprints, hard_negatives, html_text, language_id,
+    ngram_join, oracles, suffix_dedup, token_files, toxicity,
+)
 from veriweave.llm.common import table
 from veriweave.session import checkpoint_dir
 
@@ -69,6 +72,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule and repaired by the cheapest edits."""
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of equal label, by cosine."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding, among all."""
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_join": (op1_ngram_join, oracles.NGRAM_JOIN),
     "op2_chat_format": (op2_chat_format, oracles.CHAT_FORMAT),
@@ -80,4 +98,7 @@ QUERIES = {
     "op8_language_id": (op8_language_id, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_suffix_dedup": (op10_suffix_dedup, oracles.SUFFIX_DEDUP),
+    "op11_conversation_repair": (op11_conversation_repair, oracles.CONVERSATION_REPAIR),
+    "op12_embedding_dedup": (op12_embedding_dedup, oracles.EMBEDDING_DEDUP),
+    "op13_hard_negatives": (op13_hard_negatives, oracles.HARD_NEGATIVES),
 }
