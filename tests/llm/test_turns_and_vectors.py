@@ -231,7 +231,7 @@ def plain_negatives(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("anchors,candidates,scale", [(512, 8192, 1.0), (2, 30, 1.0), (512, 100, 2e6)])
+@pytest.mark.parametrize("anchors,candidates,scale", [(512, 8192, 1.0), (2, 30, 1.0), (512, 100, 1e5)])
 def test_negatives_against_all_scores(spark, monkeypatch, anchors, candidates, scale):
     monkeypatch.setattr(hard, "ANCHORS", anchors)
     monkeypatch.setattr(hard, "CANDIDATES", candidates)
