@@ -11,7 +11,7 @@ from registry.domain_sql import domain
 from registry.graph import OFFICER_COUNTS, PEOPLE, triple_sql
 from veriweave.functions.encoding import DIMENSION, hashing_encoder
 from veriweave.functions.identifiers import name_uuid
-from veriweave.operators import analytics, context, querytext, ranking, vectors
+from veriweave.operators import analytics, context, querytext, ranking, vector_index, vectors
 from veriweave.plans import corpus as corpus_plans
 from veriweave.plans import retrieval as plans
 from veriweave.roles import domain_tables, read
@@ -787,10 +787,10 @@ def explained_matches(spark: SparkSession, sf: str) -> DataFrame:
 def sync_apply(spark: SparkSession, sf: str) -> DataFrame:
     """A collection built from earlier texts, brought in step with the documents as they are."""
     from veriweave.session import checkpoint_dir
-    from veriweave.sources.stores import VersionedTable
+    from veriweave.sources.stores import manifest_store, point_store
 
     root = f"{checkpoint_dir(spark).rstrip('/')}/sync/{uuid.uuid4().hex}"
-    store, manifest = VersionedTable(spark, f"{root}/points"), VersionedTable(spark, f"{root}/manifest")
+    store, manifest = point_store(spark, f"{root}/points", 16), manifest_store(spark, f"{root}/manifest", 16)
     now = corpus(spark, sf)
     labelled = read(spark, sf, "labels").selectExpr("doc_id", "toxic", "quality")
     earlier = now.join(labelled, F.col("metadata")["case_id"] == F.col("doc_id")).select(
@@ -821,3 +821,75 @@ QUERIES |= {
         f"WITH {CORPUS_SQL} SELECT point_id, document_id, substr(text, 1, 500) AS text_preview, true AS in_manifest FROM corpus WHERE trim(text) <> ''",
     ),
 }
+
+
+def _index(spark: SparkSession, sf: str) -> vector_index.VectorIndex:
+    return vector_index.build_index(embedding_points(spark, sf))
+
+
+def _every_twentieth(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_points(spark, sf).filter("point_id % 20 = 0").withColumnRenamed("point_id", "query_id")
+
+
+def index_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Every twentieth embedding against all, by the cells that can hold one of its nearest."""
+    return vector_index.nearest(_index(spark, sf), _every_twentieth(spark, sf), 10, skip_self=True, exact=True)
+
+
+def index_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """The same within the query's label and above a score, by small parts of cells."""
+    return vector_index.nearest(
+        _index(spark, sf), _every_twentieth(spark, sf), 4, 0.1, ("label",), skip_self=True, exact=True, points_per_block=50, queries_per_block=3
+    )
+
+
+def index_similar(spark: SparkSession, sf: str) -> DataFrame:
+    """Every embedding as a case: its nearest others, by the index."""
+    index = _index(spark, sf)
+    return vector_index.nearest(index, index.points.select(F.col("point_id").alias("query_id"), "vector"), 5, skip_self=True, exact=True)
+
+
+def index_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of the nearest of every twentieth embedding the measured number of probes finds, and that each hit is told with its score."""
+    asked, points = _every_twentieth(spark, sf), embedding_points(spark, sf)
+    index = vector_index.tuned(_index(spark, sf), 10)
+    truth = staged(vectors.nearest(points, asked, 10, skip_self=True), "truth")
+    found = staged(vector_index.nearest(index, asked, 10, skip_self=True), "found")
+    measured = vector_index.recall(found, truth)
+    same = found.join(truth.select("query_id", "point_id", F.col("score").alias("exact")), ["query_id", "point_id"]).agg(F.count_if(F.col("score") != F.col("exact")).alias("off"))
+    return measured.crossJoin(same).select("queries", "neighbours", (F.col("recall") >= 0.9).alias("recall_reached"), (F.col("off") == 0).alias("scores_equal"))
+
+
+def index_grown(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of the even ids with the odd ones added later: cells as they were fitted, nothing missed."""
+    points = embedding_points(spark, sf)
+    index = vector_index.add_points(vector_index.build_index(points.filter("point_id % 2 = 0")), points.filter("point_id % 2 = 1"))
+    return vector_index.nearest(index, _every_twentieth(spark, sf), 10, skip_self=True, exact=True)
+
+
+_TWENTIETH = (
+    "p AS (SELECT vec_id AS point_id, embedding AS vector, CAST(label AS BIGINT) AS label FROM embeddings), "
+    "q AS (SELECT point_id AS query_id, vector, label FROM p WHERE point_id % 20 = 0)"
+)
+_INDEXED_SQL = f"WITH {_TWENTIETH} SELECT * FROM (" + _top_sql("q", "p", 10, "query_id <> point_id") + ") WHERE rank <= 10"
+
+QUERIES |= {
+    "E6_index_exact": (index_exact, _INDEXED_SQL),
+    "E7_index_filtered": (
+        index_filtered,
+        f"WITH {_TWENTIETH}, s AS (SELECT q.query_id, p.point_id, {COSINE.format(a='q.vector', b='p.vector')} AS score FROM q JOIN p ON q.label = p.label "
+        "AND query_id <> point_id) SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM s "
+        "WHERE score >= 0.1 QUALIFY rank <= 4",
+    ),
+    "R32_index_similar": (
+        index_similar,
+        "WITH p AS (SELECT vec_id AS point_id, embedding AS vector FROM embeddings), q AS (SELECT point_id AS query_id, vector FROM p) SELECT * FROM ("
+        + _top_sql("q", "p", 5, "query_id <> point_id") + ") WHERE rank <= 5",
+    ),
+    "E6_index_recall": (
+        index_recall,
+        "SELECT count(*) AS queries, sum(least(10, (SELECT count(*) - 1 FROM embeddings)))::BIGINT AS neighbours, true AS recall_reached, true AS scores_equal "
+        "FROM embeddings WHERE vec_id % 20 = 0",
+    ),
+    "E6_index_grown": (index_grown, _INDEXED_SQL),
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from registry.domain_sql import domain
 from registry.quality import GIVEN
 from veriweave.roles import DECLARED, domain_tables, read
-from veriweave.session import checkpoint_dir
+from veriweave.session import checkpoint_dir, staged
 from veriweave.sources import metadata, tables
 from veriweave.sources.stores import document_index, document_store, get_document, get_documents
 
@@ -79,7 +79,7 @@ def _stored(spark: SparkSession, sf: str):
     old = read(spark, sf, "documents").join(labelled, "doc_id").select(
         F.concat("lang", F.lit("_"), "doc_id").alias("document_id"), F.col("lang").alias("document_type"), F.lit("old").alias("text")
     )
-    store = document_store(spark, _root(spark))
+    store = document_store(spark, _root(spark), 8)
     store.replace(old)
     store.upsert(docs.filter("length(text) % 2 = 0"), "document_id")
     store.delete(docs.filter("length(text) % 5 = 0").select("document_id"), "document_id")
@@ -108,11 +108,49 @@ def one_document(spark: SparkSession, sf: str) -> DataFrame:
     """A document by its id: the scan is limited to the folder of its kind."""
     docs = read(spark, sf, "documents").select(F.concat(F.lit("case_summary_"), "doc_id").alias("document_id"), F.lit("case_summary").alias("document_type"), "text")
     others = docs.select(F.regexp_replace("document_id", "case_summary", "court_summary").alias("document_id"), F.lit("court_summary").alias("document_type"), "text")
-    store = document_store(spark, _root(spark))
+    store = document_store(spark, _root(spark), 8)
     store.replace(docs.unionByName(others))
     return get_document(store.read(), "case_summary_7").select("document_id", "document_type", F.md5("text").alias("text_md5"))
 
 
+def point_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled documents and some that are not there, looked up in the buckets of their ids."""
+    docs = read(spark, sf, "documents").select(F.concat_ws("_", "lang", "doc_id").alias("document_id"), F.col("lang").alias("document_type"), "text")
+    store = document_store(spark, _root(spark), 8)
+    store.replace(docs)
+    ids = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "lang"), "doc_id").selectExpr("concat_ws('_', lang, doc_id) AS document_id")
+    return store.lookup(ids.union(ids.selectExpr("concat(document_id, '_gone')"))).select("document_id", "document_type", F.md5("text").alias("text_md5"))
+
+
+def bucketed_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Buckets that single changes write, and whether all others keep their folders; then every row as it is."""
+    docs = read(spark, sf, "documents").select(F.concat_ws("_", "lang", "doc_id").alias("document_id"), F.col("lang").alias("document_type"), "text")
+    store = document_store(spark, _root(spark), 32)
+    store.replace(docs)
+    one = staged(store.read().orderBy("document_id").limit(1), "one")
+    steps, before = [], set(store.folders())
+    for step, upserts, deletes in (
+        ("upsert", one.withColumn("text", F.lit("newer")), None),
+        ("delete", None, one.select("document_id")),
+        ("nothing", one.limit(0), None),
+        ("both", one, one.select("document_id")),
+    ):
+        written = store.change(upserts, deletes)
+        after = set(store.folders())
+        steps.append((step, written, len(before - after) <= written, store.read().count()))
+        before = after
+    told = spark.createDataFrame(steps, "step string, buckets bigint, others_kept boolean, row_count bigint")
+    rows = store.read().select(F.concat(F.lit("row "), "document_id", F.lit(" "), F.md5("text")).alias("step"))
+    return told.unionByName(rows.select("step", F.lit(None).cast("bigint").alias("buckets"), F.lit(None).cast("boolean").alias("others_kept"), F.lit(1).cast("bigint").alias("row_count")))
+
+
+BUCKETED_SQL = (
+    "WITH n AS (SELECT count(*) AS n FROM documents) SELECT step, buckets::BIGINT AS buckets, true AS others_kept, n - less AS row_count FROM n, "
+    "(VALUES ('upsert', 1, 0), ('delete', 1, 1), ('nothing', 0, 1), ('both', 1, 0)) v(step, buckets, less) "
+    "UNION ALL SELECT 'row ' || lang || '_' || doc_id || ' ' || md5(text), NULL, NULL, 1 FROM documents"
+)
+
+
 def reports(spark: SparkSession, sf: str) -> DataFrame:
     """Row counts written as a report and read back."""
     path = tables.write_report(tables.row_counts({n: read(spark, sf, n) for n in GIVEN}), _root(spark), "counts")
@@ -171,6 +209,11 @@ QUERIES = {
     "S10_get_document": (
         one_document, "SELECT 'case_summary_7' AS document_id, 'case_summary' AS document_type, md5(text) AS text_md5 FROM documents WHERE doc_id = 7",
     ),
+    "S10_point_reads": (
+        point_reads,
+        "SELECT DISTINCT lang || '_' || d.doc_id AS document_id, lang AS document_type, md5(text) AS text_md5 FROM documents d JOIN labels l ON l.doc_id = d.doc_id",
+    ),
+    "S9_S14_S15_bucketed_changes": (bucketed_changes, BUCKETED_SQL),
     "S10_S12_document_index": (indexed_documents, f"WITH {STORED} SELECT document_id, document_type AS folder, true AS found FROM stored"),
     "S16_report": (reports, " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in GIVEN)),
     "M1_columns": (columns, COLUMNS_SQL),

@@ -56,7 +56,7 @@ class HashingEncoder:
                 found = Counter(word.findall((text or "").lower()))
                 if len(places) > _PLACES_KEPT:
                     places.clear()
-                for token in found.keys() - places.keys():
+                for token in [t for t in found if t not in places]:
                     places[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimension
                 if found:
                     at = np.fromiter(map(places.__getitem__, found), np.int64, len(found))

@@ -2,7 +2,9 @@
 
 Checks that look at single rows share one aggregation per table. Nothing sorts
 or gathers a whole column in one task; exact quantiles are found by narrowing
-histograms.
+histograms. Values and rows are counted by two 64-bit hashes, so no text is a
+shuffle key; only texts that can be among the most frequent are looked up again.
+``sketches`` has the form that needs no shuffle of values at all.
 """
 
 from __future__ import annotations
@@ -73,7 +75,7 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each set of equal rows."""
-    groups = df.groupBy(*[quoted(c) for c in df.columns]).count()
+    groups = df.groupBy(*_row_hashes(df.columns)).count()
     return groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
@@ -142,10 +144,10 @@ def coordinates(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     return _measure(df, _coordinate_measures(df, roles or ColumnRoles())).filter("value > 0")
 
 
-def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def long_numbers(df: DataFrame, columns: Sequence[str], table: str = "") -> DataFrame:
     """Non-missing numbers as rows (column_name, value); NaN counts as missing."""
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), quoted(c).cast("double").alias("value")) for c in columns
+        F.struct(F.lit(table + c).alias("column_name"), quoted(c).cast("double").alias("value")) for c in columns
     ])
     return df.select(F.inline(cells)).filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
@@ -236,7 +238,10 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
     Columns with fewer than 10 values or no spread are skipped.
     """
-    values = long_numbers(df, columns or numeric_columns(df))
+    return _outliers(long_numbers(df, columns or numeric_columns(df)))
+
+
+def _outliers(values: DataFrame) -> DataFrame:
     quartiles = quantiles(values, (0.25, 0.75))
     fences = (
         quartiles.groupBy("column_name", "n")
@@ -258,11 +263,53 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     )
 
 
+def _hashes(*values: Column) -> list[Column]:
+    """Two independent 64-bit hashes: values with equal pairs are taken as equal."""
+    return [F.xxhash64(*values).alias("k1"), F.xxhash64(F.lit(1), *values).alias("k2")]
+
+
+def _row_hashes(columns: Sequence[str]) -> list[Column]:
+    """Hashes of several columns. Hashes pass over NULLs, so where they are is hashed too."""
+    return _hashes(*[quoted(c) for c in columns], *[quoted(c).isNull() for c in columns])
+
+
+# Characters of a text that are kept with its count, to settle most ties without the text.
+HEAD = 64
+
+
+def _long_texts(df: DataFrame, columns: Sequence[str], table: str = "") -> DataFrame:
+    """Texts longer than their head, by column: (column_name, value)."""
+    cells = [F.when(F.length(quoted(c)) > HEAD, F.struct(F.lit(table + c).alias("column_name"), quoted(c).alias("value"))) for c in columns]
+    return df.select(F.inline(F.array_compact(F.array(*cells))))
+
+
+def _value_keys(df: DataFrame, columns: Sequence[str], table: str = "") -> DataFrame:
+    """Non-missing values by column, as hashes and the beginning of their text."""
+    texts = set(text_columns(df))
+    spelled = df.select(*[quoted(c).cast("string").alias(f"v{i}") for i, c in enumerate(columns)])
+    cells = [
+        F.struct(
+            F.lit(table + c).alias("column_name"), *_hashes(F.col(f"v{i}")),
+            (F.substring(f"v{i}", 1, HEAD) if c in texts else F.lit(None).cast("string")).alias("head"),
+            (F.length(f"v{i}") <= HEAD).alias("whole"),
+        )
+        for i, c in enumerate(columns)
+    ]
+    # The length of a missing value is NULL, its hash is not.
+    return spelled.select(F.inline(F.array(*cells))).filter(F.col("whole").isNotNull())
+
+
+def _counted(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("column_name", "k1", "k2").agg(F.min("head").alias("head"), F.min("whole").alias("whole"), F.count(F.lit(1)).alias("n"))
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """How often each value occurs, per column, as text: (column_name, value, n)."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), quoted(c).cast("string").alias("value")) for c in columns])
-    long = df.select(F.inline(cells)).filter(F.col("value").isNotNull())
-    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    """How often each value occurs, per column: (column_name, k1, k2, head, whole, n).
+
+    Values are equal where both hashes of their text are. ``head`` begins the text of text
+    columns; ``whole`` tells whether that is all of it.
+    """
+    return _counted(_value_keys(df, columns))
 
 
 def column_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -303,53 +350,92 @@ def text_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 5) -> DataFrame:
     """The most frequent values of text columns; equal counts go by value."""
-    return _top(value_counts(df, list(columns or text_columns(df))), n)
+    names = list(columns or text_columns(df))
+    return _top(_long_texts(df, names), value_counts(df, names), n)
+
 
+def _top(long_texts: DataFrame, counts: DataFrame, n: int = 5) -> DataFrame:
+    """The n most frequent values of text columns.
 
-def _top(counts: DataFrame, n: int = 5) -> DataFrame:
-    return top_per_key(counts, ["column_name"], [F.col("n").desc(), F.col("value")], n)
+    Counts and heads leave the few that can be among them (more only where long texts begin
+    alike). Those that are longer than their head are read again.
+    """
+    place = F.rank().over(Window.partitionBy("column_name").orderBy(F.col("n").desc(), "head"))
+    able = counts.withColumn("place", place).filter(F.col("place") <= n)
+    short = able.filter("whole").select("column_name", F.col("head").alias("value"), "n")
+    keyed = long_texts.select("column_name", "value", *_hashes(F.col("value")))
+    read = keyed.join(able.filter("NOT whole").select("column_name", "k1", "k2", "n"), ["column_name", "k1", "k2"])
+    whole = read.groupBy("column_name", "k1", "k2", "n").agg(F.min("value").alias("value")).select("column_name", "value", "n")
+    return top_per_key(short.unionByName(whole), ["column_name"], [F.col("n").desc(), F.col("value")], n)
 
 
 def profile(df: DataFrame, meta: TableMeta, roles: ColumnRoles | None = None) -> DataFrame:
     """All findings on one table as (table_name, column_name, check, metric, value)."""
-    roles = roles or ColumnRoles()
+    return profile_all({meta.name: df}, {meta.name: meta}, roles)
+
+
+def _scan(df: DataFrame, roles: ColumnRoles) -> DataFrame:
+    """Everything that looks at single rows, in one aggregation: (column_name, check, metric, value)."""
     issues = [("", "rows", F.count(F.lit(1)))]
     issues += [(c, "missing", count_where(quoted(c).isNull())) for c in df.columns]
     issues += _whitespace_measures(df) + _encoding_measures(df)
     issues += _date_measures(df, roles) + _coordinate_measures(df, roles)
     statistics = _column_measures(df, df.columns) + _text_measures(df, text_columns(df))
-    # Everything that looks at single rows is one scan.
-    scan = _measure(df, issues + statistics)
     is_statistic = F.col("metric").isin(sorted({metric for _, metric, _ in statistics}))
-    found = scan.filter(is_statistic | (F.col("value") > 0) | (F.col("metric") == "rows"))
-    # Distinct and most frequent values come from one count of values.
-    counts = value_counts(df, df.columns)
-    top = _top(counts.filter(F.col("column_name").isin(*text_columns(df)))).select(
-        "column_name", F.concat(F.lit("top: "), F.col("value")).alias("metric"), F.col("n").cast("double").alias("value")
-    )
-    parts = [
-        found.withColumn("check", F.when(is_statistic, "statistics").otherwise("scan")),
-        _unique_counts(counts).withColumn("check", F.lit("statistics")),
-        top.withColumn("check", F.lit("statistics")),
-        _single(duplicate_rows(df), "duplicate_rows"),
-    ]
-    if meta.primary_key:
-        parts.append(_single(duplicate_keys(df, meta.primary_key), "duplicate_count"))
-    if numeric_columns(df):
-        outliers = iqr_outliers(df).select(
-            "column_name", F.lit("outliers").alias("metric"), F.col("outlier_count").cast("double").alias("value")
-        )
-        parts.append(outliers.withColumn("check", F.lit("outliers")))
-    rows = union_all(parts).withColumn("table_name", F.lit(meta.name))
-    return rows.select("table_name", "column_name", "check", "metric", "value")
+    found = _measure(df, issues + statistics).filter(is_statistic | (F.col("value") > 0) | (F.col("metric") == "rows"))
+    return found.withColumn("check", F.when(is_statistic, "statistics").otherwise("scan"))
+
+
+# Between the names of a table and of its column, while columns of all tables are counted together.
+_OF = "\x1f"
+
 
+def profile_all(tables: Mapping[str, DataFrame], declared: Mapping[str, TableMeta], roles: ColumnRoles | None = None) -> DataFrame:
+    """Findings on every table.
 
-def _single(df: DataFrame, metric: str) -> DataFrame:
-    return df.select(
-        F.lit("").alias("column_name"), F.lit(metric).alias("metric"), F.col(metric).cast("double").alias("value")
-    ).withColumn("check", F.lit("duplicates"))
+    Values, rows, keys and numbers of all tables are counted together: one shuffle each,
+    however many tables there are, and one search for all quantiles.
+    """
+    roles = roles or ColumnRoles()
+    metas = {name: declared.get(name, TableMeta(name)) for name in tables}
 
+    def named(rows: DataFrame, check: str) -> DataFrame:
+        """Columns told by table and column."""
+        at = F.split("column_name", _OF)
+        return rows.select(at[0].alias("table_name"), at[1].alias("column_name"), F.lit(check).alias("check"), "metric", F.col("value").cast("double").alias("value"))
 
-def profile_all(tables: Mapping[str, DataFrame], declared: Mapping[str, TableMeta]) -> DataFrame:
-    """Findings on every table."""
-    return union_all([profile(df, declared.get(name, TableMeta(name))) for name, df in tables.items()])
+    parts = [
+        union_all([_scan(df, roles).select(F.lit(metas[n].name).alias("table_name"), "column_name", "check", "metric", "value") for n, df in tables.items()])
+    ]
+    texts = {n: text_columns(df) for n, df in tables.items() if text_columns(df)}
+    others = {n: [c for c in df.columns if c not in texts.get(n, ())] for n, df in tables.items()}
+    for columns in (texts, {n: c for n, c in others.items() if c}):
+        if columns:
+            counts = _counted(union_all([_value_keys(tables[n], c, metas[n].name + _OF) for n, c in columns.items()]))
+            parts.append(named(_unique_counts(counts), "statistics"))
+    if texts:
+        counts = _counted(union_all([_value_keys(tables[n], c, metas[n].name + _OF) for n, c in texts.items()]))
+        top = _top(union_all([_long_texts(tables[n], c, metas[n].name + _OF) for n, c in texts.items()]), counts)
+        parts.append(named(top.select("column_name", F.concat(F.lit("top: "), F.col("value")).alias("metric"), F.col("n").alias("value")), "statistics"))
+    parts.append(named(_doubles(tables, metas), "duplicates"))
+    numbers = {n: numeric_columns(df) for n, df in tables.items() if numeric_columns(df)}
+    if numbers:
+        outliers = _outliers(union_all([long_numbers(tables[n], columns, metas[n].name + _OF) for n, columns in numbers.items()]))
+        parts.append(named(outliers.select("column_name", F.lit("outliers").alias("metric"), F.col("outlier_count").alias("value")), "outliers"))
+    return union_all(parts).select("table_name", "column_name", "check", "metric", "value")
+
+
+def _doubles(tables: Mapping[str, DataFrame], metas: Mapping[str, TableMeta]) -> DataFrame:
+    """Duplicate rows and rows of duplicate keys of every table (P3, P4): (column_name, metric, value)."""
+    hashed, asked = [], []
+    for n, df in tables.items():
+        sets = [("duplicate_rows", df.columns)] + ([("duplicate_count", metas[n].primary_key)] if metas[n].primary_key else [])
+        for metric, columns in sets:
+            asked.append((metas[n].name + _OF, metric))
+            hashed.append(df.select(F.lit(metas[n].name + _OF).alias("column_name"), F.lit(metric).alias("metric"), *_row_hashes(columns)))
+    groups = union_all(hashed).groupBy("column_name", "metric", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    # Rows beyond the first of their set; all rows of a key that several have.
+    more = F.when(F.col("metric") == "duplicate_rows", F.col("n") - 1).when(F.col("n") > 1, F.col("n")).otherwise(0)
+    found = groups.groupBy("column_name", "metric").agg(F.sum(more).alias("value"))
+    every = F.broadcast(found.sparkSession.createDataFrame(asked, "column_name string, metric string"))
+    return found.join(every, ["column_name", "metric"], "right").select("column_name", "metric", F.coalesce("value", F.lit(0)).alias("value"))

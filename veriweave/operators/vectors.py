@@ -44,10 +44,10 @@ def encode(df: DataFrame, text: str, load: Callable[[], Encoder] | HashingEncode
     """Add the vector of a text column.
 
     The encoder is loaded once per Python worker. A batch it fails on gets NULL vectors,
-    which the checks report, and the run goes on.
+    which the checks report, and the run goes on. It counts as nondeterministic, so that no
+    filter on the vector makes Spark encode a text twice.
     """
 
-    @F.pandas_udf("array<float>")
     def to_vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = load()
         for batch in batches:
@@ -56,7 +56,8 @@ def encode(df: DataFrame, text: str, load: Callable[[], Encoder] | HashingEncode
             except Exception:
                 yield pd.Series([None] * len(batch), dtype=object)
 
-    return spread_if_small(df).withColumn(out, to_vector(F.col(text)))
+    encoded = F.pandas_udf(to_vector, "array<float>").asNondeterministic()
+    return spread_if_small(df).withColumn(out, encoded(F.col(text)))
 
 
 def vector_issues(text: Column, vector: Column, dimension: int) -> Column:
@@ -199,6 +200,24 @@ def _unit(vectors):
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
+def keys_of(queries: DataFrame, points: DataFrame, equal_on: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Queries (query_id, vector) and points with numbers for the columns that must be equal, and the names of those.
+
+    NULL of a query is 0, which asks for nothing. Rows without a vector are left out.
+    """
+    names = [f"_k{i}" for i in range(len(equal_on))]
+
+    def number(c: str) -> Column:
+        return F.abs(F.xxhash64(F.col(c).cast("string")))
+
+    keys = [F.coalesce(number(c), F.lit(1)).alias(n) for c, n in zip(equal_on, names)]
+    asked = [F.when(F.col(c).isNull(), F.lit(0)).otherwise(number(c)).cast("bigint").alias(n) for c, n in zip(equal_on, names)]
+    return (
+        queries.select("query_id", "vector", *asked).filter("vector IS NOT NULL"),
+        points.select("*", *keys).filter("vector IS NOT NULL"), names,
+    )
+
+
 def nearest(
     points: DataFrame,
     queries: DataFrame,
@@ -216,16 +235,10 @@ def nearest(
     per query, so the pairs are never written out. Few queries go to all tasks, after
     a count; many are met with the points block by block.
     """
-    keys = [F.coalesce(F.abs(F.xxhash64(F.col(c).cast("string"))), F.lit(1)).alias(f"_k{i}") for i, c in enumerate(equal_on)]
-    p = points.select("point_id", "vector", *keys).filter("vector IS NOT NULL")
-    asked = [
-        F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.abs(F.xxhash64(F.col(c).cast("string")))).cast("bigint").alias(f"_k{i}")
-        for i, c in enumerate(equal_on)
-    ]
-    q = queries.select("query_id", "vector", *asked).filter("vector IS NOT NULL")
+    q, p, names = keys_of(queries, points, equal_on)
+    p = p.select("point_id", "vector", *names)
     id_type, point_type = dict(q.dtypes)["query_id"], dict(p.dtypes)["point_id"]
     schema = f"query_id {id_type}, point_id {point_type}, score double"
-    names = [f"_k{i}" for i in range(len(equal_on))]
     n_queries = q.limit(broadcast_queries + 1).count()
     if n_queries <= broadcast_queries:
         local = _nearest_broadcast(p, q, names, k, threshold, skip_self, schema)

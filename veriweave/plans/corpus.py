@@ -14,7 +14,7 @@ from veriweave.operators import documents as docs
 from veriweave.operators import vectors
 from veriweave.operators.graph import build_graph
 from veriweave.session import staged
-from veriweave.sources.stores import VersionedTable, delete_rows, document_store, upsert_rows
+from veriweave.sources.stores import VersionedTable, document_store
 
 
 def build_corpus(
@@ -89,24 +89,25 @@ def sync_points(
     dimension: int,
     model: str,
     by: str = "content",
+    within: DataFrame | None = None,
 ) -> DataFrame:
     """Bring points and manifest in step with the documents; counts per kind of change.
 
-    Only new and modified documents are encoded. The changes are stored first, so
-    that both rewrites and the counts are of one comparison.
+    Only new and modified documents are encoded, and only buckets of changed ids are
+    rewritten. The changes are stored first, so that both rewrites and the counts are of
+    one comparison. With ``within`` (document ids) nothing but those is compared and no
+    other row of the manifest is read: ``documents`` then has what the store holds of them.
     """
-    spark = documents.sparkSession
     known = versions(documents, by)
-    old = manifest.read()
-    plan = VersionedTable(spark, f"{manifest.path}_plan")
-    plan.replace(vectors.detect_changes(known, old, model))
-    changes = plan.read()
+    old = manifest.read() if within is None else manifest.lookup(within, "document_id")
+    changes = staged(vectors.detect_changes(known, old, model), "changes")
     pending = changes.filter(F.col("change").isin("new", "modified"))
     gone = changes.filter("change = 'deleted'").select("document_id")
     todo = documents.join(pending.select("document_id"), "document_id", "left_semi")
-    fresh = vectors.points_of(todo, load, dimension)
-    kept = delete_rows(points.read(), gone.select(name_uuid(F.col("document_id")).alias("point_id")), "point_id")
-    points.replace(upsert_rows(kept, fresh, "point_id"))
-    encoded = pending.join(points.read().select("document_id"), "document_id", "left_semi")
-    manifest.replace(vectors.merge_manifest(old, encoded, gone, model))
+    fresh = staged(vectors.points_of(todo, load, dimension), "points")
+    points.change(fresh, gone.select(name_uuid(F.col("document_id")).alias("point_id")), "point_id")
+    stored = points.lookup(pending.select(name_uuid(F.col("document_id")).alias("point_id")), "point_id").select("document_id")
+    encoded = pending.join(stored, "document_id", "left_semi")
+    # Of what was to be encoded, what has no point is not in step yet and keeps its row.
+    manifest.change(encoded.select("document_id", "version", F.lit(model).alias("model")), gone, "document_id")
     return vectors.change_counts(changes)

@@ -173,8 +173,8 @@ def quoted(name: str) -> Column:
 
 
 def discover_database(spark: SparkSession, database: str) -> dict[str, DataFrame]:
-    """Every table of a catalog database, by name (M1)."""
-    return {t.name: spark.table(f"{database}.{t.name}") for t in spark.catalog.listTables(database)}
+    """Every table of a catalog database, by name (M1). Temporary views belong to no database."""
+    return {t.name: spark.table(f"{database}.{t.name}") for t in spark.catalog.listTables(database) if not t.isTemporary}
 
 
 def describe_columns(

@@ -56,8 +56,9 @@ def sync_stream(
 ) -> DataStreamWriter:
     """Upsert arriving documents and bring points and manifest in step, batch by batch.
 
-    A batch that is repeated after a failure finds its documents unchanged, so it
-    leaves the collection as it is.
+    A batch costs what it changes: buckets of its ids are read and rewritten, no others. A
+    batch that is repeated after a failure finds its documents unchanged, so it leaves the
+    collection as it is.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -66,7 +67,8 @@ def sync_stream(
         newest = batch.groupBy("document_id").agg(F.max(stamp).alias("_newest"))
         latest = batch.join(newest, "document_id").filter(stamp == F.col("_newest")).select(*batch.columns)
         keys = ["document_id", "part_no"] if "part_no" in batch.columns else ["document_id"]
-        store.upsert(latest.dropDuplicates(keys), "document_id")
-        sync_points(store.read(), points, manifest, load, dimension, model)
+        store.change(latest.dropDuplicates(keys), key="document_id")
+        ids = batch.select("document_id").distinct()
+        sync_points(store.lookup(ids, "document_id"), points, manifest, load, dimension, model, within=ids)
 
     return documents.writeStream.foreachBatch(apply)
