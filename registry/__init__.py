@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("quality", "stores", "documents", "graph", "retrieval", "answers")
+AREAS = ("quality", "stores", "documents", "graph", "retrieval", "answers", "streams")
 
 
 def all_queries() -> dict:

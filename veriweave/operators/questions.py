@@ -159,13 +159,17 @@ def detect_intent(questions: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def said_case(text: Column) -> Column:
+    """The case number that a text names, NULL where it names none."""
+    return F.regexp_replace(F.nullif(F.regexp_extract(text, HISTORY_CASE, 1), F.lit("")), r"^0+(?=\d)", "")
+
+
 def resolve_history(turns: DataFrame, text: str = "text") -> DataFrame:
     """Add the case number named last before each turn of its conversation.
 
     ``turns``: conv_id, turn and the text.
     """
-    number = F.regexp_extract(text, HISTORY_CASE, 1)
-    said = turns.withColumn("_case_said", F.regexp_replace(F.nullif(number, F.lit("")), r"^0+(?=\d)", ""))
+    said = turns.withColumn("_case_said", said_case(F.col(text)))
     return last_known_before(said, "conv_id", "turn", "_case_said", "history_case").drop("_case_said")
 
 

@@ -1,7 +1,7 @@
 """The row-local operators, dedup, sync and usage statistics on streams.
 
 Cleaning and enrichment without C9 are projections, so they take a streaming
-frame as it is.
+frame as it is. Sinks can be handed a batch twice: they write under its number, or by key.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from veriweave.functions.encoding import Encoder
 from veriweave.operators.cleaning import DEFAULT_CLEANERS, clean, drop_duplicate_rows
 from veriweave.operators.enrichment import enrich
 from veriweave.plans.corpus import sync_points
+from veriweave.session import staged
 from veriweave.sources.metadata import ColumnRoles, TableMeta
 from veriweave.sources.stores import VersionedTable
 
@@ -45,6 +46,32 @@ def usage_by_window(log: DataFrame, time: str, delay: str, width: str) -> DataFr
     )
 
 
+def write_by_batch(df: DataFrame, path: str) -> DataStreamWriter:
+    """Append a stream to a folder per batch. A batch that is handed over again replaces its own folder."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+    return df.writeStream.foreachBatch(write)
+
+
+def write_by_key(df: DataFrame, store: VersionedTable) -> DataStreamWriter:
+    """Keep the newest row of each key of a stream in update mode."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # Written first: the buckets it meets and the rows are of one reading of the batch.
+        store.change(staged(batch, "batch"))
+
+    return df.writeStream.outputMode("update").foreachBatch(write)
+
+
+def run_to_end(writer: DataStreamWriter, checkpoint: str) -> int:
+    """Handle all that has arrived, going on from the checkpoint; how many rows came too late for the watermark."""
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def sync_stream(
     documents: DataFrame,
     store: VersionedTable,
@@ -53,9 +80,13 @@ def sync_stream(
     load: Callable[[], Encoder],
     dimension: int,
     model: str,
+    facts: str | None = None,
 ) -> DataStreamWriter:
     """Upsert arriving documents and bring points and manifest in step, batch by batch.
 
+    A version that is older than the stored one came late and is left out. ``facts``: a folder
+    for the rows and late rows of each batch, by its number.
+
     A batch costs what it changes: buckets of its ids are read and rewritten, no others. A
     batch that is repeated after a failure finds its documents unchanged, so it leaves the
     collection as it is.
@@ -66,9 +97,18 @@ def sync_stream(
         stamp = F.coalesce(F.col("metadata")["updated_at"], F.lit(""))
         newest = batch.groupBy("document_id").agg(F.max(stamp).alias("_newest"))
         latest = batch.join(newest, "document_id").filter(stamp == F.col("_newest")).select(*batch.columns)
+        if store.exists():
+            stored = store.lookup(newest, "document_id").groupBy("document_id").agg(F.max(stamp).alias("_stored"))
+            held = latest.join(stored, "document_id", "left")
+            late = F.coalesce(stamp < F.col("_stored"), F.lit(False))
+            latest = held.filter(~late).select(*batch.columns)
+        latest = staged(latest, "latest")
+        if facts:
+            counts = batch.agg(F.count(F.lit(1)).alias("row_count")).crossJoin(latest.agg(F.count(F.lit(1)).alias("kept")))
+            counts.write.mode("overwrite").parquet(f"{facts.rstrip('/')}/batch={batch_id}")
         keys = ["document_id", "part_no"] if "part_no" in batch.columns else ["document_id"]
         store.change(latest.dropDuplicates(keys), key="document_id")
-        ids = batch.select("document_id").distinct()
+        ids = latest.select("document_id").distinct()
         sync_points(store.lookup(ids, "document_id"), points, manifest, load, dimension, model, within=ids)
 
     return documents.writeStream.foreachBatch(apply)
