@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry.domain_sql import domain
 from veriweave.operators import graph, motifs
+from veriweave.operators.matching import GramIndex
 from veriweave.roles import domain_tables, person_tables, read
+from veriweave.session import checkpoint_dir
 
 # Columns of each node table in the order that decides which of several rows is kept.
 _NODE_COLUMNS = {
@@ -328,3 +332,23 @@ QUERIES = {
         ),
     ),
 }
+
+
+def gram_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that contain a term, by a stored index that was built from some names and brought up to date with the others."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/grams/{uuid.uuid4().hex}"
+    names = read(spark, sf, "part").select(F.col("p_name").alias("text")).distinct()
+    index = GramIndex.at(spark, root, 8)
+    index.build(names.filter("length(text) % 3 > 0").unionByName(names.selectExpr("concat(text, ' gone') AS text")))
+    index.update(names, names.selectExpr("concat(text, ' gone') AS text"))
+    words = read(spark, sf, "part").select(F.explode(F.array(F.substring("p_name", 1, 1), F.substring("p_name", 2, 3), F.substring("p_name", 4, 9), F.concat("p_type", F.lit("?")))).alias("term"))
+    return index.search(words.distinct())
+
+
+QUERIES |= {
+    "GQ10_GQ13_gram_index": (
+        gram_index,
+        "WITH terms AS (SELECT DISTINCT unnest([p_name[1:1], p_name[2:4], p_name[4:12], p_type || '?']) AS term FROM part), names AS (SELECT DISTINCT p_name AS text FROM part) "
+        "SELECT term, text FROM terms JOIN names ON contains(text, term) WHERE term <> ''",
+    ),
+}

@@ -159,3 +159,23 @@ def test_discovery_passes_over_temporary_views(spark):
         assert list(discover_database(spark, "vw_views")) == ["kept"]
     finally:
         spark.catalog.dropTempView("only_a_view")
+
+
+def test_gram_index_follows_its_texts(spark, tmp_path):
+    from veriweave.operators.matching import GramIndex, containing
+
+    frame = lambda column, *values: spark.createDataFrame([(v,) for v in values], f"{column} string")
+    index = GramIndex.at(spark, str(tmp_path / "g"), 32)
+    index.build(frame("text", "Ramesh Kumar", "Asha", "aaaa", "é ü", ""))
+    terms = frame("term", "ram", "Kumar", "a", "aa", "aaa", "é", "zz", "", "Ana")
+    changes = [(("Ana Kumar", "aaaa"), ("Asha", "nobody")), (("Ana Kumar",), ("Asha",)), ((), ("aaaa",))]
+    texts = {"Ramesh Kumar", "Asha", "aaaa", "é ü", ""}
+    for added, removed in changes:
+        before = set(index.postings.folders())
+        index.update(frame("text", *added), frame("text", *removed))
+        assert len(before - set(index.postings.folders())) < 32
+        texts = texts - set(removed) | set(added)
+        want = sorted(map(tuple, containing(terms, frame("text", *texts)).collect()))
+        assert sorted(map(tuple, index.search(terms).collect())) == want
+    counts = {r["gram"]: r["n"] for r in index.frequency.read().collect()}
+    assert counts["Kum"] == 2 and "aaa" not in counts and "sha" not in counts

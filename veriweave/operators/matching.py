@@ -1,11 +1,15 @@
-"""Substring joins without comparing every pair."""
+"""Substring joins without comparing every pair, at once or by a stored index."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriweave.functions.groups import broadcast_if_small
+from veriweave.session import staged
+from veriweave.sources.stores import VersionedTable
 
 GRAM = 3
 
@@ -15,6 +19,17 @@ def _grams(c: Column, n: int) -> Column:
     return F.coalesce(F.transform(starts, lambda i: F.substring(c, i, F.lit(n))), F.array().cast("array<string>"))
 
 
+def _term_grams(terms: DataFrame) -> DataFrame:
+    """The runs of ``GRAM`` characters of each term; a shorter term is its own."""
+    own = F.when(F.length("term") >= GRAM, _grams(F.col("term"), GRAM)).otherwise(F.array(F.col("term")))
+    return terms.filter("term <> ''").select("term", F.explode(F.array_distinct(own)).alias("gram"))
+
+
+def _runs() -> Column:
+    """All runs of up to ``GRAM`` characters of a text, each once."""
+    return F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)]))
+
+
 def containing(terms: DataFrame, texts: DataFrame) -> DataFrame:
     """All pairs (term, text) where the text contains the term; both compare as they are.
 
@@ -23,11 +38,9 @@ def containing(terms: DataFrame, texts: DataFrame) -> DataFrame:
     joins on the one run of its own that the fewest texts have. Only runs that some term
     has are indexed; counting and joining read one shuffle of that index.
     """
-    own = F.when(F.length("term") >= GRAM, _grams(F.col("term"), GRAM)).otherwise(F.array(F.col("term")))
-    term_grams = terms.filter("term <> ''").select("term", F.explode(F.array_distinct(own)).alias("gram"))
+    term_grams = _term_grams(terms)
     wanted = broadcast_if_small(term_grams.select("gram").distinct())
-    runs = F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)]))
-    index = texts.select("text", F.explode(runs).alias("gram")).join(wanted, "gram", "left_semi").repartition("gram")
+    index = texts.select("text", F.explode(_runs()).alias("gram")).join(wanted, "gram", "left_semi").repartition("gram")
     frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
         term_grams.join(frequency, "gram", "left")
@@ -35,3 +48,71 @@ def containing(terms: DataFrame, texts: DataFrame) -> DataFrame:
         .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
     )
     return rarest.join(index, "gram").filter(F.col("text").contains(F.col("term"))).select("term", "text")
+
+
+# A run that many texts have is kept in so many places, so that no bucket holds all of it.
+PLACES = 16
+
+
+@dataclass(frozen=True)
+class GramIndex:
+    """A stored index of the runs of characters of texts: which texts have a run, and how many (GQ10-GQ13)."""
+
+    postings: VersionedTable
+    frequency: VersionedTable
+
+    @staticmethod
+    def at(spark: SparkSession, path: str, buckets: int = 64) -> GramIndex:
+        """The index in a folder, which may still be empty."""
+        return GramIndex(
+            VersionedTable(spark, f"{path}/postings", key="posting", buckets=buckets, bucket_by="place"),
+            VersionedTable(spark, f"{path}/frequency", key="gram", buckets=buckets),
+        )
+
+    def build(self, texts: DataFrame) -> None:
+        """Index all texts (distinct, column ``text``) anew."""
+        self.postings.replace(_postings(texts))
+        self.frequency.replace(self.postings.read().groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+
+    def update(self, added: DataFrame, removed: DataFrame) -> tuple[int, int]:
+        """Index texts that came and forget texts that went; how many buckets were written.
+
+        A text that is known is not added again and one that is not known is not removed, so an
+        update that is repeated changes nothing. Only buckets of runs of those texts are read
+        and written.
+        """
+        came = staged(self._known(added, "left_anti"), "added")
+        gone = staged(self._known(removed, "left_semi"), "removed")
+        more, less = _postings(came), _postings(gone)
+        written = self.postings.change(more, less.select("posting", "place"))
+        change = more.select("gram", F.lit(1).alias("d")).unionByName(less.select("gram", F.lit(-1).alias("d"))).groupBy("gram").agg(F.sum("d").alias("d"))
+        change = staged(change.filter("d <> 0"), "frequency")
+        now = change.join(self.frequency.lookup(change), "gram", "left").select("gram", (F.coalesce("n", F.lit(0)) + F.col("d")).alias("n"))
+        # Frequencies only choose the run that is read, so what was not reached by a crash costs time, not results.
+        now = staged(now, "frequency")
+        return written, self.frequency.change(now.filter("n > 0"), now.filter("n <= 0").select("gram"))
+
+    def _known(self, texts: DataFrame, how: str) -> DataFrame:
+        """Texts by whether the posting of their first character is there."""
+        distinct = texts.select("text").filter("text <> ''").distinct()
+        first = _posted(distinct.withColumn("gram", F.substring("text", 1, 1)))
+        stored = self.postings.lookup(first.select("place")).select("posting")
+        return first.join(stored, "posting", how).select("text")
+
+    def search(self, terms: DataFrame) -> DataFrame:
+        """All pairs (term, text) where the text contains the term, as ``containing`` gives them, by the rarest run of each term."""
+        grams = _term_grams(terms)
+        counts = self.frequency.lookup(grams.select("gram"))
+        rarest = grams.join(counts, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+        asked = staged(rarest, "rarest")
+        places = asked.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda i: F.concat_ws("\x1f", "gram", i))).alias("place"))
+        return asked.join(self.postings.lookup(places).select("gram", "text"), "gram").filter(F.col("text").contains(F.col("term"))).select("term", "text")
+
+
+def _posted(rows: DataFrame) -> DataFrame:
+    """Rows (text, gram) with the key of each posting and the place of its run."""
+    return rows.withColumn("posting", F.concat_ws("\x1f", "gram", "text")).withColumn("place", F.concat_ws("\x1f", "gram", F.pmod(F.xxhash64("text"), F.lit(PLACES))))
+
+
+def _postings(texts: DataFrame) -> DataFrame:
+    return _posted(texts.select("text", F.explode(_runs()).alias("gram")))

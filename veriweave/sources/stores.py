@@ -44,11 +44,13 @@ class VersionedTable:
 
     With a ``key`` the rows lie in ``buckets`` by its hash, and a pointer names the folder of
     every bucket. The number of buckets is that of the first version; choose it so that a
-    bucket is about a file of the size wanted.
+    bucket is about a file of the size wanted. ``bucket_by`` names another column for that, if
+    rows are looked up by it; rows that are removed then come with it.
     """
 
     def __init__(
-        self, spark: SparkSession, path: str, partition_by: str | None = None, keep: int = 3, key: str | None = None, buckets: int = BUCKETS
+        self, spark: SparkSession, path: str, partition_by: str | None = None, keep: int = 3, key: str | None = None, buckets: int = BUCKETS,
+        bucket_by: str | None = None,
     ) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
@@ -56,6 +58,7 @@ class VersionedTable:
         self.keep = keep
         self.key = key
         self.buckets = buckets
+        self.bucket_by = bucket_by or key
 
     def _folder(self, name: str):
         """A folder of the table and the file system it is on."""
@@ -109,16 +112,16 @@ class VersionedTable:
 
     def _met(self, keys: DataFrame, buckets: int) -> set[int]:
         """Buckets that some of the keys lie in: numbers, no more than there are buckets."""
-        return {r[0] for r in keys.select(self._bucket_of(F.col(self.key), buckets)).distinct().collect()}
+        return {r[0] for r in keys.select(self._bucket_of(F.col(self.bucket_by), buckets)).distinct().collect()}
 
     def lookup(self, keys: DataFrame | Sequence, key: str | None = None) -> DataFrame:
-        """Rows whose key is listed, from the buckets of those keys only.
+        """Rows whose key (or ``bucket_by`` column) is listed, from the buckets of those only.
 
         The files of a bucket are sorted by the key. A list of keys becomes a filter, for which
         Parquet skips row groups by their range and bloom filter; a frame of keys is joined.
         """
         pointer = self._current()
-        key = self.key or key
+        key = self.bucket_by or key
         n = pointer.get("buckets")
         if isinstance(keys, DataFrame):
             listed = keys.select(key).distinct()
@@ -132,8 +135,8 @@ class VersionedTable:
         """Write rows by bucket under a new version; the version of each bucket that has rows."""
         version = uuid.uuid4().hex
         within = [c for c in (self.partition_by,) if c]
-        dealt = df.withColumn(_BUCKET, self._bucket_of(F.col(self.key), buckets)).repartition(buckets, _BUCKET).sortWithinPartitions(_BUCKET, *within, self.key)
-        dealt.write.mode("errorifexists").option(f"parquet.bloom.filter.enabled#{self.key}", "true").partitionBy(_BUCKET, *within).parquet(
+        dealt = df.withColumn(_BUCKET, self._bucket_of(F.col(self.bucket_by), buckets)).repartition(buckets, _BUCKET).sortWithinPartitions(_BUCKET, *within, self.bucket_by)
+        dealt.write.mode("errorifexists").option(f"parquet.bloom.filter.enabled#{self.bucket_by}", "true").partitionBy(_BUCKET, *within).parquet(
             f"{self.path}/{_VERSION}={version}"
         )
         path, files = self._folder(f"{_VERSION}={version}")
@@ -185,7 +188,7 @@ class VersionedTable:
             return self.buckets if self.key else 1
         pointer = self._current()
         n = pointer.get("buckets")
-        given = [df.select(key) for df in (upserts, deletes) if df is not None]
+        given = [df.select(*dict.fromkeys([key, self.bucket_by or key])) for df in (upserts, deletes) if df is not None]
         keys = given[0] if len(given) == 1 else given[0].unionByName(given[1])
         met = self._met(keys, n) if n else None
         if n and not met:
