@@ -224,3 +224,18 @@ def test_pipeline_stages_keep_the_columns_of_documents(spark, tmp_path):
         assert out.columns == df.columns and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
         assert out.count() >= 1
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+def test_fine_counts_bound_the_overlap():
+    pick = np.random.default_rng(4)
+    sets = [np.unique(pick.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)) for n in (1, 5, 63, 64, 65, 700, 5000)]
+    sets += [np.unique(np.concatenate([s[: len(s) // 2], pick.integers(0, 1 << 63, len(s), dtype=np.uint64)])) for s in sets]
+    # Many hashes of one group need more than a byte.
+    sets.append(np.arange(400, dtype=np.uint64) * np.uint64(1 << 20))
+    packed = [ngram_join.fine_counts(s) for s in sets]
+    for a, x in zip(sets, packed):
+        for b, y in zip(sets, packed):
+            common = len(np.intersect1d(a, b))
+            assert common <= ngram_join.fine_bound(x, y) <= min(len(a), len(b))
+    far = ngram_join.fine_bound(packed[6], ngram_join.fine_counts(np.unique(pick.integers(0, 1 << 63, 5000, dtype=np.uint64))))
+    assert far < ngram_join.needed(5000, 5000, 75)

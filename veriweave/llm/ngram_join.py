@@ -12,10 +12,12 @@ with the node's upper corner.
    that share such a hash form a cell.
 2. In every cell the least set is held against the others by the bound, then the least of
    those it does not allow against the rest of them, and so on; a set left alone is
-   searched for in the cell's R-tree. Pairs found are compared exactly. That joins groups
+   searched for in the cell's R-tree. Pairs found are held against a finer bound, by as many
+   groups as a set has hashes, and those left are compared exactly. That joins groups
    of near copies without pairing them all, and sets without any pair need no comparison.
 3. Cells that still hold several components are searched as R-trees for pairs of
-   different components that the bound allows, and these are compared exactly.
+   different components that the bound allows, by ``GROUPS`` groups in the tree and by
+   ``FINE_GROUPS`` for what it finds, and these are compared as in 2.
 4. Components follow from the links found. No link between different components is
    missed, so the components are those of all links.
 5. Every link lies within one component, so the whole join is made there: components are
@@ -39,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriweave.functions.groups import broadcast_if_small
 from veriweave.llm.common import LOWER, WHITE, Rolling, id_and_text, mix, partitions_for, settled, slices, text_bytes, word_bounds
 from veriweave.llm.graph_components import components
 
@@ -46,6 +49,8 @@ WORDS = 5
 # Similarity: 100 * overlap >= PERCENT * union.
 PERCENT = 75
 GROUPS = 64
+# Groups of the finer bound, at least; sets of more hashes have more.
+FINE_GROUPS = 512
 FAN_OUT = 16
 # Sets of a cell that one task searches; larger cells are searched block by block.
 BLOCK_SETS = 4096
@@ -58,8 +63,10 @@ _PIECE = 1 << 12
 _SLICE_BYTES = 1024 * 1024
 _PROFILE = "doc_id long, n long, node long, point binary, piece int, counts binary"
 _BLOBS = "bucket int, n int, nodes binary, tokens binary"
-_CELLS = "cell long, node long, n long"
-_SETS = "node long, hashes binary"
+_CELLS = "cell long, node long, n long, many long"
+_SETS = "node long, n long, counts binary, hashes binary"
+# Nodes that are sent to all tasks to read the sets of those only, at most.
+SENT_NODES = 500_000
 _LINKS = "a long, b long, common long"
 _NODE = np.dtype([("node", "<i8"), ("n", "<u4")])
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xE7037ED1A0B428DB)
@@ -99,6 +106,49 @@ def needed(n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray
     return -((-percent * (n + m)) // (100 + percent))
 
 
+def _counts(hashes: np.ndarray, groups: int) -> np.ndarray:
+    """How many hashes of a set are in each group; groups are told by the last bits."""
+    return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def _packed(counts: np.ndarray, groups: int) -> bytes:
+    """Counts in as few bytes each as the greatest needs."""
+    most = int(counts.max(initial=0))
+    return counts.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(data: bytes, groups: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // groups}")
+
+
+def fine_counts(hashes: np.ndarray) -> bytes:
+    """The number of groups, the least power of two of at least ``FINE_GROUPS`` and the hashes, and the packed counts."""
+    groups = max(FINE_GROUPS, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else FINE_GROUPS
+    return groups.to_bytes(4, "little") + _packed(_counts(hashes, groups), groups)
+
+
+def fine_bound(a: bytes, b: bytes) -> int:
+    """The most hashes that two sets can share by their fine counts. Of two numbers of groups the lesser counts."""
+    x, y = _fine(a), _fine(b)
+    groups = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, groups).sum(0), y.reshape(-1, groups).sum(0)).sum())
+
+
+def _fine(counts: bytes) -> np.ndarray:
+    return _unpacked(memoryview(counts)[4:], int.from_bytes(counts[:4], "little")).astype(np.int64)
+
+
+def _folded(sets: DataFrame) -> DataFrame:
+    """``node`` and ``point``: counts of every set by ``FINE_GROUPS`` groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = [_packed(_fine(c).reshape(-1, FINE_GROUPS).sum(0), FINE_GROUPS) for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.binary())], names=["node", "point"])
+
+    return sets.select("node", "counts").mapInArrow(run, "node long, point binary")
+
+
 def _profile(source: DataFrame, words: int) -> DataFrame:
     """Size, digest and point of every set; and, in rows of their own, counts of hashes by table entry."""
 
@@ -111,7 +161,7 @@ def _profile(source: DataFrame, words: int) -> DataFrame:
                 every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
                 counts += np.bincount((every >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(counts))
                 n = len(sets)
-                points = [np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for s in sets]
+                points = [_packed(_counts(s, GROUPS), GROUPS) for s in sets]
                 columns = (part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array(points, pa.binary()))
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         pieces = counts.reshape(-1, _PIECE)
@@ -207,7 +257,7 @@ def _cells(blobs: DataFrame) -> DataFrame:
         start, many = start[keep], many[keep]
         rows = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         own = listed[owner[rows]]
-        columns = (np.repeat(cell, many).view(np.int64), own["node"], own["n"].astype(np.int64))
+        columns = (np.repeat(cell, many).view(np.int64), own["node"], own["n"].astype(np.int64), np.repeat(many, many))
         names = [c.split()[0] for c in _CELLS.split(", ")]
         for a in range(0, len(rows), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[a : a + 100_000])) for c in columns], names=names)
@@ -216,7 +266,7 @@ def _cells(blobs: DataFrame) -> DataFrame:
 
 
 def _sets(source: DataFrame, words: int) -> DataFrame:
-    """Hashes of the given documents (node, text), by node; a row may come twice."""
+    """Size, fine counts and hashes of the given documents (node, text), by node; a row may come twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,13 +274,18 @@ def _sets(source: DataFrame, words: int) -> DataFrame:
                 sets = sets_of(*text_bytes(part.column(1)), words)
                 # Where ids repeat, the text of another node may come along.
                 own = [(i, s) for i, s in zip(part.column(0).to_pylist(), sets, strict=True) if digest(s) == i]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["node", "hashes"])
+                columns = ([i for i, _ in own], [len(s) for _, s in own], [fine_counts(s) for _, s in own], [s.tobytes() for _, s in own])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "counts", "hashes"])
 
     return source.mapInArrow(run, _SETS)
 
 
-def _points(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+def _points(column: pa.Array, groups: int = GROUPS) -> np.ndarray:
+    rows = column.to_pylist()
+    if all(len(r) == groups for r in rows):
+        return np.frombuffer(b"".join(rows), "<u1").reshape(-1, groups).astype(np.int32)
+    return np.stack([_unpacked(r, groups).astype(np.int32) for r in rows])
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -259,10 +314,32 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield table, starts(table)
 
 
+def _of_nodes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Sets of the given nodes. A counted few are sent to where the sets are read, so that no other set is shuffled."""
+    return sets.join(broadcast_if_small(nodes, SENT_NODES), "node", "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _with_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Pairs with the columns of both sets, named after their side."""
+    side = lambda name: sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns]).hint("merge")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{name}" for c in columns for name in "ab"])
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets are alike, as edges."""
+    """Pairs (a, b) whose sets are alike, as edges: by the bound of their fine counts, then by their hashes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(i) for i in range(2, 6))
+            least = needed(n.to_numpy(), m.to_numpy(), percent)
+            kept = [fine_bound(a.as_py(), b.as_py()) >= k for a, b, k in zip(x, y, least.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(kept, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
@@ -271,9 +348,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 kept.append(int((y[at] == x).sum()) >= int(needed(len(x), len(y), percent)))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(kept, pa.bool_())) for i in (0, 1)], names=["u", "v"])
 
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"hashes_{name}")).hint("merge")
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "hashes_a", "hashes_b")
-    return joined.mapInArrow(run, "u long, v long")
+    able = settled(_with_both(pairs, sets, "n", "counts").mapInArrow(bound, "a long, b long"), "bounded-pairs")
+    return _with_both(able, _of_nodes(sets, _ends(able)), "hashes").mapInArrow(exact, "u long, v long")
 
 
 class Tree:
@@ -309,9 +385,8 @@ class Tree:
 
 
 def _dealt(cells: DataFrame, block_sets: int) -> DataFrame:
-    """Add ``many``, the nodes of the cell, and ``own``, the block of the node in a cell of more than ``block_sets`` nodes."""
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("many"))
-    return cells.join(sizes.hint("merge"), "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / block_sets)))
+    """Add ``own``, the block of the node in a cell of more than ``block_sets`` nodes (``many``)."""
+    return cells.withColumn("own", F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / block_sets)))
 
 
 def _first_pairs(cells: DataFrame, percent: int, block_sets: int) -> DataFrame:
@@ -363,8 +438,8 @@ def _first_pairs(cells: DataFrame, percent: int, block_sets: int) -> DataFrame:
 def _pairs_between(cells: DataFrame, percent: int, block_sets: int) -> DataFrame:
     """Pairs (a, b) of nodes of different components that share a cell and that the bound allows.
 
-    ``cells`` has cell, node, n, component and point. A cell of more than ``block_sets``
-    nodes is met block by block.
+    ``cells`` has cell, node, n, component and point (by ``FINE_GROUPS``). A cell of more than
+    ``block_sets`` nodes is met block by block.
     """
     blocks = F.ceil(F.col("many") / block_sets)
     dealt = (
@@ -376,7 +451,9 @@ def _pairs_between(cells: DataFrame, percent: int, block_sets: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first in _whole_groups(batches, ["cell", "low", "high"]):
             node, n, component, own, low, high = (table.column(c).to_numpy() for c in ("node", "n", "component", "own", "low", "high"))
-            points = _points(table.column("point"))
+            fine = _points(table.column("point"), FINE_GROUPS)
+            # Groups are told by the last bits, so the lesser number of groups is a sum over the greater.
+            points = fine.reshape(len(fine), -1, GROUPS).sum(1)
             a, b = [], []
             for start, end in zip(first, [*first[1:], len(node)], strict=True):
                 rows = np.arange(start, end)
@@ -387,6 +464,7 @@ def _pairs_between(cells: DataFrame, percent: int, block_sets: int) -> DataFrame
                     at = at[component[at] != component[i]]
                     if low[start] == high[start]:
                         at = at[node[at] > node[i]]
+                    at = at[np.minimum(fine[at], fine[i]).sum(1) >= needed(n[at], int(n[i]), percent)]
                     a.append(np.full(len(at), node[i]))
                     b.append(node[at])
             a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
@@ -400,12 +478,12 @@ def _all_pairs(placed: DataFrame, sets: DataFrame, percent: int, block_sets: int
     """All links (a, b, common) with a < b among the nodes of each component; ``placed`` has node, n and component.
 
     A component of more than ``block_sets`` nodes or ``block_hashes`` hashes is met block by block.
-    Hashes join last, so that they are shuffled twice only.
+    Hashes join last, so that they are shuffled twice only, and only those of the nodes asked for.
     """
     sizes = placed.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / block_hashes)).alias("blocks"))
     dealt = placed.join(sizes.hint("merge"), "component").select("component", "blocks", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
     met = (
-        dealt.join(sets.hint("merge"), "node")
+        dealt.join(_of_nodes(sets, placed.select("node")).select("node", "hashes").hint("merge"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "hashes")
     )
@@ -473,7 +551,7 @@ def _spanning(docs: DataFrame, words: int, percent: int, block_sets: int) -> tup
     pairs = settled(_first_pairs(cells.join(points, "node"), percent, block_sets), "shingle-pairs")
 
     # One document stands for each node that has a pair.
-    active = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    active = _ends(pairs)
     ids = active.join(classes, "node").select("node", F.col("least").alias("doc_id"))
     texts = source.join(ids.hint("merge"), source["doc_id"].eqNullSafe(ids["doc_id"])).select("node", "text")
     sets = settled(_sets(texts, words), "shingle-sets")
@@ -483,7 +561,7 @@ def _spanning(docs: DataFrame, words: int, percent: int, block_sets: int) -> tup
     # Cells that hold several components are searched.
     placed = cells.join(active.hint("merge"), "node", "left_semi").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("cell")
-    left = placed.join(several, "cell").join(points, "node")
+    left = placed.join(several, "cell").join(_folded(sets).hint("merge"), "node")
     more = _pairs_between(left, percent, block_sets).join(pairs, ["a", "b"], "left_anti")
     links = first.unionByName(settled(_alike(more, sets, percent), "links"))
     return documents, sets, links
