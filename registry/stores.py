@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry.domain_sql import domain
 from registry.quality import GIVEN
+from veriweave.operators import validation
 from veriweave.roles import DECLARED, domain_tables, read
 from veriweave.session import checkpoint_dir, staged
 from veriweave.sources import metadata, tables
+from veriweave.sources.chunks import read_chunks, write_chunks
 from veriweave.sources.stores import document_index, document_store, get_document, get_documents
 
 
@@ -206,12 +209,59 @@ REFERRING_SQL = domain(
     "SELECT refs.*, 'many-to-one' AS relationship_type, row_count, related FROM refs JOIN counts USING (source_table) JOIN near USING (source_table)"
 )
 
+def chunked(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders scanned in chunks: all of them, ranges of the key from the chunks that can hold them, and a range that is empty."""
+    root = f"{_root(spark)}/orders"
+    write_chunks(read(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("string").substr(1, 10)), "o_orderkey", root, 2000)
+    scans = {"all": (None, None), "range": (3001, 9000), "one": (77, 77), "from": (14000, None), "none": (None, -1)}
+    found = [read_chunks(spark, root, *ends).withColumn("scan", F.lit(scan)) for scan, ends in scans.items()]
+    return metadata.union_all(found)
+
+
+CHUNKED_SQL = (
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority, scan FROM orders, "
+    "(VALUES ('all'), ('range'), ('one'), ('from')) v(scan) WHERE CASE scan WHEN 'all' THEN true WHEN 'range' THEN o_orderkey > 3000 AND o_orderkey <= 9000 "
+    "WHEN 'one' THEN o_orderkey = 77 ELSE o_orderkey >= 14000 END"
+)
+
+
+def column_roles(spark: SparkSession, sf: str) -> DataFrame:
+    """Which roles the names of all given columns have."""
+    roles = metadata.ColumnRoles()
+    rows = [(n, c, role) for n in GIVEN for c in read(spark, sf, n).columns for role in ROLE_PARTS if roles.has(role, c)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, role string")
+
+
+ROLE_PARTS = {f.name: f.default for f in fields(metadata.ColumnRoles)}
+ROLES_SQL = (
+    "WITH parts(role, part) AS (VALUES " + ", ".join(f"('{role}', '{part}')" for role, parts in ROLE_PARTS.items() for part in parts) + ") "
+    "SELECT DISTINCT table_name, column_name, role FROM information_schema.columns JOIN parts ON contains(lower(column_name), part) "
+    "WHERE table_name IN (" + ", ".join(f"'{n}'" for n in GIVEN) + ")"
+)
+
+
+def declared_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Given columns whose type is not the declared one, where every column is declared a text or, if its name ends in ``key``, a number."""
+    out = []
+    for n in GIVEN:
+        df = read(spark, sf, n)
+        meta = metadata.TableMeta(n, expected_types={c: "float" if c.endswith("key") else "str" for c in df.columns if c != "embedding"})
+        out.append(validation.data_types(df, meta).select(F.lit(n).alias("table_name"), "column_name", "status", "warnings", "detail"))
+    return metadata.union_all(out)
+
+
+TYPES_SQL = (
+    f"SELECT table_name, column_name, 'fail' AS status, 1::BIGINT AS warnings, 'expected str, actual ' || kind AS detail FROM ({COLUMNS_SQL}) "
+    "WHERE column_name <> 'embedding' AND NOT ends_with(column_name, 'key') AND kind <> 'str'"
+)
+
 QUERIES = {
     "S3_S17_formats": (
         formats,
         "SELECT unnest(['json', 'orc', 'parquet']) AS format, o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, "
         "o_orderpriority FROM orders",
     ),
+    "S1_S2_chunked_scan": (chunked, CHUNKED_SQL),
     "S4_csv_tables": (csv_tables, CSV_SQL),
     "S5_S7_S8_M9_catalog": (catalog_tables, CATALOG_SQL),
     "S9_S13_document_store": (stored_documents, f"WITH {STORED} SELECT document_id, document_type, md5(text) AS text_md5 FROM stored"),
@@ -226,5 +276,7 @@ QUERIES = {
     "S10_S12_document_index": (indexed_documents, f"WITH {STORED} SELECT document_id, document_type AS folder, true AS found FROM stored"),
     "S16_report": (reports, " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in GIVEN)),
     "M1_columns": (columns, COLUMNS_SQL),
+    "M8_column_roles": (column_roles, ROLES_SQL),
+    "V3_data_types": (declared_types, TYPES_SQL),
     "M5_M6_references": (referring, REFERRING_SQL),
 }

@@ -39,6 +39,11 @@ def spread_if_small(df: DataFrame, max_bytes: int = 128 * 1024 * 1024) -> DataFr
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def partitions_of(df: DataFrame, rows_each: int) -> int:
+    """Partitions of about so many rows, by a count."""
+    return max(1, -(-df.count() // rows_each))
+
+
 def large_groups(members: DataFrame, keys: Sequence[str], order: str, part_rows: int = PART_ROWS) -> DataFrame | None:
     """Where the groups above ``part_rows`` are cut: ``_cuts``, quantiles of the order column; None when there are none.
 
