@@ -77,6 +77,10 @@ def test_components_of_the_whole_join(spark):
     rows = list(enumerate([*near_copies(5), None, ""]))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_by_join(table(spark, rows)).collect()}
     assert got == brute.jaccard_components(rows)
+    # Blocks of a few sets: links are counted where they are found, whichever blocks meet.
+    documents, links = ngram_join.joined(table(spark, rows))
+    want = {r.doc_id: r.n_links for r in ngram_join.link_counts(documents, links).collect()}
+    assert {r.doc_id: r.n_links for r in ngram_join.linked_by_join(table(spark, rows), pair_sets=3).collect()} == want
     documents, links = ngram_join.joined(table(spark, [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, None), (3, None)]))
     assert sorted((r.n_shingles, r.n_links) for r in ngram_join.link_counts(documents, links).collect()) == [(0, 0), (0, 0), (1, 2), (1, 2), (1, 2)]
     assert ngram_join.link_counts(*ngram_join.joined(table(spark, []))).count() == 0

@@ -23,7 +23,9 @@ with the node's upper corner.
 5. Every link lies within one component, so the whole join is made there: components are
    cut into blocks, each two blocks of a component meet once, are searched as R-trees and
    compared exactly. ``joined`` gives all links between different sets with the documents
-   of each set, ``link_counts`` the links per document.
+   of each set, ``link_counts`` the links per document. ``linked_by_join`` counts them where
+   they are found, so that a large group of near copies gives a row per set and block, not
+   one per pair.
 
 Defined results: documents with one set are linked with each other too, repeated rows
 among them; empty sets have no links; a null or empty text, or one without words, has an empty set and stands
@@ -474,18 +476,20 @@ def _pairs_between(cells: DataFrame, percent: int, block_sets: int) -> DataFrame
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def _all_pairs(placed: DataFrame, sets: DataFrame, percent: int, block_sets: int, block_hashes: int) -> DataFrame:
-    """All links (a, b, common) with a < b among the nodes of each component; ``placed`` has node, n and component.
+def _all_pairs(placed: DataFrame, sets: DataFrame, percent: int, block_sets: int, block_hashes: int, counted: bool = False) -> DataFrame:
+    """All links (a, b, common) with a < b among the nodes of each component; ``placed`` has node, n, copies and component.
+
+    ``counted``: instead, for every node the linked documents of other nodes, by block (node, links).
 
     A component of more than ``block_sets`` nodes or ``block_hashes`` hashes is met block by block.
     Hashes join last, so that they are shuffled twice only, and only those of the nodes asked for.
     """
     sizes = placed.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / block_hashes)).alias("blocks"))
-    dealt = placed.join(sizes.hint("merge"), "component").select("component", "blocks", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
+    dealt = placed.join(sizes.hint("merge"), "component").select("component", "blocks", "node", "copies", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
     met = (
         dealt.join(_of_nodes(sets, placed.select("node")).select("node", "hashes").hint("merge"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "hashes")
+        .select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "copies", "hashes")
     )
 
     def taken(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -496,14 +500,15 @@ def _all_pairs(placed: DataFrame, sets: DataFrame, percent: int, block_sets: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n_found = [], 0
         for table, first in _whole_groups(batches, ["component", "low", "high"]):
-            node, own, low, high = (table.column(c).to_numpy() for c in ("node", "own", "low", "high"))
+            node, own, low, high, copies = (table.column(c).to_numpy() for c in ("node", "own", "low", "high", "copies"))
             column = table.column("hashes")
             for start, end in zip(first, [*first[1:], len(node)], strict=True):
                 # A set may come twice.
                 rows = start + np.flatnonzero(np.r_[True, node[start + 1 : end] != node[start : end - 1]])
                 if len(rows) < 2:
                     continue
-                names, block = node[rows], own[rows]
+                names, block, weight = node[rows], own[rows], copies[rows]
+                total = np.zeros(len(rows), np.int64)
                 sets = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in rows]
                 n = np.array([len(x) for x in sets])
                 offsets = np.r_[0, np.cumsum(n)]
@@ -527,16 +532,23 @@ def _all_pairs(placed: DataFrame, sets: DataFrame, percent: int, block_sets: int
                     common = np.add.reduceat(marked[flat[places]], ends - n[at], dtype=np.int64)
                     marked[flat[offsets[i] : offsets[i + 1]]] = False
                     alike = common >= needed(n[at], int(n[i]), percent)
+                    if counted:
+                        total[i] += weight[at[alike]].sum()
+                        total[at[alike]] += weight[i]
+                        continue
                     found.append(np.stack([np.full(alike.sum(), names[i]), names[at[alike]], common[alike]]))
                     n_found += int(alike.sum())
                     if n_found >= 100_000:
                         yield taken(found)
                         n_found = 0
+                if counted:
+                    some = np.flatnonzero(total)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(total[some])], names=["node", "links"])
         if found:
             yield taken(found)
 
     ordered = met.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "node")
-    return ordered.mapInArrow(run, _LINKS)
+    return ordered.mapInArrow(run, "node long, links long" if counted else _LINKS)
 
 
 def _spanning(docs: DataFrame, words: int, percent: int, block_sets: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -567,22 +579,27 @@ def _spanning(docs: DataFrame, words: int, percent: int, block_sets: int) -> tup
     return documents, sets, links
 
 
-def _named(documents: DataFrame, links: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every document, by links (u, v)."""
+def _named(documents: DataFrame, final: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every document, by the component of its node."""
     classes = documents.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("least"))
-    final = components(links)
     named = classes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = named.select("node", "n", "component").join(names, "component").select("node", "n", "component_id")
     return documents.join(of_node, ["node", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "node", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (the least id that links reach) of every document, without listing all links."""
     documents, _, links = _spanning(docs, words, percent, block_sets)
-    return _named(documents, links)
+    return _named(documents, components(links)).drop("node")
+
+
+def _placed(documents: DataFrame, spanning: DataFrame) -> DataFrame:
+    """Nodes that have links: node, component, n, copies (documents of the node); written, as several steps read it."""
+    sizes = documents.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    return settled(components(spanning).join(sizes.hint("merge"), "node"), "shingle-components")
 
 
 def joined(
@@ -594,15 +611,22 @@ def joined(
     nodes and all pairs within a node that is not empty.
     """
     documents, sets, spanning = _spanning(docs, words, percent, block_sets)
-    sizes = documents.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-    placed = settled(components(spanning).join(sizes.hint("merge"), "node"), "shingle-components")
+    placed = _placed(documents, spanning)
     return documents.withColumnRenamed("n", "n_shingles"), settled(_all_pairs(placed, sets, percent, pair_sets, pair_hashes), "all-links")
 
 
-def linked_by_join(docs: DataFrame, **options) -> DataFrame:
-    """What ``linked`` gives, from the whole join."""
-    documents, links = joined(docs, **options)
-    return _named(documents.withColumnRenamed("n_shingles", "n"), links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+def linked_by_join(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS, pair_sets: int = PAIR_SETS, pair_hashes: int = PAIR_HASHES
+) -> DataFrame:
+    """What ``linked`` gives, and ``n_links``, the other documents each is linked with, from the whole join."""
+    documents, sets, spanning = _spanning(docs, words, percent, block_sets)
+    placed = _placed(documents, spanning)
+    links = _all_pairs(placed, sets, percent, pair_sets, pair_hashes, counted=True).groupBy("node").agg(F.sum("links").alias("links"))
+    copies = documents.filter("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    counts = copies.join(settled(links, "link-counts"), "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = _named(documents, placed.select("node", "component"))
+    n_links = F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")
+    return named.join(counts, "node", "left").select("doc_id", "n_shingles", "component_id", n_links)
 
 
 def link_counts(documents: DataFrame, links: DataFrame) -> DataFrame:

@@ -70,8 +70,9 @@ links AS (
   SELECT a, b FROM pairs JOIN sizes m ON m.rid = a JOIN sizes n ON n.rid = b WHERE 100 * common >= 75 * (m.n + n.n - common)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(rid, other) AS (SELECT rid, rid FROM words UNION SELECT r.rid, e.b FROM reach r JOIN edges e ON r.other = e.a)
-SELECT w.doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+SELECT w.doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id, coalesce(any_value(k.n), 0)::BIGINT AS n_links
 FROM reach r JOIN words w USING (rid) JOIN words o ON o.rid = r.other LEFT JOIN sizes z ON z.rid = r.rid
+LEFT JOIN (SELECT a, count(*) AS n FROM edges GROUP BY a) k ON k.a = r.rid
 GROUP BY r.rid, w.doc_id
 """
 

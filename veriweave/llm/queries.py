@@ -15,7 +15,7 @@ from veriweave.session import checkpoint_dir
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near copies among all documents, by the shingles they share: components of the whole join."""
+    """Near copies among all documents, by the shingles they share: components, and links of the whole join."""
     return ngram_join.linked_by_join(table(spark, sf_dir, "documents"))
 
 
