@@ -123,6 +123,29 @@ def test_nearest_equals_brute_force(spark, path):
         assert [(p, s) for _, p, s in sorted(got.get(q, []))] == [(p, pytest.approx(-s)) for s, p in want]
 
 
+def test_few_large_blocks_where_there_would_be_many():
+    # Each side is copied once for every block of the other.
+    assert [vectors.blocks_of(n, 50_000, vectors.LARGE_POINT_BLOCK) for n in (0, 1, 50_000, 500_000, 3_000_000, 4_000_000)] == [1, 1, 1, 10, 16, 20]
+    assert vectors.blocks_of(100_000, 3, 200_000) == vectors.FEW_BLOCKS
+
+
+@pytest.mark.parametrize("skip_self", [False, True])
+def test_best_of_many_tiles_with_copies_and_repeated_ids(skip_self):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 3, size=(90, 5)).astype(float)
+    points, queries = vectors._unit(list(base[rng.integers(90, size=2600)])), vectors._unit(list(base[rng.integers(90, size=300)]))
+    points[7] = np.nan
+    ids, asked = rng.integers(1300, size=2600), rng.integers(1300, size=300)
+    key, wanted = rng.integers(1, 3, size=2600), rng.integers(0, 3, size=300)
+    assert len(vectors._few_copies(ids, points, 6)) <= 90 * 6 + 1
+    at, found, scores = vectors._best(asked, queries, [wanted], ids, points, [key], 6, 0.2, skip_self)
+    cosines = np.nan_to_num(queries @ points.T, nan=-1)
+    for q in range(300):
+        want = sorted((-round(float(s), 6), int(i)) for s, i, k in zip(cosines[q], ids, key)
+                      if s >= 0.2 and wanted[q] in (0, k) and not (skip_self and i == asked[q]))[:6]
+        assert [(i, s) for i, s in zip(found[at == q], scores[at == q])] == [(i, pytest.approx(-s)) for s, i in want]
+
+
 def test_vector_checks_and_filters(spark):
     nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame([("t", [1.0, 2.0]), (" ", [1.0, 2.0]), ("t", None), ("t", [1.0]), ("t", [nan, inf])], "text string, vector array<double>")
