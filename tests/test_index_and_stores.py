@@ -39,6 +39,13 @@ def test_exact_search_equals_all_pairs(spark, k, threshold, equal_on):
     assert plain(cut) == want
 
 
+def test_a_full_cell_is_cut_in_few_parts(spark):
+    # As parts of 3 queries, the points of this cell would be copied 2000 times.
+    parts = vector_index._parts({0: 6000, 1: 8}, 3, 65_536)
+    rows = spark.createDataFrame([(0,), (1,), (2,)], "cell int").select("cell", parts.alias("n"))
+    assert sorted(tuple(r) for r in rows.collect()) == [(0, 16), (1, 3), (2, 1)]
+
+
 def test_probes_reach_the_recall_asked_for(spark):
     points = clustered(spark).filter("vector IS NOT NULL")
     index = vector_index.tuned(vector_index.build_index(points, cells=16), 5, recall=0.95)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriweave.functions.groups import top_per_key
-from veriweave.operators.vectors import _by_value, _unit, keys_of
+from veriweave.operators.vectors import LARGE_POINT_BLOCK, LARGE_QUERY_BLOCK, _by_value, _unit, blocks_of, keys_of
 from veriweave.session import staged
 
 # The sample that centres are fitted on, the most centres, and the rounds of the fit.
@@ -190,9 +190,9 @@ def _routes(index: VectorIndex, queries: DataFrame, probes: int, beyond: bool =
     return queries.select("query_id", "vector", *(["floor"] if beyond else [])).mapInArrow(routed, schema)
 
 
-def _parts(counts: dict[int, int], per_block: int) -> Column:
+def _parts(counts: dict[int, int], per_block: int, large: int) -> Column:
     """How many parts the rows of a cell are met in; 1 where the cell is not named."""
-    several = {c: -(-n // per_block) for c, n in counts.items() if n > per_block}
+    several = {c: blocks_of(n, per_block, large) for c, n in counts.items() if n > per_block}
     if not several:
         return F.lit(1)
     named = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
@@ -204,8 +204,8 @@ def _met(index: VectorIndex, queries: DataFrame, routes: DataFrame, names: list[
     """The k best points of each query in each part of the cells it is routed to."""
     best, unit, _ = _shipped()
     asked = {r["cell"]: r["count"] for r in routes.groupBy("cell").count().collect()}
-    p_parts = _parts({c: n for c, (n, _) in index.cells.items()}, points_per_block)
-    q_parts = _parts(asked, queries_per_block)
+    p_parts = _parts({c: n for c, (n, _) in index.cells.items()}, points_per_block, LARGE_POINT_BLOCK)
+    q_parts = _parts(asked, queries_per_block, LARGE_QUERY_BLOCK)
 
     def cut(key: str, parts: Column) -> Column:
         return F.pmod(F.xxhash64(F.col(key).cast("string")), parts).cast("int")
