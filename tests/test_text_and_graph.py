@@ -201,6 +201,17 @@ def test_containing_equals_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == sorted((a, b) for a in terms for b in texts if a in b)
 
 
+def test_containing_joins_on_whole_terms(spark):
+    # Numbers share their few runs of three digits; joined on those, these would be met in some 700,000 pairs.
+    numbers = spark.range(2000).selectExpr("CAST(700000000 + id AS STRING) AS text", "id AS kept")
+    long = spark.createDataFrame([("a term of more than sixteen characters, and more", -1), ("x" * 40, -2), (None, -3)], "text string, kept bigint")
+    terms = [str(700000000 + i) for i in range(0, 2000, 2)] + ["more than sixteen characters", "x" * 17, "term of less than sixteen", "more", "0001999"]
+    got = containing(spark.createDataFrame([(t,) for t in terms], "term string"), numbers.unionByName(long))
+    want = [(str(700000000 + i), i) for i in range(0, 2000, 2)] + [("0001999", 1999), ("more", -1), ("more than sixteen characters", -1), ("x" * 17, -2)]
+    assert sorted((r["term"], r["kept"]) for r in got.collect()) == sorted(want)
+    assert "Contains" not in containing(spark.createDataFrame([("1",)], "term string"), numbers)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_other_cases_of_a_hub(spark):
     t = person_tables(spark, SMALL)
     hub = spark.createDataFrame([(c, 1) for c in range(50)], "CaseMasterID bigint, AccusedMasterID bigint")

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from veriweave.functions.groups import broadcast_if_small
 from veriweave.session import staged
+from veriweave.sources.metadata import union_all
 from veriweave.sources.stores import VersionedTable
 
 GRAM = 3
+# Terms of up to so many characters join as a whole; so many terms travel to every task.
+LONGEST = 16
+TERMS_SENT = 250_000
 
 
 def _grams(c: Column, n: int) -> Column:
@@ -33,21 +37,40 @@ def _runs() -> Column:
 def containing(terms: DataFrame, texts: DataFrame) -> DataFrame:
     """All pairs (term, text) where the text contains the term; both compare as they are.
 
-    ``terms`` has a column ``term`` and ``texts`` a column ``text``, both distinct. A
-    text that contains a term contains each run of characters of it, so every term
-    joins on the one run of its own that the fewest texts have. Only runs that some term
-    has are indexed; counting and joining read one shuffle of that index.
+    ``terms`` has a column ``term``, distinct; ``texts`` a column ``text`` and any others, which
+    stay. A text contains a term when one of its runs of characters is the term, so the two join
+    on whole runs, of the lengths that terms have, and a join makes no pair that is not asked for.
+    Terms above ``LONGEST`` characters join on the one run of that length of their own that the
+    fewest texts have.
     """
-    term_grams = _term_grams(terms)
-    wanted = broadcast_if_small(term_grams.select("gram").distinct())
-    index = texts.select("text", F.explode(_runs()).alias("gram")).join(wanted, "gram", "left_semi").repartition("gram")
-    frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (
-        term_grams.join(frequency, "gram", "left")
-        .groupBy("term")
-        .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    known = terms.filter("term <> ''").select("term", F.least(F.length("term"), F.lit(LONGEST)).alias("n"), (F.length("term") > LONGEST).alias("long"))
+    lengths = sorted((r["n"], r["long"]) for r in known.select("n", "long").distinct().collect())
+    short = [n for n, long in lengths if not long]
+    found = [texts.select(F.lit(None).cast("string").alias("term"), "*").limit(0)] if not lengths else []
+    if short:
+        asked = broadcast_if_small(known.filter(~F.col("long")).select("term"), TERMS_SENT)
+        found.append(_exploded(texts, short, "term").join(asked, "term").select("term", *texts.columns))
+    if len(lengths) > len(short):
+        found.append(_containing_long(known.filter("long").select("term"), texts))
+    return union_all(found)
+
+
+def _exploded(texts: DataFrame, lengths: list[int], out: str) -> DataFrame:
+    """Texts with each of their runs of these lengths, each once."""
+    runs = F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in lengths]))
+    return texts.select("*", F.explode(runs).alias(out))
+
+
+def _containing_long(terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """``containing`` for terms above ``LONGEST`` characters. Counting and joining read one shuffle of the runs."""
+    term_runs = terms.select("term", F.explode(F.array_distinct(_grams(F.col("term"), LONGEST))).alias("run"))
+    wanted = broadcast_if_small(term_runs.select("run").distinct())
+    index = _exploded(texts, [LONGEST], "run").join(wanted, "run", "left_semi").repartition("run")
+    frequency = index.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    rarest = term_runs.join(frequency, "run", "left").groupBy("term").agg(
+        F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), F.col("run"))).alias("run")
     )
-    return rarest.join(index, "gram").filter(F.col("text").contains(F.col("term"))).select("term", "text")
+    return rarest.join(index, "run").filter(F.col("text").contains(F.col("term"))).select("term", *texts.columns)
 
 
 # A run that many texts have is kept in so many places, so that no bucket holds all of it.

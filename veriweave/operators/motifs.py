@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriweave.functions.groups import broadcast_if_small, top_per_key
 from veriweave.operators.matching import containing
+from veriweave.session import staged
 from veriweave.sources.metadata import union_all
 
 Tables = Mapping[str, DataFrame]
@@ -222,8 +223,7 @@ def _name_search(queries: DataFrame, counts: DataFrame, label: str, relationship
     """Names containing a term, ignoring case, with their number of cases; three per query and term."""
     asked = queries.select("query_id", F.col("term").alias("asked"), F.lower("term").alias("term")).distinct()
     names = counts.withColumn("text", F.lower("name"))
-    found = containing(asked.select("term").distinct(), names.select("text").distinct())
-    matched = found.join(names, "text").select("term", "name", "cases")
+    matched = containing(asked.select("term").distinct(), names)
     best = top_per_key(matched, ["term"], [F.col("cases").desc(), F.col("name")], PER_ENTITY)
     rows = asked.join(best, "term")
     return _triple(rows, F.concat(F.lit(label), F.col("name")), relationship,
@@ -241,8 +241,9 @@ def officers_named(queries: DataFrame, t: Tables) -> DataFrame:
 
 def accused_named(queries: DataFrame, t: Tables) -> DataFrame:
     """Accused people whose name contains a term (GQ11). ``queries``: query_id, term."""
-    edges = t["Accused"].select("CaseMasterID", "AccusedMasterID", F.col("AccusedName").alias("name")).distinct()
-    counts = edges.join(t["CaseMaster"].select("CaseMasterID"), "CaseMasterID", "left_semi").groupBy("name").agg(
+    edges = t["Accused"].select("CaseMasterID", "AccusedMasterID", F.col("AccusedName").alias("name"))
+    # The rows lie by case after the join, so making them distinct takes no further shuffle.
+    counts = edges.join(t["CaseMaster"].select("CaseMasterID"), "CaseMasterID", "left_semi").distinct().groupBy("name").agg(
         F.count(F.lit(1)).alias("cases")
     )
     return _name_search(queries, counts.filter("name IS NOT NULL"), "Accused: ", "INVOLVED_IN")
@@ -256,9 +257,13 @@ def cases_numbered(queries: DataFrame, t: Tables) -> DataFrame:
     by_id = terms.withColumn("CaseMasterID", F.col("term").try_cast("bigint")).join(
         cases.select("CaseMasterID"), "CaseMasterID"
     ).filter(F.col("CaseMasterID").cast("string") == F.col("term"))
-    by_number = containing(terms, cases.select("text").distinct()).join(cases, "text")
-    matched = by_id.select("term", "CaseMasterID").unionByName(by_number.select("term", "CaseMasterID")).distinct()
-    best = top_per_key(matched, ["term"], [F.col("CaseMasterID")], PER_ENTITY)
+    by_number = containing(terms, cases)
+    # A term may be in the numbers of most cases: only its first of each task go on to be made distinct.
+    first = F.dense_rank().over(Window.partitionBy("term").orderBy("CaseMasterID"))
+    matched = by_id.select("term", "CaseMasterID").unionByName(by_number.select("term", "CaseMasterID"))
+    matched = matched.withColumn("first", first).filter(F.col("first") <= PER_ENTITY).select("term", "CaseMasterID").distinct()
+    # Read three times below.
+    best = staged(top_per_key(matched, ["term"], [F.col("CaseMasterID")], PER_ENTITY), "cases")
     people = t["Accused"].select("CaseMasterID", "AccusedMasterID", F.col("AccusedName").alias("name"))
     people = people.join(broadcast_if_small(best.select("CaseMasterID").distinct()), "CaseMasterID", "left_semi")
     # At most three names per case are collected.
@@ -276,11 +281,11 @@ def cases_numbered(queries: DataFrame, t: Tables) -> DataFrame:
 def sections_named(queries: DataFrame, t: Tables) -> DataFrame:
     """Sections whose id contains the term, with their number of cases (GQ13)."""
     asked = queries.select("query_id", "term").distinct()
-    edges = t["ActSectionAssociation"].filter("ActID IS NOT NULL AND SectionID IS NOT NULL").distinct().join(
+    edges = t["ActSectionAssociation"].filter("ActID IS NOT NULL AND SectionID IS NOT NULL").join(
         t["CaseMaster"].select("CaseMasterID"), "CaseMasterID", "left_semi"
-    )
+    ).distinct()
     counts = edges.groupBy(F.col("SectionID").cast("string").alias("text")).agg(F.count(F.lit(1)).alias("cases"))
-    matched = containing(asked.select("term").distinct(), counts.select("text")).join(counts, "text")
+    matched = containing(asked.select("term").distinct(), counts)
     best = top_per_key(matched, ["term"], [F.col("cases").desc(), F.col("text")], PER_ENTITY)
     rows = asked.join(best, "term")
     return _triple(rows, F.concat(F.lit("IPC Section: "), F.col("text")), "APPLIED_IN",
