@@ -144,6 +144,18 @@ def test_a_write_that_was_not_pointed_to_changes_nothing(spark, tmp_path, monkey
     assert {r["text"] for r in store.read().collect()} == {"whole"} and store.read().count() == 60
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    store = stores.VersionedTable(spark, str(tmp_path / "wide"), key="document_id", buckets=1)
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        store.replace(spark.range(0, 4000, 1, 8).selectExpr("CAST(id AS STRING) AS document_id", "sha2(CAST(id AS STRING), 256) AS text"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len({r[0] for r in store.read().select(F.input_file_name()).collect()}) > 1
+    assert store.read().count() == 4000 and store.lookup(["17"]).count() == 1
+
+
 def test_old_versions_go_and_shared_buckets_stay(spark, tmp_path):
     store = stores.document_store(spark, str(tmp_path / "d"), 8)
     store.replace(documents(spark, 80))

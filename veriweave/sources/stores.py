@@ -135,7 +135,8 @@ class VersionedTable:
         """Write rows by bucket under a new version; the version of each bucket that has rows."""
         version = uuid.uuid4().hex
         within = [c for c in (self.partition_by,) if c]
-        dealt = df.withColumn(_BUCKET, self._bucket_of(F.col(self.bucket_by), buckets)).repartition(buckets, _BUCKET).sortWithinPartitions(_BUCKET, *within, self.bucket_by)
+        # A bucket of many rows is written by several tasks, as files of their own.
+        dealt = df.withColumn(_BUCKET, self._bucket_of(F.col(self.bucket_by), buckets)).hint("rebalance", F.col(_BUCKET)).sortWithinPartitions(_BUCKET, *within, self.bucket_by)
         dealt.write.mode("errorifexists").option(f"parquet.bloom.filter.enabled#{self.bucket_by}", "true").partitionBy(_BUCKET, *within).parquet(
             f"{self.path}/{_VERSION}={version}"
         )
