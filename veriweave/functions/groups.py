@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 PART_ROWS = 10_000
 BROADCAST_ROWS = 100_000
 MAX_PARTS = 4000
+# Rows that one task gathers into lists, about.
+LIST_ROWS = 100_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -26,6 +28,25 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def keys_to_match(keys: DataFrame) -> DataFrame:
+    """The side of a semi join that gives the keys: a counted few distinct ones are broadcast.
+
+    More are left as they are, as only rows that come straight from a filter thin out the
+    other side ahead of its shuffle.
+    """
+    distinct = keys.distinct()
+    few = broadcast_if_small(distinct)
+    return keys if few is distinct else few
+
+
+def matching(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ``keys``: where these are many, about ``LIST_ROWS`` rows per task, dealt by the key."""
+    known = keys_to_match(keys)
+    if known is keys:
+        rows, known = rows.repartition(tasks_for(rows.count()), key), keys.hint("merge")
+    return rows.join(known, key, "left_semi")
+
+
 def spread_if_small(df: DataFrame, max_bytes: int = 128 * 1024 * 1024) -> DataFrame:
     """Spread an input of less than one file split over all cores, ahead of work that is heavy per row.
 
@@ -50,11 +71,20 @@ def large_groups(members: DataFrame, keys: Sequence[str], order: str, part_rows:
     Runs one count over the key, so that the common case needs no join at all. Quantiles
     cut a group into parts of like size however its members lie.
     """
+    return measured_groups(members, keys, order, part_rows)[0]
+
+
+def measured_groups(
+    members: DataFrame, keys: Sequence[str], order: str, part_rows: int = PART_ROWS
+) -> tuple[DataFrame | None, int]:
+    """What ``large_groups`` gives, and the number of all rows from the same count."""
     sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > part_rows)
-    found = large.agg(F.count(F.lit(1)).alias("groups"), F.max("_n").alias("most")).first()
+    above = F.col("_n") > part_rows
+    large = sizes.filter(above)
+    found = sizes.agg(F.count_if(above).alias("groups"), F.max("_n").alias("most"), F.sum("_n").alias("rows")).first()
+    rows = found["rows"] or 0
     if not found["groups"]:
-        return None
+        return None, rows
     n_parts = min(-(-found["most"] // part_rows), MAX_PARTS)
     asked = F.broadcast(large) if found["groups"] <= BROADCAST_ROWS else large
     shares = [i / n_parts for i in range(1, n_parts)]
@@ -65,7 +95,7 @@ def large_groups(members: DataFrame, keys: Sequence[str], order: str, part_rows:
     step = F.greatest(F.floor(F.lit(n_parts) / F.ceil(F.col("_n") / part_rows)), F.lit(1))
     chosen = F.array_distinct(F.filter("_all", lambda c, i: (i + 1) % step == 0))
     large = cuts.select(*keys, chosen.alias("_cuts"))
-    return F.broadcast(large) if found["groups"] <= BROADCAST_ROWS // n_parts else large
+    return (F.broadcast(large) if found["groups"] <= BROADCAST_ROWS // n_parts else large), rows
 
 
 def assign_parts(
@@ -83,6 +113,11 @@ def assign_parts(
     return joined.withColumn("part", F.when(F.col("_cuts").isNull(), 0).otherwise(part).cast("bigint")).drop("_cuts")
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks that list about ``LIST_ROWS`` members each."""
+    return max(1, -(-rows // LIST_ROWS))
+
+
 def list_in_parts(
     members: DataFrame,
     keys: Sequence[str],
@@ -92,18 +127,24 @@ def list_in_parts(
     large: DataFrame | None,
     part_rows: int = PART_ROWS,
     numbered: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """One row per key and part: the texts joined in order, and how many there are.
 
     ``large`` comes from ``large_groups``; without large groups each key has one part.
-    With ``numbered`` each text starts with its position in the key's list, from 1.
+    With ``numbered`` each text starts with its position in the key's list, from 1. With
+    ``rows``, how many members there are, a task lists about ``LIST_ROWS`` of them; else
+    the tasks grow with the members.
     """
+    tasks = [] if rows is None else [tasks_for(rows)]
     if large is None:
         grouping = list(keys)
+        if tasks:
+            members = members.repartition(*tasks, *grouping)
     else:
         grouping = [*keys, "part"]
         # Large keys spread over as many tasks as they have parts.
-        members = assign_parts(members, keys, order, large, part_rows).repartition(*grouping)
+        members = assign_parts(members, keys, order, large, part_rows).repartition(*tasks, *grouping)
     grouped = members.groupBy(*grouping).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("_m")
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriweave.functions.groups import PART_ROWS, broadcast_if_small, large_groups, list_in_parts, top_per_key
+from veriweave.functions.groups import PART_ROWS, broadcast_if_small, keys_to_match, list_in_parts, matching, measured_groups, tasks_for, top_per_key
 from veriweave.sources.metadata import coerce_values, logical_table, quoted, union_all
 
 Tables = Mapping[str, DataFrame]
@@ -63,8 +63,7 @@ def lookup(
     rows = table.select(quoted(key).alias("key_value"), *[quoted(c) for c in columns if c != key], F.lit(True).alias("_hit"))
     if limit is not None:
         # Only rows of the keys are ranked, and limited before the join: a key with very many rows sends few.
-        wanted = broadcast_if_small(keys.select("key_value").distinct())
-        rows = rows.join(wanted, "key_value", "left_semi")
+        rows = rows.join(keys_to_match(keys.select("key_value")), "key_value", "left_semi")
         rows = top_per_key(rows, ["key_value"], order or [F.col(f"`{c}`") for c in columns if c != key], limit, "_n").drop("_n")
     joined = keys.join(rows, "key_value", "left").withColumn("found", F.coalesce("_hit", F.lit(False)))
     return joined.drop("_hit")
@@ -138,6 +137,8 @@ def chargesheet_status(keys: DataFrame, t: Tables) -> DataFrame:
     """Whether a chargesheet was filed, when and where: the earliest of the case."""
     sheets = logical_table(t, "ChargesheetDetails")
     sheets = _with_columns(sheets, ["chargesheet_id", "case_master_id", "date", "court_name"])
+    # The earliest is found by sorting, a bounded number of rows per task.
+    sheets = sheets.repartition(tasks_for(sheets.count()), "case_master_id")
     first = sheets.groupBy(F.col("case_master_id").alias("key_value")).agg(
         F.min(F.struct("date", "chargesheet_id", "court_name")).alias("_s")
     )
@@ -205,10 +206,12 @@ def _shown(c: Column) -> Column:
 def _list_block(rows: DataFrame, order: str, entry: Column, title: str, part_rows: int) -> DataFrame:
     """Per case: the block of a list of people, in parts for very long lists."""
     members = rows.select("case_id", F.col(order).alias("member"), entry.alias("entry"))
-    large = large_groups(members, ["case_id"], "member", part_rows)
-    parts = list_in_parts(members, ["case_id"], "member", "entry", "\n", large, part_rows)
-    total = F.sum("members").over(Window.partitionBy("case_id"))
-    first = F.row_number().over(Window.partitionBy("case_id").orderBy("part")) == 1
+    large, n_rows = measured_groups(members, ["case_id"], "member", part_rows)
+    parts = list_in_parts(members, ["case_id"], "member", "entry", "\n", large, part_rows, rows=n_rows if large is not None else None)
+    total, first = F.col("members"), F.lit(True)
+    if large is not None:
+        total = F.sum("members").over(Window.partitionBy("case_id"))
+        first = F.row_number().over(Window.partitionBy("case_id").orderBy("part")) == 1
     head = F.when(first, F.concat(F.lit(f"{title} ("), total.cast("string"), F.lit("):\n"))).otherwise(F.lit(""))
     return parts.withColumn("block", F.concat(head, F.col("text"))).select("case_id", "part", "block")
 
@@ -219,7 +222,7 @@ def case_context(keys: DataFrame, t: Tables, part_rows: int = PART_ROWS) -> Data
     ``keys`` has ``case_id``. Blocks joined by line ends are the text; lists of people
     that are very long take several blocks.
     """
-    base = cases(t).join(keys.select("case_id").distinct(), "case_id", "left_semi")
+    base = matching(cases(t), keys.select("case_id"), "case_id")
     staff = officers(t).withColumnRenamed("employee_id", "police_person_id")
     with_officer = base.join(staff, "police_person_id", "left")
     headline = F.concat(
@@ -234,8 +237,8 @@ def case_context(keys: DataFrame, t: Tables, part_rows: int = PART_ROWS) -> Data
                  F.coalesce("kgid", F.lit("None")), F.lit(")")),
     ).otherwise(F.lit(""))
     wanted = base.select("case_id")
-    victim_rows = victims(t).join(wanted, "case_id", "left_semi")
-    accused_rows = accused(t).join(wanted, "case_id", "left_semi")
+    victim_rows = matching(victims(t), wanted, "case_id")
+    accused_rows = matching(accused(t), wanted, "case_id")
     victim_entry = F.concat(F.lit("  - "), F.col("name"), F.lit(" ("), _shown(F.col("age")), F.lit(", "),
                             _shown(F.col("gender")), F.lit(")"))
     accused_entry = F.concat(F.lit("  - "), F.col("name"), F.lit(" ("), _shown(F.col("age")), F.lit(", "),
