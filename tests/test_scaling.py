@@ -48,6 +48,27 @@ def test_lists_are_made_by_tasks_of_bounded_size(spark, monkeypatch):
     assert cut is not None and rows == 300
 
 
+def test_large_sides_are_thinned_by_the_keys_of_a_filter(spark, tmp_path):
+    asked, table = str(tmp_path / "asked"), str(tmp_path / "table")
+    spark.range(1000).select("id", F.when(F.col("id") % 50 == 0, "a").otherwise("b").alias("branch")).write.parquet(asked)
+    spark.range(20000).select(F.col("id").alias("key"), F.rand(1).alias("x")).write.parquet(table)
+    size = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(size)
+    assert before == "64MB" and spark.conf.get("spark.sql.optimizer.runtimeFilter.number.threshold") == "100"
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(size, "1KB")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        people = spark.read.parquet(table).select(F.col("key").alias("employee_id"), *[F.lit(c).alias(c) for c in ("first_name", "kgid")])
+        keys = spark.read.parquet(asked).filter("branch = 'a'").select(F.col("id").alias("key_value"))
+        joined = people.withColumnRenamed("employee_id", "key_value").join(keys.hint("merge"), "key_value", "left_semi")
+        assert "might_contain" in joined._jdf.queryExecution().optimizedPlan().toString()
+        assert joined.count() == 20
+    finally:
+        spark.conf.set(size, before)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
 @pytest.mark.parametrize("many", [False, True])
 def test_case_context_of_few_and_many_cases(spark, monkeypatch, many):
     if many:

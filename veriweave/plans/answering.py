@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriweave.functions.groups import PART_ROWS, large_groups, list_in_parts
+from veriweave.functions.groups import PART_ROWS, list_in_parts, measured_groups
 from veriweave.operators import answers, lookups, motifs, questions
 from veriweave.session import staged
 from veriweave.sources.metadata import coerce_values, union_all
@@ -67,11 +67,11 @@ def _rejected(rows: DataFrame) -> DataFrame:
 def _list_answer(asked: DataFrame, people: DataFrame, key: str, line: Column, role: str, part_rows: int) -> DataFrame:
     """Numbered lists of the people of each asked case."""
     label = answers.found_label()
-    members = people.join(asked.select("case_id").distinct(), "case_id", "left_semi").select(
+    members = people.join(asked.select("case_id"), "case_id", "left_semi").select(
         "case_id", F.col(key).alias("member"), line.alias("entry")
     )
-    large = large_groups(members, ["case_id"], "member", part_rows)
-    parts = list_in_parts(members, ["case_id"], "member", "entry", "\n", large, part_rows, numbered=True)
+    large, n_rows = measured_groups(members, ["case_id"], "member", part_rows)
+    parts = list_in_parts(members, ["case_id"], "member", "entry", "\n", large, part_rows, numbered=True, rows=n_rows)
     per_case = Window.partitionBy("case_id")
     parts = parts.withColumns({
         "total": F.sum("members").over(per_case),
@@ -103,8 +103,9 @@ def answer_questions(
     if "history_case" in asked.columns:
         detected = questions.fill_from_history(detected)
     planned = plan(detected).select("question_id", "sub_intent", "branch", "identifier_kind", "identifier_value")
-    # Every branch below reads the classified questions, and those on cases the found cases.
-    planned = staged(planned, "questions")
+    # Every branch below reads the classified questions, and those on cases the found cases. Keys of people are
+    # read from the identifier here, so that what is left of a filter on the branch are the keys themselves.
+    planned = staged(coerce_values(planned, "identifier_value", "bigint", "key_value"), "questions")
     parts = []
 
     # Case-scoped questions all start from the case.
@@ -209,8 +210,7 @@ def _reasoning_branches(hit: DataFrame, t: Tables, part_rows: int) -> list[DataF
 
 
 def _entity_branch(rows: DataFrame, role: str, find, t: Tables) -> list[DataFrame]:
-    typed = coerce_values(rows, "identifier_value", "bigint", "key_value")
-    found = find(typed.filter("is_valid"), t)
+    found = find(rows.filter("is_valid"), t)
     key = {"officer": "EmployeeID", "victim": "VictimMasterID", "accused": "AccusedMasterID"}[role]
     own = {"officer": "employee_id", "victim": "victim_id", "accused": "accused_id"}[role]
     found = found.withColumn(own, F.col("key_value"))
@@ -222,7 +222,7 @@ def _entity_branch(rows: DataFrame, role: str, find, t: Tables) -> list[DataFram
         _row(hit, "officer_details" if role == "officer" else "person_details", F.lit(True), details,
              F.struct(F.lit(role).alias("role"), F.struct(*columns).alias("record"))),
         _row(found.filter("NOT found"), "answer", F.lit(False), missing),
-        _rejected(typed.filter("NOT is_valid")),
+        _rejected(rows.filter("NOT is_valid")),
     ]
 
 

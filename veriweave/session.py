@@ -20,6 +20,11 @@ _SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Limits per key are applied before the shuffle whatever the limit is.
     "spark.sql.optimizer.windowGroupLimitThreshold": "2147483647",
+    # A large table that is joined with the rows a filter leaves is thinned out by their keys ahead of its
+    # shuffle, not only from 10 GB on.
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "64MB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "4GB",
+    "spark.sql.optimizer.runtimeFilter.number.threshold": "100",
 }
 
 
