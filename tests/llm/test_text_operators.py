@@ -251,6 +251,36 @@ def test_fingerprints_take_the_two_least(spark):
     assert fingerprints.fingerprints(table(spark, [(1, None)])).first().signature == [None] * 32
 
 
+def test_fingerprints_equal_all_hashes(spark):
+    # What a tuple looks at holds its two least hashes, on short, long and uniform texts.
+    texts = ["a b c d e f g h a b c a b c", "x " * 700, "a", "", *random_texts(3, "abc d e", 900, 6)]
+    rows = table(spark, list(enumerate(texts)))
+    few = fingerprints.with_signature(rows.select("doc_id", "text"), "text", "signature")
+    got = {r.doc_id: r.signature for r in few.collect()}
+    for i, text in enumerate(texts):
+        words = text.split()
+        grams = [tuple(words[a : a + 3]) for a in range(max(len(words) - 2, min(len(words), 1)))]
+        uses = [grams[:a].count(g) for a, g in enumerate(grams)]
+        own = spark.createDataFrame([(a, *[(*g, None, None)[j] for j in range(3)], u) for a, (g, u) in enumerate(zip(grams, uses, strict=True))], "place long, x string, y string, z string, use int")
+        element = F.shiftrightunsigned(F.xxhash64(F.shiftright(F.xxhash64("x", "y", "z"), 25), "use"), 26)
+        hashes = own.select("place", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("t"), element.alias("e")).select("place", "t", F.xxhash64("e", "t").alias("h"))
+        by = {}
+        for r in hashes.collect():
+            by.setdefault(r.t, []).append((r.h, r.place))
+        want = [[h for h, _ in sorted(sorted(by[t])[:2], key=lambda x: x[1])] if by else [] for t in range(32)]
+        pairs = [w[:2] if len(w) > 1 else [*w, None] for w in want]
+        plain = spark.createDataFrame([(t, *p) for t, p in enumerate(pairs) if p and p[0] is not None], "t int, a long, b long")
+        signed = {r.t: r.h for r in plain.select("t", F.xxhash64("a", "b").alias("h")).collect()}
+        assert got[i] == [signed.get(t) for t in range(32)]
+
+
+def test_fingerprints_look_at_few_elements_and_compute_them_once(spark):
+    plan = fingerprints.with_signature(table(spark, [(1, "a b")]).select("doc_id", "text"), "text", "signature")._jdf.queryExecution().optimizedPlan().toString()
+    # The tuples read finished elements and a finished bound: neither is worked out again inside their lambda.
+    tuples = max(plan.split("\n"), key=lambda line: line.count("lambda") if "AS signature" in line else -1)
+    assert "sort_array" not in tuples and "shiftright" not in tuples and tuples.count("CASE WHEN (size(") <= 2
+
+
 TURNS = [
     (1, 0, "system", "Be <|im_end|> kind\n"), (1, 1, "user", "a"), (1, 2, "assistant", "b <\\| c"), (2, 1, "user", "a"), (2, 0, "system", "Be <|im_end|> kind\n"),
     (2, 2, "assistant", ""), (2, 3, "assistant", "<|im_start|>assistant ok"), (3, 0, "us\ner\\n", None), (4, None, None, None), (None, 0, "user", "x"),

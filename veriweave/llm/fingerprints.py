@@ -30,7 +30,9 @@ RANGE_ROWS = 4000
 MAX_RANGES = 100_000
 # White space between words.
 _WHITE = " \t\n\x0b\f\r"
-_LEAST_LONG = -(1 << 63)
+_LEAST_LONG, _GREATEST_LONG = -(1 << 63), (1 << 63) - 1
+# Elements of a text that a tuple looks at for its two least, about; where none or one of them is among those it looks at all.
+FEW = 8
 
 
 def _high(x: Column) -> Column:
@@ -40,7 +42,8 @@ def _high(x: Column) -> Column:
 def with_signature(df: DataFrame, text: str, out: str, k: int = K, tuples: int = TUPLES) -> DataFrame:
     """Add ``out``: one hash per tuple (null where the text has no word), as an array of bigint.
 
-    Each step is a column of its own, so that nothing is computed again inside a lambda.
+    Each step is a column of its own that the next uses more than once, or given to a lambda;
+    Spark would put it back into the lambda and compute it for every element otherwise.
     """
     if tuples < 1:
         raise ValueError("tuples must be positive")
@@ -84,11 +87,18 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = K, tuples: int =
         ahead = b.isNull() | (F.array_position(hashes, a) < F.array_position(hashes, b))
         return F.when(a.isNotNull(), F.when(ahead, F.xxhash64(a, b)).otherwise(F.xxhash64(b, a)))
 
-    def tuple_hash(t: Column) -> Column:
+    def tuple_hash(t: Column, most: Column) -> Column:
         least_two = lambda hashes: given(F.array_min(hashes), lambda a: given(F.array_min(F.array_remove(hashes, a)), lambda b: in_order(hashes, a, b)))
-        return given(F.transform(F.col(in_text), lambda x: F.xxhash64(x, t)), least_two)
-
-    return step.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(tuples - 1)), tuple_hash)).select(*kept, out)
+        small = F.filter(F.col(in_text), lambda x: F.xxhash64(x, t) <= most)
+        # Two that are small hold the two least; without them all elements are taken.
+        of = lambda own: given(F.transform(F.when(F.size(own) > 1, own).otherwise(F.col(in_text)), lambda x: F.xxhash64(x, t)), least_two)
+        return given(small, of)
+
+    # About ``FEW`` of a tuple's hashes are at or below this.
+    size = F.size(in_text)
+    small = F.when(size <= 2 * FEW, F.lit(_GREATEST_LONG)).otherwise(F.lit(_LEAST_LONG) + F.floor(F.lit(1 << 50) / size) * F.lit(FEW << 14))
+    every = lambda most: F.transform(F.sequence(F.lit(0), F.lit(tuples - 1)), lambda t: tuple_hash(t, most))
+    return step.withColumn(out, given(small, every)).select(*kept, out)
 
 
 def as_text(signature: Column) -> Column:
