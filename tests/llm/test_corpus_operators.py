@@ -86,6 +86,32 @@ def test_components_of_the_whole_join(spark):
     assert ngram_join.link_counts(*ngram_join.joined(table(spark, []))).count() == 0
 
 
+@pytest.mark.parametrize("block_sets, pair_sets", [(4096, 512), (9, 7)])
+def test_ngram_join_lists_no_pairs_of_nearly_alike_sets(spark, monkeypatch, block_sets, pair_sets):
+    # One hash short of alike, each two of them: nothing links, and the bound allows all pairs.
+    core = [f"k{i}" for i in range(304)]
+    texts = [" ".join([*core, *(f"t{a}x{i}" for i in range(51))]) for a in range(60)]
+    # Some have a near copy, so that components of two meet those of one.
+    texts += [" ".join([*core, *(f"t{a}x{i}" for i in range(54))]) for a in range(0, 24, 2)]
+    made = {}
+
+    def settled(df, name):
+        out = kept(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    kept = ngram_join.settled
+    monkeypatch.setattr(ngram_join, "settled", settled)
+    rows = list(enumerate(texts))
+    documents, _, links = ngram_join._spanning(table(spark, rows), ngram_join.WORDS, ngram_join.PERCENT, block_sets, pair_sets)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join._named(documents, graph_components.components(links)).collect()}
+    assert got == brute.jaccard_components(rows)
+    assert len({c for _, c in got.values()}) == 60
+    if block_sets > len(texts):
+        # A few rows a text; its pairs are 2,556.
+        assert all(n < 6 * len(texts) for name, n in made.items() if name not in ("shingle-cells", "shingle-profile")), made
+
+
 def test_ngram_join_odd_rows(spark):
     same = "a b c d e f g"
     rows = [(7, same), (7, same), (None, same), (None, "q w e r t y"), (3, "z"), (9, None)]

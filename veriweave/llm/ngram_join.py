@@ -17,7 +17,9 @@ with the node's upper corner.
    of near copies without pairing them all, and sets without any pair need no comparison.
 3. Cells that still hold several components are searched as R-trees for pairs of
    different components that the bound allows, by ``GROUPS`` groups in the tree and by
-   ``FINE_GROUPS`` for what it finds, and these are compared as in 2.
+   ``FINE_GROUPS`` for what it finds. Components with such a pair make a cluster; the sets in
+   such pairs meet block by block in their cluster, are compared exactly there, and
+   give links enough to join the components. Neither step lists the pairs.
 4. Components follow from the links found. No link between different components is
    missed, so the components are those of all links.
 5. Every link lies within one component, so the whole join is made there: components are
@@ -386,6 +388,27 @@ class Tree:
         return self.order[at]
 
 
+class Parts:
+    """Rows of one block by component, and the components put together so far."""
+
+    def __init__(self, component: np.ndarray) -> None:
+        self.component, self.label = np.unique(component, return_inverse=True)
+
+    def join(self, row: int, rows: np.ndarray) -> np.ndarray:
+        """Put the components of the rows together with that of the row; one row of each that was apart from it."""
+        others, at = np.unique(self.label[rows], return_index=True)
+        apart = others != self.label[row]
+        if apart.any():
+            together = np.zeros(len(self.component), bool)
+            together[others[apart]] = True
+            self.label[together[self.label]] = self.label[row]
+        return rows[at[apart]]
+
+    def names(self) -> np.ndarray:
+        """A component of each row's, the same for those put together."""
+        return self.component[self.label]
+
+
 def _dealt(cells: DataFrame, block_sets: int) -> DataFrame:
     """Add ``own``, the block of the node in a cell of more than ``block_sets`` nodes (``many``)."""
     return cells.withColumn("own", F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / block_sets)))
@@ -437,11 +460,12 @@ def _first_pairs(cells: DataFrame, percent: int, block_sets: int) -> DataFrame:
     return dealt.repartition("cell", "own").sortWithinPartitions("cell", "own", "node").mapInArrow(run, "a long, b long").distinct()
 
 
-def _pairs_between(cells: DataFrame, percent: int, block_sets: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share a cell and that the bound allows.
+def _met_between(cells: DataFrame, percent: int, block_sets: int) -> DataFrame:
+    """Nodes that share a cell with one of another component that the bound allows: node, component, and ``cluster``.
 
     ``cells`` has cell, node, n, component and point (by ``FINE_GROUPS``). A cell of more than
-    ``block_sets`` nodes is met block by block.
+    ``block_sets`` nodes is met block by block. The pairs are not listed: the components that they
+    join in a block are named by one of them, the cluster, so a block gives at most a row per node.
     """
     blocks = F.ceil(F.col("many") / block_sets)
     dealt = (
@@ -456,40 +480,49 @@ def _pairs_between(cells: DataFrame, percent: int, block_sets: int) -> DataFrame
             fine = _points(table.column("point"), FINE_GROUPS)
             # Groups are told by the last bits, so the lesser number of groups is a sum over the greater.
             points = fine.reshape(len(fine), -1, GROUPS).sum(1)
-            a, b = [], []
+            found = [np.empty((3, 0), np.int64)]
             for start, end in zip(first, [*first[1:], len(node)], strict=True):
                 rows = np.arange(start, end)
                 asked, kept = rows[own[rows] == low[start]], rows[own[rows] == high[start]]
-                tree = Tree(points[kept], n[kept])
+                if not len(asked) or not len(kept):
+                    continue
+                tree, met = Tree(points[kept], n[kept]), np.zeros(len(rows), bool)
+                parts = Parts(component[rows])
                 for i in asked:
                     at = kept[tree.search(points[i], int(n[i]), percent)]
                     at = at[component[at] != component[i]]
                     if low[start] == high[start]:
                         at = at[node[at] > node[i]]
                     at = at[np.minimum(fine[at], fine[i]).sum(1) >= needed(n[at], int(n[i]), percent)]
-                    a.append(np.full(len(at), node[i]))
-                    b.append(node[at])
-            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+                    if len(at):
+                        met[i - start] = True
+                        met[at - start] = True
+                        parts.join(i - start, at - start)
+                some = rows[met]
+                found.append(np.stack([node[some], component[some], parts.names()[met]]))
+            rows = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["node", "component", "cluster"])
 
     ordered = dealt.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "node long, component long, cluster long").distinct()
 
 
-def _all_pairs(placed: DataFrame, sets: DataFrame, percent: int, block_sets: int, block_hashes: int, counted: bool = False) -> DataFrame:
+def _all_pairs(placed: DataFrame, sets: DataFrame, percent: int, block_sets: int, block_hashes: int, counted: bool = False, apart: bool = False) -> DataFrame:
     """All links (a, b, common) with a < b among the nodes of each component; ``placed`` has node, n, copies and component.
 
     ``counted``: instead, for every node the linked documents of other nodes, by block (node, links).
+    ``apart``: ``placed`` also has ``part``; only links between parts, and of those enough to join the same parts in each block.
 
     A component of more than ``block_sets`` nodes or ``block_hashes`` hashes is met block by block.
     Hashes join last, so that they are shuffled twice only, and only those of the nodes asked for.
     """
     sizes = placed.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / block_hashes)).alias("blocks"))
-    dealt = placed.join(sizes.hint("merge"), "component").select("component", "blocks", "node", "copies", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
+    part = F.col("part" if apart else "component").alias("part")
+    dealt = placed.join(sizes.hint("merge"), "component").select("component", "blocks", "node", "copies", part, F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
     met = (
         dealt.join(_of_nodes(sets, placed.select("node")).select("node", "hashes").hint("merge"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "copies", "hashes")
+        .select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "copies", "part", "hashes")
     )
 
     def taken(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -500,7 +533,7 @@ def _all_pairs(placed: DataFrame, sets: DataFrame, percent: int, block_sets: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n_found = [], 0
         for table, first in _whole_groups(batches, ["component", "low", "high"]):
-            node, own, low, high, copies = (table.column(c).to_numpy() for c in ("node", "own", "low", "high", "copies"))
+            node, own, low, high, copies, part = (table.column(c).to_numpy() for c in ("node", "own", "low", "high", "copies", "part"))
             column = table.column("hashes")
             for start, end in zip(first, [*first[1:], len(node)], strict=True):
                 # A set may come twice.
@@ -519,8 +552,12 @@ def _all_pairs(placed: DataFrame, sets: DataFrame, percent: int, block_sets: int
                 if not len(asked) or not len(kept):
                     continue
                 tree, marked = Tree(points[kept], n[kept]), np.zeros(len(used), bool)
+                parts = Parts(part[rows]) if apart else None
                 for i in asked:
                     at = kept[tree.search(points[i], int(n[i]), percent)]
+                    if apart:
+                        # Those joined in this block need no more links.
+                        at = at[parts.label[at] != parts.label[i]]
                     if low[start] == high[start]:
                         at = at[names[at] > names[i]]
                     if not len(at):
@@ -532,6 +569,8 @@ def _all_pairs(placed: DataFrame, sets: DataFrame, percent: int, block_sets: int
                     common = np.add.reduceat(marked[flat[places]], ends - n[at], dtype=np.int64)
                     marked[flat[offsets[i] : offsets[i + 1]]] = False
                     alike = common >= needed(n[at], int(n[i]), percent)
+                    if apart:
+                        alike &= np.isin(at, parts.join(i, at[alike]))
                     if counted:
                         total[i] += weight[at[alike]].sum()
                         total[at[alike]] += weight[i]
@@ -551,7 +590,9 @@ def _all_pairs(placed: DataFrame, sets: DataFrame, percent: int, block_sets: int
     return ordered.mapInArrow(run, "node long, links long" if counted else _LINKS)
 
 
-def _spanning(docs: DataFrame, words: int, percent: int, block_sets: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _spanning(
+    docs: DataFrame, words: int, percent: int, block_sets: int, pair_sets: int = PAIR_SETS, pair_hashes: int = PAIR_HASHES
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents (doc_id, n, node), hashes of the nodes that may have links, and links enough for the components."""
     source = id_and_text(docs)
     profile = settled(_profile(source, words), "shingle-profile")
@@ -570,12 +611,17 @@ def _spanning(docs: DataFrame, words: int, percent: int, block_sets: int) -> tup
     first = settled(_alike(pairs.filter("a != b"), sets, percent), "links")
     found = components(first)
 
-    # Cells that hold several components are searched.
+    # Cells that hold several components are searched; the sets that may link them are met cluster by cluster.
     placed = cells.join(active.hint("merge"), "node", "left_semi").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("cell")
     left = placed.join(several, "cell").join(_folded(sets).hint("merge"), "node")
-    more = _pairs_between(left, percent, block_sets).join(pairs, ["a", "b"], "left_anti")
-    links = first.unionByName(settled(_alike(more, sets, percent), "links"))
+    met = settled(_met_between(left, percent, block_sets), "shingle-clusters")
+    clusters = components(met.select(F.col("component").alias("u"), F.col("cluster").alias("v")))
+    parts = met.select("node", F.col("component").alias("part")).distinct().join(clusters.withColumnRenamed("node", "part"), "part")
+    sizes = sets.select("node", "n").distinct().withColumn("copies", F.lit(1).cast("long"))
+    between = settled(parts.join(sizes.hint("merge"), "node"), "shingle-parts")
+    more = _all_pairs(between, sets, percent, pair_sets, pair_hashes, apart=True)
+    links = first.unionByName(settled(more.select(F.col("a").alias("u"), F.col("b").alias("v")), "links"))
     return documents, sets, links
 
 
@@ -610,7 +656,7 @@ def joined(
     Documents of one node have one set; the links between documents are those of their
     nodes and all pairs within a node that is not empty.
     """
-    documents, sets, spanning = _spanning(docs, words, percent, block_sets)
+    documents, sets, spanning = _spanning(docs, words, percent, block_sets, pair_sets, pair_hashes)
     placed = _placed(documents, spanning)
     return documents.withColumnRenamed("n", "n_shingles"), settled(_all_pairs(placed, sets, percent, pair_sets, pair_hashes), "all-links")
 
@@ -619,7 +665,7 @@ def linked_by_join(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS, pair_sets: int = PAIR_SETS, pair_hashes: int = PAIR_HASHES
 ) -> DataFrame:
     """What ``linked`` gives, and ``n_links``, the other documents each is linked with, from the whole join."""
-    documents, sets, spanning = _spanning(docs, words, percent, block_sets)
+    documents, sets, spanning = _spanning(docs, words, percent, block_sets, pair_sets, pair_hashes)
     placed = _placed(documents, spanning)
     links = _all_pairs(placed, sets, percent, pair_sets, pair_hashes, counted=True).groupBy("node").agg(F.sum("links").alias("links"))
     copies = documents.filter("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
