@@ -16,6 +16,7 @@ import base64
 import re
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -26,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriweave.llm.common import id_and_text, list_array, slices
+from veriweave.llm.common import hold, id_and_text, list_array, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 # Entries of the table of finished pieces that a worker keeps; it is emptied when full.
@@ -83,25 +84,36 @@ def serialise(tokens: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder of one rank file; one per worker process."""
+    """Encoder and decoder of one rank file; one per worker process. What only encoding needs is made when it is asked for."""
 
     _made: dict[tuple[str, str], Codec] = {}
 
     def __init__(self, path: str, pattern: str) -> None:
         self.tokens = read_ranks(path)
-        self.ranks = {t: i for i, t in enumerate(self.tokens)}
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
-        self.pattern = regex.compile(pattern)
+        self.source = pattern
         self.letters = byte_characters()
         self.done: dict[str, bytes] = {}
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
+        hold("byte_bpe", cls._made.clear)
         if (path, pattern) not in cls._made:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
 
+    @cached_property
+    def ranks(self) -> dict[bytes, int]:
+        return {t: i for i, t in enumerate(self.tokens)}
+
+    @cached_property
+    def model(self) -> sentencepiece.SentencePieceProcessor:
+        return sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
+
+    @cached_property
+    def pattern(self) -> regex.Pattern:
+        return regex.compile(self.source)
+
     def _encode_pieces(self, pieces: list[str]) -> None:
         """Fill the table for pieces of text that no pre-token crosses."""
         cut = [self.pattern.findall(p) for p in pieces]

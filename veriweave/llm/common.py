@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +109,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, release: Callable[[], None]) -> None:
+    """Say that a worker process keeps tables for an operator from now on; those of other operators are released.
+
+    Spark uses its Python workers again for later stages, so what an earlier operator left
+    would otherwise add up with what the running one needs.
+    """
+    for other in [o for o in _HELD if o != owner]:
+        _HELD.pop(other)()
+        pa.default_memory_pool().release_unused()
+    _HELD[owner] = release
+
+
 _POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -117,6 +132,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     key = (base, 0)
     have = _POWERS.get(key)
     if have is None or len(have) < n:
+        hold("rolling", _POWERS.clear)
         size = max(1 << 16, 1 << int(n - 1).bit_length())
         have = np.full(size, base, np.uint64)
         have[0] = 1

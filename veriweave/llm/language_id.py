@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriweave.llm.common import id_and_text, mix, slices, with_kept
+from veriweave.llm.common import hold, id_and_text, mix, slices, with_kept
 from veriweave.session import staged
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,6 +72,7 @@ class Pieces:
 
     @classmethod
     def of(cls, path: str) -> Pieces:
+        hold("language_id", cls._made.clear)
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]
