@@ -83,6 +83,29 @@ def test_range_coder_shrinks_repeats_and_finds_damage():
         range_coder.encode(np.array([1 << 30]))
 
 
+@pytest.mark.parametrize("largest", [3, 49_408, 1 << 19])
+def test_range_coder_takes_blocks_in_batches_of_like_size(largest):
+    ids = np.random.default_rng(1).zipf(1.3, 16 * 41 - 5).clip(0, largest - 1).astype(np.uint32)
+    payload = range_coder.encode(ids, block_ids=16, lanes=40)
+    assert (range_coder.decode(payload, lanes=40) == ids).all()
+    assert (range_coder.decode(payload, lanes=7) == ids).all()
+    # One block more than a batch makes no batch of its own.
+    assert range_coder._batches(41, 40) == [(0, 41)]
+
+
+def test_token_files_encode_plain_words_by_their_pre_tokens():
+    encoder = token_files.Encoder(token_files.VOCABULARY)
+    whole = encoder.tokenizer
+    texts = ["79.36.208.206 (944) 555-6250 don't rock'n'roll 'stuff' ''s A1b2;", "x_y~z \\^` '' 's 't're THE-END."]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    # Only other words need the whole way.
+    encoder.tokenizer = None
+    assert [np.frombuffer(encoder.encode(t.encode()), "<u4").tolist() for t in texts] == want
+    encoder.tokenizer = whole
+    odd = ["<|endoftext|>a <|ENDOFTEXT|> x<|startoftext|> B", "<|EndOfText|>", "a\x1cb \x7f e\u0301 \u00c9T\u00c9 \u0130x n\u00b2 \u01c5 \x00", "\u00a0x\u2003y 12\u0663"]
+    assert [np.frombuffer(encoder.encode(t.encode()), "<u4").tolist() for t in odd] == [whole.encode(t, add_special_tokens=False).ids for t in odd]
+
+
 @pytest.mark.parametrize("frame_ids", [1, 500, 1 << 21])
 def test_token_files(spark, tmp_path, frame_ids):
     rows = ODD + list(enumerate(random_texts(40, "abcde Fé1.,\x01\n", 60, 2), 100))

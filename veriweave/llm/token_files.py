@@ -13,6 +13,7 @@ an empty table gives an empty file and no rows.
 
 from __future__ import annotations
 
+import re
 import struct
 import unicodedata
 import zlib
@@ -42,17 +43,18 @@ _FRAMES = "shard int, frame int, first long, doc_ids array<long>, counts array<i
 _DOCUMENTS = "shard int, doc_id long, first long, n_tokens long, ids_crc32 long"
 
 
-# Marks that, after letters, are a token of their own.
-_MARKS = b",.;:!?"
+# A word of printable ASCII, and the pre-tokens of one in lower case: the pattern of the tokenizer file for these characters.
+_PLAIN = re.compile(rb"[!-~]+")
+_PRE_TOKENS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class Encoder(dict):
     """Ids of texts by a tokenizer file that lower-cases and lets no token cross ASCII white space; one per worker process.
 
     Texts are cut there, and each distinct piece is encoded once: this is the table of
-    pieces. A piece of lower-case letters in normal form is one pre-token that the
-    normaliser leaves alone, so it goes to the tokenizer's model directly, and a mark
-    behind it is a token for itself; any other piece takes the whole way.
+    pieces. The normaliser leaves pieces of printable ASCII alone, so these are cut into
+    pre-tokens, which stand in the table too and go to the tokenizer's model directly;
+    so do lower-case letters in normal form. Any other piece takes the whole way.
     """
 
     _made: dict[str, Encoder] = {}
@@ -61,6 +63,7 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
+        self.added = [str(t).lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_characters()
 
     @classmethod
@@ -70,28 +73,30 @@ class Encoder(dict):
         return cls._made[path]
 
     def __missing__(self, word: bytes) -> bytes:
-        if word[-1] in _MARKS and word[:-1].isalpha():
-            coded = self[word[:-1]] + self[word[-1:]]
+        cut = _PRE_TOKENS.findall(word) if _PLAIN.fullmatch(word) else ()
+        if len(cut) > 1:
+            coded = b"".join(map(self.__getitem__, cut))
         else:
-            ids = self._ids(word)
+            ids = [t.id for t in self.tokenize(word.decode())] if cut else self._ids(word)
             coded = struct.pack(f"<{len(ids)}I", *ids)
         self[word] = coded
         return coded
 
     def _ids(self, word: bytes) -> list[int]:
         text = word.decode()
-        if text.isalpha():
-            if text.isascii():
-                return [t.id for t in self.tokenize(text)]
-            if text == text.lower() and unicodedata.is_normalized("NFC", text):
-                return [t.id for t in self.tokenize("".join(map(self.letters.__getitem__, word)))]
+        if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+            return [t.id for t in self.tokenize("".join(map(self.letters.__getitem__, word)))]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text as 32-bit integers."""
         if len(self) > CACHE_ENTRIES:
             self.clear()
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        lower = text.lower()
+        # The file's added tokens are found before all else, and only in their own case.
+        if any(t in lower for t in self.added):
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.__getitem__, lower.split()))
 
 
 class _Frame:
