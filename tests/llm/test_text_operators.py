@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
-from veriweave.llm import byte_bpe, chat_format, fingerprints, html_text, language_id, range_coder, token_files, toxicity
+from veriweave.llm import byte_bpe, chat_format, common, fingerprints, html_text, language_id, range_coder, token_files, toxicity
 from veriweave.llm.common import prepare
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -56,6 +56,27 @@ def test_byte_bpe_equals_the_library_and_decodes(spark):
     assert byte_bpe.digests(table(spark, [])).count() == 0
 
 
+def test_byte_bpe_digests_need_one_worker_a_task(spark):
+    docs = table(spark, ODD)
+    plan = byte_bpe.digests(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    both = byte_bpe.decode(byte_bpe.encode(docs)).collect()
+    assert sorted(map(str, byte_bpe.coded(docs).collect())) == sorted(map(str, both))
+
+
+def test_frugal_work_begins_without_tables_of_other_operators(monkeypatch):
+    kept = []
+    monkeypatch.setattr(common, "_HELD", {"byte_bpe": lambda: kept.append("byte_bpe"), "rolling": lambda: kept.append("rolling")})
+    monkeypatch.setattr(common, "give_back", lambda: kept.append("back"))
+
+    def rows(n):
+        yield from range(n)
+
+    assert list(common.frugal(rows)(3)) == [0, 1, 2]
+    assert kept == ["byte_bpe", "back"] and list(common._HELD) == ["rolling"]
+    assert common.frugal(len)("ab") == 2
+
+
 def test_byte_bpe_model_has_all_pieces():
     codec = byte_bpe.Codec.of(byte_bpe.VOCABULARY, public_tokenizers.PATTERN)
     assert codec.model.get_piece_size() == len(codec.tokens) + 1

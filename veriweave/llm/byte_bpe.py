@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriweave.llm.common import hold, id_and_text, list_array, slices
+from veriweave.llm.common import frugal, hold, id_and_text, list_array, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 # Entries of the table of finished pieces that a worker keeps; it is emptied when full.
@@ -173,6 +173,7 @@ def encode(
 ) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) of every whole text; row by row, no shuffle."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(vocabulary, pattern)
         for batch in batches:
@@ -188,6 +189,7 @@ def encode(
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """``doc_id``, ``ids`` and their ``decoded`` bytes; a null list of ids decodes to no bytes."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(vocabulary, pattern)
         for batch in batches:
@@ -200,9 +202,25 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, pattern: str = publ
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def coded(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``decode(encode(docs))`` in one Python worker a task instead of two, each with its tables."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.of(vocabulary, pattern)
+        for batch in batches:
+            for part in slices(batch, _SLICE_BYTES):
+                ids = [np.frombuffer(c, np.int32) for c in codec.encode(part.column(1).to_pylist())]
+                lists = list_array(np.concatenate(ids), np.array([len(i) for i in ids], np.int64), pa.int32())
+                decoded = pa.array(map(codec.decode, ids), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, decoded], names=["doc_id", "ids", "decoded"])
+
+    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Ids and decoded bytes of every document as counts and digests."""
-    return decode(encode(docs, vocabulary), vocabulary).select(
+    return coded(docs, vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
+import inspect
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -124,6 +127,50 @@ def hold(owner: str, release: Callable[[], None]) -> None:
     _HELD[owner] = release
 
 
+def let_go(owner: str) -> None:
+    """Release the tables of operators other than this one; those of ``rolling`` belong to several."""
+    for other in [o for o in _HELD if o not in (owner, "rolling")]:
+        _HELD.pop(other)()
+
+
+def give_back() -> None:
+    """Hand memory that this process has freed back to the system; allocators keep much of it otherwise."""
+    pa.default_memory_pool().release_unused()
+    # Only glibc has this.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frugal(work: Callable) -> Callable:
+    """A task's function that begins without the tables of other operators and leaves no freed memory in the worker process.
+
+    An executor keeps its Python workers between tasks, so what each of them holds on to
+    counts all the time, with what the running tasks need.
+    """
+    owner = work.__module__.rpartition(".")[2]
+
+    def one_by_one(*args) -> Iterator:
+        let_go(owner)
+        try:
+            yield from work(*args)
+        finally:
+            give_back()
+
+    def whole(*args):
+        let_go(owner)
+        try:
+            return work(*args)
+        finally:
+            give_back()
+
+    inner = one_by_one if inspect.isgeneratorfunction(work) else whole
+    # Spark counts the arguments: batches, or the key and the rows of a group.
+    if len(inspect.signature(work).parameters) == 1:
+        return functools.wraps(work)(lambda batches: inner(batches))
+    return functools.wraps(work)(lambda key, rows: inner(key, rows))
+
+
 _POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriweave.llm.common import LOWER, Rolling, id_and_text, mix, slices, text_bytes, word_bounds
+from veriweave.llm.common import LOWER, Rolling, frugal, id_and_text, mix, slices, text_bytes, word_bounds
 
 WINDOW_WORDS = 13
 SHINGLE_WORDS = 3
@@ -67,6 +67,7 @@ class Words:
 def windows_of(items: DataFrame, size: int = WINDOW_WORDS, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
     """``item_id`` and ``words`` (joined by spaces) of every distinct window of every item."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -146,6 +147,7 @@ def _places(hashes: np.ndarray, keys: np.ndarray, marked: np.ndarray) -> tuple[n
 def shingle_counts(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
     """Occurrences over all documents of the wanted shingles (``shingle``, ``n``), summed in tasks before the shuffle."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         totals = {k: np.zeros(len(keys), np.int64) for k, keys in wanted.items()}
         marked = {k: _filter(keys) for k, keys in wanted.items()}
@@ -203,6 +205,7 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[dict[str, int]]:
 def _hits(docs: DataFrame, shared, keep: Sequence[str]) -> DataFrame:
     """Spans of hit words and items of each document, for one part of the index."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         marked = {k: _filter(entry[0]) for k, entry in index.prefix.items()}
@@ -234,6 +237,7 @@ def _hits(docs: DataFrame, shared, keep: Sequence[str]) -> DataFrame:
 def _merge_parts(hits: DataFrame) -> DataFrame:
     """One row per document from the rows of all parts of the index."""
 
+    @frugal
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             frame["spans"] = [

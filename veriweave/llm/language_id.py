@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriweave.llm.common import hold, id_and_text, mix, slices, with_kept
+from veriweave.llm.common import frugal, hold, id_and_text, mix, slices, with_kept
 from veriweave.session import staged
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -270,6 +270,7 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _expectation(counts: DataFrame, languages: list[str], table: np.ndarray, vocabulary: str) -> DataFrame:
     shared = counts.sparkSession.sparkContext.broadcast(table)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(vocabulary)
         totals = np.zeros((len(languages), pieces.n + 2))
@@ -326,6 +327,7 @@ def predict(
     shared = docs.sparkSession.sparkContext.broadcast(model)
     decided = F.col("text").rlike(r"\p{L}") & F.lit(bool(model.languages))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scorer = Scorer(model, vocabulary)

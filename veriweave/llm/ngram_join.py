@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriweave.functions.groups import broadcast_if_small
-from veriweave.llm.common import LOWER, WHITE, Rolling, id_and_text, mix, partitions_for, settled, slices, text_bytes, word_bounds
+from veriweave.llm.common import LOWER, WHITE, Rolling, frugal, id_and_text, mix, partitions_for, settled, slices, text_bytes, word_bounds
 from veriweave.llm.graph_components import components
 
 WORDS = 5
@@ -145,6 +145,7 @@ def _fine(counts: bytes) -> np.ndarray:
 def _folded(sets: DataFrame) -> DataFrame:
     """``node`` and ``point``: counts of every set by ``FINE_GROUPS`` groups."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = [_packed(_fine(c).reshape(-1, FINE_GROUPS).sum(0), FINE_GROUPS) for c in batch.column(1).to_pylist()]
@@ -156,6 +157,7 @@ def _folded(sets: DataFrame) -> DataFrame:
 def _profile(source: DataFrame, words: int) -> DataFrame:
     """Size, digest and point of every set; and, in rows of their own, counts of hashes by table entry."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << TABLE_BITS, np.int64)
         names = [c.split()[0] for c in _PROFILE.split(", ")]
@@ -181,6 +183,7 @@ def _profile(source: DataFrame, words: int) -> DataFrame:
 def _rarity(profile: DataFrame) -> np.ndarray:
     """The table of counts, summed over all tasks."""
 
+    @frugal
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_PIECE, np.int64)
         for batch in batches:
@@ -199,6 +202,7 @@ def _rare_hashes(source: DataFrame, rarity: np.ndarray, n_buckets: int, words: i
     """The rarest hashes of every set, by bucket; equal sets of one slice are sent once."""
     shared = source.sparkSession.sparkContext.broadcast(rarity)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
         for batch in batches:
@@ -236,6 +240,7 @@ def _rare_hashes(source: DataFrame, rarity: np.ndarray, n_buckets: int, words: i
 def _cells(blobs: DataFrame) -> DataFrame:
     """Cells with several nodes, each set of nodes once per bucket."""
 
+    @frugal
     def one(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, tokens, owners = [], [], []
         n_nodes = 0
@@ -272,6 +277,7 @@ def _cells(blobs: DataFrame) -> DataFrame:
 def _sets(source: DataFrame, words: int) -> DataFrame:
     """Size, fine counts and hashes of the given documents (node, text), by node; a row may come twice."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, _SLICE_BYTES):
@@ -336,6 +342,7 @@ def _with_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
 def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets are alike, as edges: by the bound of their fine counts, then by their hashes."""
 
+    @frugal
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m, x, y = (batch.column(i) for i in range(2, 6))
@@ -343,6 +350,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             kept = [fine_bound(a.as_py(), b.as_py()) >= k for a, b, k in zip(x, y, least.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(kept, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
+    @frugal
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
@@ -421,6 +429,7 @@ def _first_pairs(cells: DataFrame, percent: int, block_sets: int) -> DataFrame:
     is also paired with itself, as one that may have pairs in another block.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first in _whole_groups(batches, ["cell", "own"]):
             node, n, blocks = (table.column(c).to_numpy() for c in ("node", "n", "many"))
@@ -474,6 +483,7 @@ def _met_between(cells: DataFrame, percent: int, block_sets: int) -> DataFrame:
         .select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "component", "point")
     )
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first in _whole_groups(batches, ["cell", "low", "high"]):
             node, n, component, own, low, high = (table.column(c).to_numpy() for c in ("node", "n", "component", "own", "low", "high"))
@@ -530,6 +540,7 @@ def _all_pairs(placed: DataFrame, sets: DataFrame, percent: int, block_sets: int
         found.clear()
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(common)], names=["a", "b", "common"])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n_found = [], 0
         for table, first in _whole_groups(batches, ["component", "low", "high"]):

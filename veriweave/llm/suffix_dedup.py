@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriweave.llm.common import Rolling, id_and_text, partitions_for, settled, slices, text_bytes
+from veriweave.llm.common import Rolling, frugal, id_and_text, partitions_for, settled, slices, text_bytes
 
 SIZE = 100
 GRAM = 32
@@ -144,6 +144,7 @@ def _spans_batch(docs: np.ndarray, found: Iterator[tuple[int, np.ndarray]]) -> d
 def _bucket_runs(source: DataFrame, n_buckets: int, size: int, gram: int) -> DataFrame:
     """Runs by bucket. Equal runs of one slice are settled in place: only the first is sent, the others become spans."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw, offsets, keys, text_keys, shift in _pieces(batch, size):
@@ -257,6 +258,7 @@ def _settle_runs(bucketed: DataFrame, size: int) -> DataFrame:
                 out["runs"].append(detail.tobytes())
             yield rows(out)
 
+    @frugal
     def one(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(batches)
 
@@ -269,6 +271,7 @@ def _contexts(source: DataFrame, found: DataFrame, size: int) -> DataFrame:
     per_doc = asked.groupBy("key", "text_key").agg(F.collect_list("asked").alias("asked"))
     detail = np.dtype([("gram", "<u4"), *_DETAIL.descr])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 4 * _SLICE_BYTES):
@@ -352,6 +355,7 @@ def repeated_strings(group: np.ndarray, contexts: list[bytes], first: np.ndarray
 def _settle_contexts(contexts: DataFrame, size: int) -> DataFrame:
     """Spans of strings that also start earlier, one bucket of sampled suffixes at a time."""
 
+    @frugal
     def one(key: tuple, table: pa.Table) -> pa.Table:
         docs = np.empty(table.num_rows, _DOC)
         docs["key"], docs["text_key"] = table.column("key").to_numpy(), table.column("text_key").to_numpy()
@@ -383,6 +387,7 @@ def _cut(docs: DataFrame, spans: DataFrame, size: int, keep: Sequence[str], deco
         *T.StructType.fromDDL(f"doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept {'string' if decode else 'binary'}"), *[docs.schema[c] for c in columns]
     ])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
