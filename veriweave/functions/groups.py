@@ -28,6 +28,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def counted_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, like: DataFrame | None = None) -> DataFrame:
+    """A side of a join that is broadcast only after a count, of ``like`` where that has as many rows, and else merged.
+
+    Spark's estimate of either side does not decide: it goes by the bytes of files, and knows
+    neither how many rows they hold nor how many an explode makes of each.
+    """
+    counted = df if like is None else like
+    return df.hint("merge") if broadcast_if_small(counted, max_rows) is counted else F.broadcast(df)
+
+
 def keys_to_match(keys: DataFrame) -> DataFrame:
     """The side of a semi join that gives the keys: a counted few distinct ones are broadcast.
 

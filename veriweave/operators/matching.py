@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriweave.functions.groups import broadcast_if_small
+from veriweave.functions.groups import counted_side
 from veriweave.session import staged
 from veriweave.sources.metadata import union_all
 from veriweave.sources.stores import VersionedTable
@@ -48,7 +48,7 @@ def containing(terms: DataFrame, texts: DataFrame) -> DataFrame:
     short = [n for n, long in lengths if not long]
     found = [texts.select(F.lit(None).cast("string").alias("term"), "*").limit(0)] if not lengths else []
     if short:
-        asked = broadcast_if_small(known.filter(~F.col("long")).select("term"), TERMS_SENT)
+        asked = counted_side(known.filter(~F.col("long")).select("term"), TERMS_SENT)
         found.append(_exploded(texts, short, "term").join(asked, "term").select("term", *texts.columns))
     if len(lengths) > len(short):
         found.append(_containing_long(known.filter("long").select("term"), texts))
@@ -64,13 +64,13 @@ def _exploded(texts: DataFrame, lengths: list[int], out: str) -> DataFrame:
 def _containing_long(terms: DataFrame, texts: DataFrame) -> DataFrame:
     """``containing`` for terms above ``LONGEST`` characters. Counting and joining read one shuffle of the runs."""
     term_runs = terms.select("term", F.explode(F.array_distinct(_grams(F.col("term"), LONGEST))).alias("run"))
-    wanted = broadcast_if_small(term_runs.select("run").distinct())
+    wanted = counted_side(term_runs.select("run").distinct())
     index = _exploded(texts, [LONGEST], "run").join(wanted, "run", "left_semi").repartition("run")
     frequency = index.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
     rarest = term_runs.join(frequency, "run", "left").groupBy("term").agg(
         F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), F.col("run"))).alias("run")
     )
-    return rarest.join(index, "run").filter(F.col("text").contains(F.col("term"))).select("term", *texts.columns)
+    return counted_side(rarest, like=terms).join(index, "run").filter(F.col("text").contains(F.col("term"))).select("term", *texts.columns)
 
 
 # A run that many texts have is kept in so many places, so that no bucket holds all of it.

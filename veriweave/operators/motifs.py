@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriweave.functions.groups import broadcast_if_small, top_per_key
+from veriweave.functions.groups import broadcast_if_small, counted_side, top_per_key
 from veriweave.operators.matching import containing
 from veriweave.session import staged
 from veriweave.sources.metadata import union_all
@@ -254,7 +254,7 @@ def cases_numbered(queries: DataFrame, t: Tables) -> DataFrame:
     asked = queries.select("query_id", "term").distinct()
     terms = asked.select("term").distinct()
     cases = t["CaseMaster"].select("CaseMasterID", F.col("CrimeNo").cast("string").alias("text"))
-    by_id = terms.withColumn("CaseMasterID", F.col("term").try_cast("bigint")).join(
+    by_id = counted_side(terms.withColumn("CaseMasterID", F.col("term").try_cast("bigint"))).join(
         cases.select("CaseMasterID"), "CaseMasterID"
     ).filter(F.col("CaseMasterID").cast("string") == F.col("term"))
     by_number = containing(terms, cases)
@@ -265,7 +265,7 @@ def cases_numbered(queries: DataFrame, t: Tables) -> DataFrame:
     # Read three times below.
     best = staged(top_per_key(matched, ["term"], [F.col("CaseMasterID")], PER_ENTITY), "cases")
     people = t["Accused"].select("CaseMasterID", "AccusedMasterID", F.col("AccusedName").alias("name"))
-    people = people.join(broadcast_if_small(best.select("CaseMasterID").distinct()), "CaseMasterID", "left_semi")
+    people = people.join(counted_side(best.select("CaseMasterID").distinct()), "CaseMasterID", "left_semi")
     # At most three names per case are collected.
     some = top_per_key(people.filter("name IS NOT NULL").distinct(), ["CaseMasterID"],
                        [F.col("AccusedMasterID"), F.col("name")], PER_ENTITY, "position")
@@ -273,7 +273,8 @@ def cases_numbered(queries: DataFrame, t: Tables) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda p: p["name"]), ", ")
         .alias("names")
     )
-    rows = asked.join(best, "term").join(named, "CaseMasterID", "left")
+    told = best.join(named.hint("merge"), "CaseMasterID", "left")
+    rows = asked.join(counted_side(told, like=best), "term")
     return _triple(rows, F.concat(F.lit("Case: "), F.col("CaseMasterID").cast("string")), "HAS_ACCUSED",
                    F.coalesce("names", F.lit("Unknown")))
 
