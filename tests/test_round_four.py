@@ -1,6 +1,42 @@
 """Whole answers to names, and joins and searches that stay within the limits of large tables."""
 
 from veriweave.operators import matching, motifs
+from veriweave.plans.answering import answer_questions
+
+
+def tables(spark, accused):
+    def t(schema, rows=()):
+        return spark.createDataFrame(list(rows), schema)
+
+    return {
+        "CaseMaster": t("CaseMasterID bigint, CaseNo bigint, CrimeNo bigint, PolicePersonID bigint, PoliceStationID bigint, CaseStatusID bigint"),
+        "Employee": t("EmployeeID bigint, KGID string, FirstName string, DesignationID bigint, RankID bigint"),
+        "Accused": t("AccusedMasterID bigint, CaseMasterID bigint, AccusedName string, AgeYear bigint, GenderID bigint, PersonID string", accused),
+        "Victim": t("VictimMasterID bigint, CaseMasterID bigint, VictimName string, AgeYear bigint, GenderID bigint"),
+        "ChargesheetDetails": t("CSID bigint, CaseMasterID bigint, csdate string, cstype string, PolicePersonID bigint"),
+        "ArrestSurrender": t("ArrestSurrenderID bigint, CaseMasterID bigint, ArrestSurrenderDate string"),
+        "Unit": t("UnitID bigint, UnitName string"),
+    }
+
+
+def test_every_person_of_a_name_is_told(spark):
+    people = [(i, 1000 - i, "Fiyaz Saran" if i % 2 else "FIYAZ SARAN", 30, 1, None) for i in range(1, 121)]
+    people += [(7, 2, "fiyaz saran", None, 2, "P7"), (7, 11, "Fiyaz Saran", 5, None, ""), (500, 1, "Ravi Kumar", 31, 1, "A99")]
+    asked = spark.createDataFrame([(1, "Fiyaz Saran"), (2, "find accused named Ravi Kumar?"), (3, "find accused named Nobody Here?")], "question_id int, text string")
+    t = tables(spark, people)
+    rows = sorted((r["question_id"], r["part_no"], r["found"], r["answer"], r["data"]) for r in answer_questions(asked, t).collect())
+    assert [r[:3] for r in rows] == [(1, 0, True), (2, 0, True), (3, 0, False)]
+    lines = rows[0][3].split("\n")
+    told = sorted(((i, c) for i, c, name, *_ in people if name.lower() == "fiyaz saran"))
+    assert lines[0].startswith("Found **122** accused record(s) for **Fiyaz Saran**.") and lines[-1].startswith("Specify")
+    assert [(int(x.split()[2]), int(x.split()[5])) for x in lines[1:-1]] == told
+    assert '"total":122' in rows[0][4] and "Specify" not in rows[1][3]
+    # In several parts the text is the same, and its data come once.
+    parts = sorted((r["part_no"], r["answer"], r["data"] is not None) for r in answer_questions(asked, t, part_rows=20).filter("question_id = 1").collect())
+    assert len(parts) > 3 and [p[0] for p in parts] == list(range(len(parts))) and [p[2] for p in parts] == [True] + [False] * (len(parts) - 1)
+    assert "".join(p[1] for p in parts) == rows[0][3]
+    few = answer_questions(asked, t, by_name=50).filter("question_id = 1").first()["answer"]
+    assert few.startswith("Found **50**") and few.count("AccusedMasterID") == 51
 
 
 def test_no_side_of_a_search_is_broadcast_by_its_estimate(spark, monkeypatch):

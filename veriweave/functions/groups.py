@@ -138,13 +138,14 @@ def list_in_parts(
     part_rows: int = PART_ROWS,
     numbered: bool = False,
     rows: int | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """One row per key and part: the texts joined in order, and how many there are.
 
     ``large`` comes from ``large_groups``; without large groups each key has one part.
     With ``numbered`` each text starts with its position in the key's list, from 1. With
     ``rows``, how many members there are, a task lists about ``LIST_ROWS`` of them; else
-    the tasks grow with the members.
+    the tasks grow with the members. Members of equal order follow the ``ties``, then the text.
     """
     tasks = [] if rows is None else [tasks_for(rows)]
     if large is None:
@@ -155,8 +156,9 @@ def list_in_parts(
         grouping = [*keys, "part"]
         # Large keys spread over as many tasks as they have parts.
         members = assign_parts(members, keys, order, large, part_rows).repartition(*tasks, *grouping)
+    then = [F.col(c).alias(f"o{i}") for i, c in enumerate(ties)]
     grouped = members.groupBy(*grouping).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("_m")
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), *then, F.col(text).alias("t")))).alias("_m")
     )
     sized = grouped.withColumn("members", F.size("_m").cast("bigint")).withColumn("_before", F.lit(0).cast("bigint"))
     if large is None:

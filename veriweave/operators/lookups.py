@@ -17,6 +17,7 @@ OFFICER_COLUMNS = ["employee_id", "first_name", "kgid", "designation", "rank"]
 VICTIM_COLUMNS = ["victim_id", "case_id", "name", "age", "gender"]
 ACCUSED_COLUMNS = ["accused_id", "case_id", "name", "age", "gender", "person_id"]
 MAX_BY_NAME = 50
+BY_NAME_ORDER = ["accused_id", "case_id", "person_id", "age", "gender"]
 
 
 def _with_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -121,15 +122,19 @@ def accused_of_cases(keys: DataFrame, t: Tables) -> DataFrame:
     return lookup(keys, accused(t), "case_id", ACCUSED_COLUMNS)
 
 
+def accused_named(names: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Each asked name with its ``_key``, and all people of those keys. ``names`` has ``name``."""
+    asked = names.select(F.col("name").alias("asked"), F.lower(F.trim("name")).alias("_key")).filter("_key <> ''").distinct()
+    return asked, accused(t).withColumn("_key", F.lower("name")).join(asked.select("_key").distinct(), "_key", "left_semi")
+
+
 def accused_by_name(names: DataFrame, t: Tables, limit: int = MAX_BY_NAME) -> DataFrame:
-    """All people of a name, whatever its case, first by id (L8). ``names`` has ``name``.
+    """The first people of a name, whatever its case, by id (L8). ``names`` has ``name``.
 
-    A name is no identity, so every match is told.
+    A name is no identity, so every match up to the limit is told; ``accused_named`` has all.
     """
-    asked = names.select(F.col("name").alias("asked"), F.lower(F.trim("name")).alias("_key")).filter("_key <> ''").distinct()
-    rows = accused(t).withColumn("_key", F.lower("name")).join(asked.select("_key").distinct(), "_key", "left_semi")
-    order = [F.col(c) for c in ("accused_id", "case_id", "person_id", "age", "gender")]
-    best = top_per_key(rows, ["_key"], order, limit, "position")
+    asked, rows = accused_named(names, t)
+    best = top_per_key(rows, ["_key"], [F.col(c) for c in BY_NAME_ORDER], limit, "position")
     return asked.join(best, "_key", "left").withColumn("found", F.col("position").isNotNull()).drop("_key")
 
 

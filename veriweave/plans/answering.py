@@ -3,7 +3,7 @@
 Questions are classified once and split by what they ask. Each branch is one join
 over all its questions. Answers: question_id, part_no, response_type, found,
 answer, and for short answers ``data`` as JSON. The parts of an answer, in order,
-are its text; only lists of very many people need more than one.
+are its text; only lists of very many people, of a case or of a name, need more than one.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriweave.functions.groups import PART_ROWS, list_in_parts, measured_groups
+from veriweave.functions.groups import PART_ROWS, list_in_parts, measured_groups, top_per_key
 from veriweave.operators import answers, lookups, motifs, questions
 from veriweave.session import staged
 from veriweave.sources.metadata import coerce_values, union_all
@@ -92,12 +92,13 @@ def _list_answer(asked: DataFrame, people: DataFrame, key: str, line: Column, ro
 
 
 def answer_questions(
-    asked: DataFrame, t: Tables, similar: DataFrame | None = None, part_rows: int = PART_ROWS
+    asked: DataFrame, t: Tables, similar: DataFrame | None = None, part_rows: int = PART_ROWS, by_name: int | None = None
 ) -> DataFrame:
     """Answer every question.
 
     ``asked``: question_id, text and, where there is a conversation, history_case.
-    ``similar`` has the search results for questions that ask for similar cases.
+    ``similar`` has the search results for questions that ask for similar cases. A name is
+    answered with all people of that name, or with the first ``by_name`` where that is given.
     """
     detected = questions.detect_intent(asked, "text")
     if "history_case" in asked.columns:
@@ -149,7 +150,7 @@ def answer_questions(
     # People by id or name.
     for role, find in (("officer", lookups.find_officers), ("victim", lookups.find_victims), ("accused", lookups.find_accused)):
         parts += _entity_branch(planned.filter(F.col("branch") == role), role, find, t)
-    parts.append(_name_branch(planned.filter(F.col("branch") == "accused_by_name"), t))
+    parts.append(_name_branch(planned.filter(F.col("branch") == "accused_by_name"), t, part_rows, by_name))
 
     parts.append(_row(planned.filter(F.col("branch") == "unidentified"), "answer", F.lit(False), F.lit(UNIDENTIFIED)))
     parts.append(_row(planned.filter(F.col("branch") == "relationship"), "context", F.lit(False),
@@ -226,23 +227,28 @@ def _entity_branch(rows: DataFrame, role: str, find, t: Tables) -> list[DataFram
     ]
 
 
-def _name_branch(rows: DataFrame, t: Tables) -> DataFrame:
-    found = lookups.accused_by_name(rows.select(F.col("identifier_value").alias("name")).distinct(), t)
-    # At most MAX_BY_NAME matches per name are collected.
-    matches = found.filter("found").withColumn("line", answers.match_line())
-    listed = matches.groupBy("asked").agg(
-        F.count(F.lit(1)).alias("total"), F.min_by("name", "position").alias("name"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda m: m["line"]), "\n"
-        ).alias("lines"),
-    )
-    joined = rows.withColumn("asked", F.col("identifier_value")).join(listed, "asked", "left")
-    head = F.concat(
+def _name_branch(rows: DataFrame, t: Tables, part_rows: int, limit: int | None) -> DataFrame:
+    asked, people = lookups.accused_named(rows.select(F.col("identifier_value").alias("name")).distinct(), t)
+    order = lookups.BY_NAME_ORDER
+    if limit is not None:
+        people = top_per_key(people, ["_key"], [F.col(c) for c in order], limit, "position")
+    # Counted, listed and asked for the first name of each.
+    members = staged(people.select("_key", "name", *order, answers.match_line().alias("entry")), "named")
+    large, n_rows = measured_groups(members, ["_key"], order[0], part_rows)
+    parts = list_in_parts(members, ["_key"], order[0], "entry", "\n", large, part_rows, rows=n_rows, ties=order[1:])
+    per_name = Window.partitionBy("_key")
+    listed = parts.withColumns({
+        "total": F.sum("members").over(per_name),
+        "nth": F.row_number().over(per_name.orderBy("part")).cast("bigint") - 1,
+        "n_parts": F.count(F.lit(1)).over(per_name),
+    }).join(members.groupBy("_key").agg(F.min_by("name", F.struct(*order)).alias("name")), "_key")
+    joined = rows.withColumn("asked", F.col("identifier_value")).join(asked, "asked", "left").join(listed, "_key", "left")
+    head = F.when(F.col("nth") == 0, F.concat(
         F.lit("Found **"), F.col("total").cast("string"), F.lit("** accused record(s) for **"), F.col("name"),
-        F.lit("**. A name is not a unique identity — each record below is a distinct entry:\n"), F.col("lines"),
-    )
+        F.lit("**. A name is not a unique identity — each record below is a distinct entry:"),
+    )).otherwise(F.lit(""))
     more = F.when(
-        F.col("total") > 1, F.lit("\nSpecify a CaseMasterID, AccusedMasterID or PersonID to narrow this down.")
+        (F.col("total") > 1) & (F.col("nth") == F.col("n_parts") - 1), F.lit("\nSpecify a CaseMasterID, AccusedMasterID or PersonID to narrow this down.")
     ).otherwise(F.lit(""))
     none = F.concat(F.lit("No accused records were found for the name '"), F.col("asked"), F.lit("'."))
     known = F.col("total").isNotNull()
@@ -251,4 +257,5 @@ def _name_branch(rows: DataFrame, t: Tables) -> DataFrame:
         F.when(F.col("total") > 1, F.lit(answers.NAME_NOTE)).alias("note"),
     )
     kind = F.when(known, F.lit("search_results")).otherwise(F.lit("answer"))
-    return _row(joined, kind, known, F.when(known, F.concat(head, more)).otherwise(none), F.when(known, data))
+    text = F.concat(head, F.lit("\n"), F.col("text"), more)
+    return _row(joined, kind, known, F.when(known, text).otherwise(none), F.when(known & (F.col("nth") == 0), data), F.coalesce("nth", F.lit(0)))
