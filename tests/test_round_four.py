@@ -1,6 +1,8 @@
 """Whole answers to names, and joins and searches that stay within the limits of large tables."""
 
-from veriweave.operators import matching, motifs
+import numpy as np
+
+from veriweave.operators import matching, motifs, vector_index, vectors
 from veriweave.plans.answering import answer_questions
 
 
@@ -57,3 +59,51 @@ def test_no_side_of_a_search_is_broadcast_by_its_estimate(spark, monkeypatch):
     first = {(r["query_id"], r["node"]): r["connected_to"] for r in asked.collect()}
     assert first[(7, "Case: 0")] == "P0, P300" and (39, "Case: 39") in first and len(first) == sum(
         min(3, sum(i == j or str(i) in str(700000 + j) for j in range(300))) for i in range(40))
+
+
+def brute(points, queries, k):
+    """(query, place) -> (point, score) by comparing all pairs."""
+    out = {}
+    for q, v in queries:
+        scored = sorted((-round(float(np.dot(v, w)), 6), p) for p, w in points if p != q and not np.isnan(w).any())
+        out |= {(q, i): (p, -s) for i, (s, p) in enumerate(scored[:k], 1)}
+    return out
+
+
+def unit_rows(n, seed):
+    rows = np.random.default_rng(seed).normal(size=(n, 8)).astype(np.float32)
+    return (rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))).astype(np.float64)
+
+
+def test_queries_go_to_blocks_of_cells_not_to_each_cell(spark, monkeypatch):
+    rows = [(i, v) for i, v in enumerate(unit_rows(900, 3))]
+    rows[5] = (5, np.full(8, np.nan))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "point_id long, vector array<double>")
+    index = vector_index.build_index(df, cells=40)
+    moved = []
+    whole = vector_index._dealt
+    monkeypatch.setattr(vector_index, "_dealt", lambda *a: moved.append(whole(*a)) or moved[-1])
+    asked = df.filter("point_id % 3 = 0").withColumnRenamed("point_id", "query_id")
+    found = vector_index.nearest(index, asked, 4, skip_self=True, exact=True, points_per_block=300, queries_per_block=50)
+    got = {(r["query_id"], r["rank"]): (r["point_id"], r["score"]) for r in found.collect()}
+    want = brute(rows, [(i, v) for i, v in rows if i % 3 == 0], 4)
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-6 for x in want)
+    # Forty cells lie in at most four blocks, of like size.
+    fill = {b: sum(index.cells[c][0] for c, _, block in moved[0] if block == b) for _, _, b in moved[0]}
+    assert len(moved[0]) >= 38 and 1 < len(fill) <= 4 and max(fill.values()) < 1.2 * min(fill.values())
+
+
+def test_a_floor_leaves_out_only_what_is_below_it():
+    points, queries, ids = unit_rows(3000, 1), unit_rows(300, 2), np.arange(3000)
+    at, found, scores = vectors._best_of(np.arange(300) + 10**6, queries, ids, points, 5, None, True)
+    floors = scores.reshape(300, 5)[:, 2].copy()
+    floors[:10] = -2.0
+    again = vectors._best_of(np.arange(300) + 10**6, queries, ids, points, 5, None, True, floors)
+    held = scores >= np.repeat(floors, 5)
+    got = set(zip(*[x.tolist() for x in again]))
+    assert {x for x, h in zip(zip(at.tolist(), found.tolist(), scores.tolist()), held) if h} <= got
+    assert [t for t in vectors._tiles(2000, 1024)][0] == (0, 1024) and vectors._tiles(2000, 1024)[-1][1] == 2000 and len(vectors._tiles(2000, 1024)) == 5
+    with_nan = points.copy()
+    with_nan[::7] = np.nan
+    told = vectors._best_of(np.arange(300) + 10**6, queries, ids, with_nan, 5, 0.1, False)
+    assert len(told[0]) and not (told[1] % 7 == 0).any() and (told[2] >= 0.1).all()
